@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, line_dedup, topk, url_filter
+from . import embedding_dedup, line_dedup, simhash, topk, url_filter
 from .common import read
 
 
@@ -14,6 +14,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(docs).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dups(read(spark, sf_dir, "documents"), shingle=3, most=2)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     judged = url_filter.url_filter(pages.select("page_id", "url"), url_filter.edges_of(pages))
@@ -31,6 +35,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_simhash_dedup": op3_simhash_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_top_k": op5_top_k,
     "op10_embedding_dedup": op10_embedding_dedup,
