@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, line_dedup, simhash, topk, url_filter
+from . import byte_bpe, embedding_dedup, line_dedup, simhash, topk, url_filter
 from .common import read
 
 
@@ -14,6 +15,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(docs).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dups(read(spark, sf_dir, "documents"), shingle=3, most=2)
 
@@ -35,6 +40,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_byte_bpe": op2_byte_bpe,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_top_k": op5_top_k,
