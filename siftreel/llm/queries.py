@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, line_dedup, simhash, topk, url_filter
+from . import byte_bpe, embedding_dedup, line_dedup, simhash, token_counts, topk, url_filter
 from .common import read
 
 
@@ -34,6 +34,10 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), *token_counts.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_dups(read(spark, sf_dir, "embeddings"))
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_top_k": op5_top_k,
+    "op6_token_counts": op6_token_counts,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
