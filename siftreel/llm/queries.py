@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, html_text, line_dedup, simhash, token_counts, topk, url_filter
+from . import byte_bpe, embedding_dedup, html_text, line_dedup, quality, simhash, token_counts, topk, url_filter
 from .common import read
 
 
@@ -42,6 +42,13 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = quality.train(docs, read(spark, sf_dir, "labels"))
+    scores = quality.scored(docs, machine, keep=["doc_id"])
+    return scores.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_dups(read(spark, sf_dir, "embeddings"))
 
@@ -54,6 +61,7 @@ QUERIES = {
     "op5_top_k": op5_top_k,
     "op6_token_counts": op6_token_counts,
     "op8_html_text": op8_html_text,
+    "op9_quality": op9_quality,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
