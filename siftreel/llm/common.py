@@ -63,3 +63,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def as_row(df: DataFrame, name: str) -> DataFrame:
     """All columns of df in one struct, so that no column of the input can clash with an operator's own."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
+
+
+def trim() -> None:
+    """Give memory that a Python worker has freed back to the system, since the next task's worker is the same process."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

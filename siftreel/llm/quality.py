@@ -186,13 +186,14 @@ def scored(docs: DataFrame, machine: Machine, text: str = "text", buckets: int =
     ship(spark)
     model = spark.sparkContext.broadcast(machine)  # as large as the hashed space
     kept = [c for c in keep or docs.columns if c != "score"]
+    own = f"c{kept.index(text)}" if text in kept else "own"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
         for b in it:
             for s in range(0, b.num_rows, 256):
                 part = b.slice(s, 256)
-                scores = [model.value.score(*features(t, memo, buckets)) for t in part["_text"].to_pylist()]
+                scores = [model.value.score(*features(t, memo, buckets)) for t in part[own].to_pylist()]
                 if len(memo) > MEMO:
                     memo.clear()
                 yield pa.RecordBatch.from_arrays([*[part[f"c{i}"] for i in range(len(kept))], pa.array(scores, pa.float64())], [*[f"c{i}" for i in range(len(kept))], "score"])
@@ -201,7 +202,7 @@ def scored(docs: DataFrame, machine: Machine, text: str = "text", buckets: int =
 
     from pyspark.sql import types as T
 
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.col(f"`{text}`").cast("string").alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], *([] if text in kept else [F.col(f"`{text}`").alias(own)]))
     schema = T.StructType([*[T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(kept)], T.StructField("score", T.DoubleType())])
     out = rows.mapInArrow(run, schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], "score")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, html_text, line_dedup, quality, simhash, token_counts, topk, url_filter
+from . import byte_bpe, embedding_dedup, html_text, line_dedup, packing, quality, simhash, token_counts, topk, url_filter
 from .common import read
 
 
@@ -38,6 +38,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), *token_counts.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digested(packing.packed(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op5_top_k": op5_top_k,
     "op6_token_counts": op6_token_counts,
+    "op7_packing": op7_packing,
     "op8_html_text": op8_html_text,
     "op9_quality": op9_quality,
     "op10_embedding_dedup": op10_embedding_dedup,
