@@ -1,11 +1,13 @@
 """Byte-level BPE encoding and decoding through a global distinct-word shuffle.
 
 1. Texts are cut into pre-tokens. Each block of documents keeps its distinct words once, and every position as a number
-   of a word: this is the exploded (document, position, word) relation, by columns and compressed. It is written to the
-   shared folder, so that a lost executor doesn't cut texts again.
+   of a word: this is the exploded (document, position, word) relation, by columns and compressed.
 2. The words of all blocks are shuffled by their hash; each distinct word is encoded once.
 3. The ids go back to their blocks, meet the positions there, and are put together by position.
 
+Words and positions come from two passes over the texts, since keeping the positions for later takes more disk than
+cutting again takes time. Both carry a checksum of the block's words; a block whose rows came in another order fails.
+
 Decoding joins ids with the table of token bytes, which is as large as the vocabulary and no larger.
 """
 
@@ -14,22 +16,21 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
-from itertools import chain
+from functools import lru_cache, reduce
+from itertools import batched, chain
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, ship, table
+from .common import partitions, ship, trim
 
 #: Pre-tokens of a block, documents of a page (what is put together at a time), words that a shard remembers.
-BLOCK_TOKENS, PAGE_DOCS, PAGE_TOKENS, MEMO = 3_000_000, 256, 400_000, 500_000
+BLOCK_TOKENS, PAGE_DOCS, PAGE_TOKENS, MEMO = 2_000_000, 256, 300_000, 200_000
 
 Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -83,53 +84,67 @@ _PART_SQL = "block long, kind int, part int, ids array<long>, data binary"
 WORDS, SHARDS, PAGE = 0, 1, 2
 
 
-def _cut(pattern: str, shards: int) -> Kernel:
+def _numbers_of(words: list[str], seen: dict[str, int]) -> np.ndarray:
+    """The words' numbers in order of first appearance; new words are added."""
+    new = [w for w in dict.fromkeys(words) if w not in seen]
+    seen.update(zip(new, range(len(seen), len(seen) + len(new)), strict=True))
+    return np.fromiter(map(seen.__getitem__, words), np.uint32, len(words))
+
+
+def _cut(pattern: str, shards: int, words: bool) -> Kernel:
+    """words: send out the blocks' distinct words; else their positions."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        findall, block = _splitter(pattern), TaskContext.get().partitionId() << 24
+        findall, block = _splitter(pattern), None
+        seen, ids, seqs, n = {}, [], [], 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            number = np.concatenate(seqs) if seqs else np.zeros(0, np.uint32)
-            by = np.argsort(-np.bincount(number, minlength=len(seen)), kind="stable")  # frequent words get small numbers
-            new = np.empty(len(seen), np.uint32)
-            new[by] = np.arange(len(seen))
+        def rows() -> Iterator[tuple]:
+            number = np.concatenate(seqs)
             raw = [w.encode() for w in seen]
-            of = np.fromiter((crc32(raw[i]) % shards for i in by), np.int64, len(by))
-            rows = [(block, SHARDS, 0, None, _planes(of))]
-            order = np.argsort(of, kind="stable")
-            cuts = np.searchsorted(of[order], np.arange(shards + 1))
-            for s in range(shards):
-                if cuts[s] < cuts[s + 1]:
-                    mine = [raw[by[i]] for i in order[cuts[s] : cuts[s + 1]]]
-                    rows.append((block, WORDS, s, None, np.uint32(len(mine)).tobytes() + zstandard.ZstdCompressor(3).compress(np.array([len(w) for w in mine], "<u4").tobytes() + b"".join(mine))))
-            number, at, page = new[number], 0, 0
-            lengths = [len(s) for s in seqs]
-            k = 0
+            total = reduce(lambda c, w: crc32(w, c), raw, 0)
+            by = np.argsort(-np.bincount(number, minlength=len(raw)), kind="stable")  # frequent words get small numbers
+            of = np.fromiter((crc32(raw[i]) % shards for i in by.tolist()), np.int64, len(by))
+            if words:
+                order = np.argsort(of, kind="stable")
+                cuts = np.searchsorted(of[order], np.arange(shards + 1))
+                for s in range(shards):
+                    if cuts[s] < cuts[s + 1]:
+                        mine = [raw[i] for i in by[order[cuts[s] : cuts[s + 1]]].tolist()]
+                        sizes = np.array([len(w) for w in mine], "<u4").tobytes()
+                        yield block, WORDS, s, None, np.array([len(mine), total], "<u4").tobytes() + zstandard.ZstdCompressor(3).compress(sizes + b"".join(mine))
+                return
+            yield block, SHARDS, 0, None, _planes(np.concatenate([[total], of]))
+            new = np.empty(len(raw), np.uint32)
+            new[by] = np.arange(len(raw))
+            lengths, k, page = [len(s) for s in seqs], 0, 0
             while k < len(ids):
-                e, n = k, 0
-                while e < len(ids) and (e == k or (e - k < PAGE_DOCS and n + lengths[e] <= PAGE_TOKENS)):
-                    n += lengths[e]
+                e, m = k, 0
+                while e < len(ids) and (e == k or (e - k < PAGE_DOCS and m + lengths[e] <= PAGE_TOKENS)):
+                    m += lengths[e]
                     e += 1
-                rows.append((block, PAGE, page, ids[k:e], _planes(np.concatenate([[e - k], lengths[k:e], number[at : at + n]]))))
-                k, at, page = e, at + n, page + 1
-            for r in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[r : r + 64], strict=True), _PART, strict=True)], schema=_PART)
-
-        seen: dict[str, int] = {}
-        ids: list[int | None] = []
-        seqs: list[np.ndarray] = []
-        n = 0
+                yield block, PAGE, page, ids[k:e], _planes(np.concatenate([[e - k], lengths[k:e], *[new[x] for x in seqs[k:e]]]))
+                k, page = e, page + 1
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for some in batched(rows(), 32):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), _PART, strict=True)], schema=_PART)
+
         for batch in it:
-            for i, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                add = seen.setdefault
-                words = findall(text) if text else []
-                seqs.append(np.fromiter((add(w, len(seen)) for w in words), np.uint32, len(words)))
-                ids.append(i)
-                n += len(words)
-                if n >= BLOCK_TOKENS:
-                    yield from flush()
-                    seen, ids, seqs, n, block = {}, [], [], 0, block + 1
+            for s in range(0, batch.num_rows, 512):
+                part = batch.slice(s, 512)
+                if block is None:  # the input's partition, in either pass
+                    block = part["at"][0].as_py() << 24
+                for i, text in zip(part["id"].to_pylist(), part["text"].to_pylist(), strict=True):
+                    seqs.append(_numbers_of(findall(text) if text else [], seen))
+                    ids.append(i)
+                    n += len(seqs[-1])
+                    if n >= BLOCK_TOKENS:
+                        yield from flush()
+                        seen, ids, seqs, n, block = {}, [], [], 0, block + 1
         if ids:
             yield from flush()
+        seen, ids, seqs = {}, [], []
+        trim()
 
     return run
 
@@ -138,10 +153,10 @@ def _encode_words(content) -> Kernel:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, known = _encoder(content.value), {}
         for b in it:
-            out = []
-            for data in b["data"].to_pylist():
-                n = int(np.frombuffer(data[:4], "<u4")[0])
-                raw = zstandard.ZstdDecompressor().decompress(data[4:])
+            for k in range(b.num_rows):
+                part, data = b.slice(k, 1), b["data"][k].as_py()
+                n, total = np.frombuffer(data[:8], "<u4").tolist()
+                raw = zstandard.ZstdDecompressor().decompress(data[8:])
                 ends = np.cumsum(np.frombuffer(raw[: 4 * n], "<u4").astype(np.int64)) + 4 * n
                 ids, at = [], 4 * n
                 if len(known) > MEMO:
@@ -152,8 +167,10 @@ def _encode_words(content) -> Kernel:
                     if (x := known.get(w)) is None:
                         x = known[w] = encode(w)
                     ids.append(x)
-                out.append(_planes(np.concatenate([[n], [len(x) for x in ids], np.fromiter(chain.from_iterable(ids), np.uint32)])))
-            yield pa.RecordBatch.from_arrays([b["block"], b["kind"], b["part"], pa.nulls(b.num_rows, pa.list_(pa.int64())), pa.array(out, pa.binary())], schema=_PART)
+                out = _planes(np.concatenate([[total, n], [len(x) for x in ids], np.fromiter(chain.from_iterable(ids), np.uint32)]))
+                yield pa.RecordBatch.from_arrays([part["block"], part["kind"], part["part"], pa.nulls(1, pa.list_(pa.int64())), pa.array([out], pa.binary())], schema=_PART)
+        known.clear()
+        trim()
 
     return run
 
@@ -161,28 +178,31 @@ def _encode_words(content) -> Kernel:
 def _assemble(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block, blobs, flat, starts = None, [], None, None
     for b in it:
-        for at, kind, ids, data in zip(b["block"].to_pylist(), b["kind"].to_pylist(), b["ids"].to_pylist(), b["data"].to_pylist(), strict=True):
+        for k, (at, kind) in enumerate(zip(b["block"].to_pylist(), b["kind"].to_pylist(), strict=True)):
+            x = _numbers(b["data"][k].as_buffer())
             if at != block:
+                if blobs:
+                    raise RuntimeError("the two passes over the texts met different blocks; write the input to a table first")
                 block, blobs, flat, starts = at, [], None, None
             if kind == WORDS:
-                blobs.append(_numbers(data))
+                blobs.append(x)
             elif kind == SHARDS:  # which shard each word of the block went to: the shards' lists lie one after another
-                of = _numbers(data)
-                order = np.argsort(of, kind="stable")
-                size = np.concatenate([x[1 : 1 + x[0]] for x in blobs] or [np.zeros(0, np.uint32)]).astype(np.int64)
-                values = np.concatenate([x[1 + x[0] :] for x in blobs] or [np.zeros(0, np.uint32)])
-                first = np.concatenate([[0], np.cumsum(size)])
+                order = np.argsort(x[1:], kind="stable")
+                size = np.concatenate([y[2 : 2 + y[1]] for y in blobs] or [np.zeros(0, np.uint32)]).astype(np.int64)
+                if len(size) != len(order) or any(y[0] != x[0] for y in blobs):
+                    raise RuntimeError("the two passes over the texts met different blocks; write the input to a table first")
+                values = np.concatenate([y[2 + y[1] :] for y in blobs] or [np.zeros(0, np.uint32)])
                 place = np.empty(len(order), np.int64)
                 place[order] = np.arange(len(order))
-                flat, size = _gather(values, first, place)
+                flat, size = _gather(values, np.concatenate([[0], np.cumsum(size)]), place)
                 starts, blobs = np.concatenate([[0], np.cumsum(size)]), []
             else:
-                x = _numbers(data)
-                counts, seq = x[1 : 1 + x[0]].astype(np.int64), x[1 + x[0] :].astype(np.int64)
+                counts, seq = x[1 : 1 + x[0]].astype(np.int64), x[1 + x[0] :]
                 got, size = _gather(flat, starts, seq)
                 ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
-                tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(got.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), tokens], ["doc_id", "ids"])
+                tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(got.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([b["ids"][k].values, tokens], ["doc_id", "ids"])
+    trim()
 
 
 def decode_kernel(content) -> Kernel:
@@ -227,10 +247,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id: str = "doc_id", t
     with open(vocabulary, "rb") as f:
         content = spark.sparkContext.broadcast(f.read())
     n = partitions(spark)
-    rows = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    parts = table(rows.mapInArrow(_cut(pattern, n), _PART_SQL), "pretokens")
-    words = parts.where(F.col("kind") == WORDS).repartition(n, "part").mapInArrow(_encode_words(content), _PART_SQL)
-    both = words.unionByName(parts.where(F.col("kind") != WORDS))
+    rows = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), F.spark_partition_id().cast("long").alias("at"))
+    words, positions = (rows.mapInArrow(_cut(pattern, n, x), _PART_SQL) for x in (True, False))
+    both = words.repartition(n, "part").mapInArrow(_encode_words(content), _PART_SQL).unionByName(positions)
     return both.repartition(n, "block").sortWithinPartitions("block", "kind", "part").mapInArrow(_then(_assemble, *then), schema)
 
 
