@@ -1,0 +1 @@
+"""Fixtures and registered queries."""

@@ -1,0 +1 @@
+"""Where files come from and go to."""
