@@ -48,7 +48,7 @@ BASE, PER_CHAR, MOST_CHARS, LINKED, HEADING, ITEM, LEGAL = 0.4, 0.02, 4.0, 6.0,
 NEXT, NEXT_APART, SIBLING = 0.8, 0.3, 0.6
 
 _TAG = re.compile(
-    r"""<!--(?:>|->|.*?--!?>|.*)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']+|=\s*"[^"]*"|=\s*'[^']*'|["'])*+)>|</[^a-zA-Z][^>]*>""",
+    r"""<!--(?:>|->|.*?--!?>|.*)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"'=]+|=\s*"[^"]*"|=\s*'[^']*'|[="'])*+)>|</[^a-zA-Z][^>]*>""",
     re.S,
 )
 _ATTRS = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|style|aria-hidden)(?=[\s=/]|$)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)

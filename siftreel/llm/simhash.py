@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, partitions, ship, table
+from .common import as_row, drop, partitions, ship, table
 from .components import components
 
 #: Segments of the short fingerprint's ring, and the bucket size up to which pairs are compared.
@@ -374,4 +374,5 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: i
     for x in (own, reps, comps):
         drop(x)
     small = kept.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(kept) if small else kept, F.col(f"`{id}`").cast("long") == F.col("gone"), "left_anti")
+    rows = as_row(docs, "row").join(F.broadcast(kept) if small else kept, F.col(f"row.`{id}`").cast("long") == F.col("gone"), "left_anti")
+    return rows.select(*[F.col(f"row.`{c}`") for c in docs.columns])
