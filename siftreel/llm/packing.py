@@ -9,9 +9,8 @@ rests follow.
 
 from __future__ import annotations
 
-import gc
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 from zlib import crc32
@@ -25,7 +24,11 @@ from pyspark.sql import functions as F
 from .common import partitions, ship, trim
 
 #: Tokens of a window; documents of a shard; BM25's parameters; words that a task remembers.
-WINDOW, SHARD_DOCS, K1, B, MEMO = 2_048, 1_024, 1.2, 0.75, 400_000
+WINDOW, SHARD_DOCS, K1, B, MEMO = 2_048, 1_024, 1.2, 0.75, 500_000
+
+
+PIECES_SQL = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 # ---- tokens
@@ -44,6 +47,7 @@ def _tokenizer(content: bytes):
 
 #: Words of these characters are lower-cased, cut and spelt in bytes here, as the tokenizer would; others it takes itself.
 _PLAIN = regex.compile(r"[!-~À-ÖØ-öø-įıĳ-ňŊ-ɏ]+").fullmatch
+_MARKS = frozenset(".,;:!?")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 
 
@@ -55,17 +59,34 @@ def _byte_chars() -> dict[int, str]:
 
 
 class _Known(dict):
-    """Numbers of words; unknown ones get the next number and wait in new."""
+    """Numbers of words. Words that were known before keep theirs; unknown ones get the next number and wait in new."""
 
     def __init__(self):
         self.new: list[str] = []
+        self.before: dict[str, int] = {}
+        self.next = 0
 
     def __missing__(self, word: str) -> int:
-        self.new.append(word)
-        self[word] = k = len(self)
+        k = self.before.get(word)
+        if k is None:
+            self.new.append(word)
+            k = self.next
+            self.next += 1
+        self[word] = k
         return k
 
 
+def _gather(flat: np.ndarray, starts: np.ndarray, items: np.ndarray, more: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The concatenation of flat[starts[i]:starts[i+1]] for i in items, with room for more, and the lengths."""
+    first = starts[items]
+    size = starts[items + 1] - first
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    out = np.empty(total + more, flat.dtype)
+    out[:total] = flat[np.repeat(first - ends + size, size) + np.arange(total)]
+    return out, size
+
+
 class Encoder:
     """Ids by a tokenizer whose pieces never reach over white space: each distinct word is encoded once and remembered."""
 
@@ -75,47 +96,59 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.pieces = _Known(), {}
+        self.known, self.before, self.pieces = _Known(), {}, {}
         self.flat, self.starts, self.used = np.zeros(1 << 16, np.uint16), np.zeros(1 << 14, np.int64), 0
 
-    def _piece(self, piece: str) -> list[int]:
+    def _age(self) -> None:
+        """Forget the words that didn't occur since the last time; the others move close together."""
+        words, k = list(self.known), np.fromiter(self.known.values(), np.int64, len(self.known))
+        flat, size = _gather(self.flat, self.starts, k)
+        self.known, self.before = _Known(), dict(zip(words, range(len(words)), strict=True))
+        self.flat, self.starts, self.used = flat, np.concatenate([[0], np.cumsum(size)]), len(flat)
+        self.known.before, self.known.next = self.before, len(words)
+        if len(self.pieces) > MEMO:
+            self.pieces = {}
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
         ids = self.pieces.get(piece)
         if ids is None:
             spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_byte_chars())
-            ids = self.pieces[piece] = [t.id for t in self.model.tokenize(spelt)]
+            ids = self.pieces[piece] = tuple([t.id for t in self.model.tokenize(spelt)])
         return ids
 
-    def _ids(self, word: str) -> list[int]:
+    def _ids(self, word: str) -> tuple[int, ...]:
+        """A word of another kind than a plain one with perhaps a mark."""
         if not _PLAIN(word):
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        word = word.lower()
-        if word.isalpha():
-            return self._piece(word)
-        if word[:-1].isalpha() and not word[-1].isdigit():  # a word and a mark
-            return self._piece(word[:-1]) + self._piece(word[-1])
-        return list(chain.from_iterable(map(self._piece, _PIECES(word))))
+            return tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        return tuple(chain.from_iterable(map(self._piece, _PIECES(word.lower()))))
 
     def _learn(self) -> None:
-        new = self.known.new
-        gc.disable()  # lists of numbers can't hold cycles
-        ids = [self._ids(w) for w in new]
-        gc.enable()
-        n, total = len(self.known) - len(new), sum(map(len, ids))
-        while len(self.starts) < len(self.known) + 1:
+        ids: list[tuple[int, ...]] = []
+        add, known, piece = ids.append, self.pieces.get, self._piece
+        for word in self.known.new:
+            mark = word[-1:]
+            body = word[:-1] if mark in _MARKS else word
+            if body.isalpha() and (body.isascii() or (max(body) < "ɐ" and "İ" not in body)):
+                body = body.lower()
+                got = known(body) or piece(body)
+                add(got + piece(mark) if mark in _MARKS else got)
+            else:
+                add(self._ids(word))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        end, total = self.known.next, int(sizes.sum())
+        while len(self.starts) < end + 1:
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
         while len(self.flat) < self.used + total:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint16, total)
-        self.starts[n + 1 : len(self.known) + 1] = self.used + np.cumsum([len(x) for x in ids])
+        self.starts[end - len(ids) + 1 : end + 1] = self.used + np.cumsum(sizes)
         self.used += total
         self.known.new = []
 
     def batch(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         """The ids of each text, and the end id after them."""
         if len(self.known) > MEMO:
-            held = self.pieces
-            self.clear()
-            self.pieces = held if len(held) < MEMO else {}
+            self._age()
         get, numbers, out = self.known.__getitem__, [], []
         for t in texts:
             if t and any(s in t for s in self.special):  # a special token may take white space around it
@@ -129,11 +162,7 @@ class Encoder:
             if k is None:
                 out.append(np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, end], np.uint16))
                 continue
-            first = self.starts[k]
-            size = self.starts[k + 1] - first
-            ends = np.cumsum(size)
-            x = np.empty(int(ends[-1]) + 1, np.uint16)
-            x[:-1] = self.flat[np.repeat(first - ends + size, size) + np.arange(ends[-1])]
+            x, _ = _gather(self.flat, self.starts, k, 1)
             x[-1] = end
             out.append(x)
         return out
@@ -178,16 +207,31 @@ class Index:
         df = np.bincount(term, minlength=terms)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * length / length.mean())
-        self.weight = (idf[term] * tf * (K1 + 1) / (tf + norm[self.doc]))
+        weight = idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])
+        often = np.flatnonzero(df * 8 >= n)  # their postings are kept as whole rows
+        self.row = np.full(terms, -1)
+        self.row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), n), np.float32)
+        whole = self.row[term] >= 0
+        self.rows[self.row[term[whole]], self.doc[whole]] = weight[whole]
+        self.doc, self.weight = self.doc[~whole], weight[~whole]
+        df[often] = 0
         self.starts, self.n = np.concatenate([[0], np.cumsum(df)]), n
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
         """BM25 of every document for distinct query terms."""
+        row = self.row[terms]
+        asked = np.zeros(len(self.rows), np.float32)
+        asked[row[row >= 0]] = 1
+        out = (asked @ self.rows).astype(np.float64)
+        terms = terms[row < 0]
         a = self.starts[terms]
         size = self.starts[terms + 1] - a
         ends = np.cumsum(size)
-        at = np.repeat(a - ends + size, size) + np.arange(ends[-1])
-        return np.bincount(self.doc[at], self.weight[at], self.n)
+        if len(ends):
+            at = np.repeat(a - ends + size, size) + np.arange(ends[-1])
+            out += np.bincount(self.doc[at], self.weight[at], self.n)
+        return out
 
 
 def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
@@ -217,7 +261,9 @@ def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, i
             if i is None:
                 if not found:
                     found = True
-                    s = np.where(open_, index.scores(np.unique(docs[back[seed]]).astype(np.int64)), -1.0)
+                    asked = np.zeros(1 << 16, bool)
+                    asked[docs[back[seed]]] = True
+                    s = np.where(open_, index.scores(np.flatnonzero(asked)), -1.0)
                     some = min(len(s), max(8, 4 * room // max(1, total // max(1, int(open_.sum())))))
                     top = np.argpartition(-s, some - 1)[:some] if some < len(s) else np.arange(len(s))
                     order = iter(top[np.lexsort((top, -s[top]))].tolist())
@@ -237,12 +283,13 @@ def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, i
     return out
 
 
-def packed(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = 1, id: str = "doc_id", text: str = "text", shard_docs: int = SHARD_DOCS) -> DataFrame:
+def packed(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = 1, id: str = "doc_id", text: str = "text", shard_docs: int = SHARD_DOCS, then: Kernel | None = None, schema: str = PIECES_SQL) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens, sequence_id, offset): one row for each piece; ids as in tokens().
 
     A piece holds the ids [start, start + length) of its document and lies at offset in its sequence, gapless from 0.
     Null and empty texts are the end id alone. Null ids are packed as well; repeated rows are documents of their own. No
-    rows give none. Only the last sequence of a shard may be shorter than the window. Other columns are ignored.
+    rows give none. Only the last sequence of a shard may be shorter than the window. Other columns are ignored. then: a
+    further kernel over the result's batches, and schema: what it returns.
     """
     spark = docs.sparkSession
     shards = max(1, round(docs.count() / shard_docs))
@@ -286,15 +333,16 @@ def packed(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = 1,
         trim()
 
     dealt = rows.repartition(partitions(spark), "shard").sortWithinPartitions("shard")
-    return dealt.select("shard", "id", "ids").mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return dealt.select("shard", "id", "ids").mapInArrow((lambda it: then(run(it))) if then else run, schema)
 
 
-def digested(pieces: DataFrame) -> DataFrame:
-    """ids replaced by ids_crc32 (long): of the piece's ids as little-endian unsigned 32-bit integers."""
+def digest_kernel(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ids replaced by ids_crc32: of the piece's ids as little-endian unsigned 32-bit integers."""
+    for b in it:
+        crc = [crc32(np.frombuffer(x.as_buffer(), "<u2").astype("<u4").tobytes()) for x in b["ids"]]
+        yield pa.RecordBatch.from_arrays([pa.array(crc, pa.int64()) if c == "ids" else b[c] for c in b.schema.names], ["ids_crc32" if c == "ids" else c for c in b.schema.names])
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            crc = [crc32(np.frombuffer(x.as_buffer(), "<u2").astype("<u4").tobytes()) for x in b["ids"]]
-            yield pa.RecordBatch.from_arrays([*[b[c] for c in ("doc_id", "start", "length")], pa.array(crc, pa.int64()), *[b[c] for c in ("doc_tokens", "sequence_id", "offset")]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return pieces.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """packed(), with digest_kernel over its batches."""
+    return packed(docs, vocabulary, then=digest_kernel, schema=PIECES_SQL.replace("ids binary", "ids_crc32 long"))

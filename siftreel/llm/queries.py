@@ -39,7 +39,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digested(packing.packed(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+    return packing.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
