@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.structs import FTYP, VP8X, decode, encode
 from ..operators import mp4, webp
 from ..operators.dispatch import format_of, sanitize, sanitized
 from .fixtures import MP4, PIECES, STREAMS, UNTIL_END, mp4_fixtures, stream_fixtures, webp_fixtures
@@ -80,6 +81,20 @@ def mp4_media_zeroed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.select(_key(), F.length("content").cast("bigint").alias("n_bytes"), none.alias("no_media"))
 
 
+def mp4_ftyp_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    walked = mp4.mp4_walk(mp4_fixtures(spark, sf_dir)).where("ftyp is not null").select("path", decode(F.col("ftyp"), FTYP).alias("d"))
+    v = F.col("d.value")
+    return walked.select(_key(), v["major_brand"].alias("major_brand"), v["minor_version"].alias("minor_version"), F.array_join(v["compatible_brands"], ",").alias("brands"), F.lower(F.hex(encode(v, FTYP))).alias("encoded"))
+
+
+def webp_vp8x_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = F.substring(F.col("content"), 21, 10)
+    files = webp_fixtures(spark, sf_dir).where("layout in (2, 3, 4, 5, 6, 7, 13, 14, 16)").select("p_partkey", data.alias("data"), decode(data, VP8X, big=False, truncated="TruncatedChunk").alias("d"))
+    v = F.col("d.value")
+    same = F.coalesce(encode(v, VP8X, big=False) == F.col("data"), F.lit(False))
+    return files.select("p_partkey", F.col("d.code").alias("code"), v["flags"].alias("flags"), v["canvas_width"].alias("canvas_width"), v["canvas_height"].alias("canvas_height"), same.alias("encodes_back"))
+
+
 def webp_chunk_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = webp_fixtures(spark, sf_dir).where("layout in (0, 1, 2, 4, 6, 11)")
     return webp.webp_chunks(files).select(_part(), "ord", "depth", "pos", F.trim("name").alias("name"), "len")
@@ -123,7 +138,7 @@ def ext_verdict_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mp4_box_walk": mp4_box_walk, "mp4_verdict": mp4_verdict, "mp4_span": mp4_span, "mp4_cumulative_mdat": mp4_cumulative_mdat, "mp4_pad_displacement": mp4_pad_displacement, "mp4_chunk_offsets": mp4_chunk_offsets,
-    "mp4_metadata_hash": mp4_metadata_hash, "mp4_sanitized_roundtrip": mp4_sanitized_roundtrip, "mp4_track_stats": mp4_track_stats, "mp4_media_zeroed": mp4_media_zeroed, "webp_chunk_walk": webp_chunk_walk,
+    "mp4_metadata_hash": mp4_metadata_hash, "mp4_sanitized_roundtrip": mp4_sanitized_roundtrip, "mp4_track_stats": mp4_track_stats, "mp4_media_zeroed": mp4_media_zeroed, "mp4_ftyp_fields": mp4_ftyp_fields, "webp_vp8x_fields": webp_vp8x_fields, "webp_chunk_walk": webp_chunk_walk,
     "webp_verdict": _webp(False), "webp_unknown_chunks": _webp(True), "webp_vp8l_header": webp_vp8l_header, "webp_vp8l_codes": webp_vp8l_codes, "format_dispatch": format_dispatch, "format_guess": format_guess,
     "ext_verdict_rollup": ext_verdict_rollup,
 }
@@ -204,6 +219,14 @@ ORACLES: dict[str, str] = {
     "mp4_sanitized_roundtrip": "SELECT o_orderkey, true AS ok, true AS nothing_to_do FROM orders WHERE o_orderkey % 20 IN (0, 1, 2, 3, 4, 5, 12, 15)",
     "mp4_track_stats": f"WITH {_ORDERS} SELECT o_orderkey, 1 AS traks, (CASE layout WHEN 17 THEN 1 ELSE n END)::BIGINT AS chunks FROM o WHERE layout NOT IN (8, 14, 16, 19)",
     "mp4_media_zeroed": f"WITH {_ORDERS} SELECT o_orderkey, (20 + m + CASE layout WHEN 12 THEN 2 * d + 21 ELSE d END)::BIGINT AS n_bytes, true AS no_media FROM o WHERE layout IN (0, 1, 12)",
+    "mp4_ftyp_fields": """
+        SELECT o_orderkey, brand AS major_brand, 0::BIGINT AS minor_version, brand AS brands, hexed || '00000000' || hexed AS encoded
+        FROM (SELECT o_orderkey, CASE o_orderkey % 20 WHEN 10 THEN 'mp41' ELSE 'isom' END AS brand, CASE o_orderkey % 20 WHEN 10 THEN '6d703431' ELSE '69736f6d' END AS hexed FROM orders WHERE o_orderkey % 20 <> 6)""",
+    "webp_vp8x_fields": """
+        WITH p AS (SELECT p_partkey, p_size, (p_partkey % 17)::INTEGER AS layout FROM part)
+        SELECT p_partkey, CASE layout WHEN 13 THEN 'InvalidInput' END AS code, CASE layout WHEN 2 THEN 0 WHEN 3 THEN 0 WHEN 4 THEN 16 WHEN 5 THEN 16 WHEN 6 THEN 2 WHEN 7 THEN 2 WHEN 14 THEN 32 WHEN 16 THEN 8 END::INTEGER AS flags,
+               CASE layout WHEN 13 THEN NULL WHEN 3 THEN p_size + 1 ELSE p_size END::BIGINT AS canvas_width, CASE layout WHEN 13 THEN NULL ELSE 1 + p_partkey % 16 END::BIGINT AS canvas_height, layout <> 13 AS encodes_back
+        FROM p WHERE layout IN (2, 3, 4, 5, 6, 7, 13, 14, 16)""",
     "webp_chunk_walk": f"""
         WITH chunks(layout, ord, depth, pos, name, len) AS (VALUES {_chunk_rows()})
         SELECT p_partkey, ord, depth, pos::BIGINT AS pos, name, len::BIGINT AS len FROM part JOIN chunks ON layout = p_partkey % 17""",
