@@ -18,12 +18,19 @@ from pyspark.sql import functions as F
 from .common import drop, partitions, ship, table
 from .components import components
 
-#: Tables, hyperplanes of each, rows of a chunk. A pair at cosine 0.93 agrees with a hyperplane with probability 0.880:
-#: it shares one of 32 buckets of 12 bits with probability 0.9996, and more surely the closer it is.
-TABLES, BITS, CHUNK = 32, 12, 1_024
+#: Hyperplanes of a table, the share of pairs at the threshold that may be missed, rows of a chunk. More vectors want more
+#: hyperplanes (smaller buckets); the number of tables follows, so the share that is missed stays.
+BITS, MISSED, CHUNK = 10, 4e-4, 1_024
 SEED = 20_240_611
 
 
+def tables_for(least: float, bits: int = BITS, missed: float = MISSED) -> int:
+    """Tables so that a pair at cosine `least` shares no bucket with probability `missed` at most. One hyperplane agrees
+    with probability 1 - angle / pi; at 0.93 that is 0.880, and 24 tables of 10 hyperplanes do."""
+    agree = (1 - np.arccos(min(1.0, max(-1.0, least))) / np.pi) ** bits
+    return max(1, int(np.ceil(np.log(missed) / np.log1p(-agree)))) if agree < 1 else 1
+
+
 def planes(dim: int, tables: int, bits: int) -> np.ndarray:
     return np.random.default_rng([SEED, dim, tables, bits]).standard_normal((dim, tables * bits))
 
@@ -52,7 +59,7 @@ def _usable(v: Column) -> Column:
 
 
 def near_dups(
-    vectors: DataFrame, least: float = 0.93, id: str = "vec_id", vector: str = "embedding", label: str = "label", tables: int = TABLES, bits: int = BITS, chunk: int = CHUNK
+    vectors: DataFrame, least: float = 0.93, id: str = "vec_id", vector: str = "embedding", label: str = "label", bits: int = BITS, missed: float = MISSED, chunk: int = CHUNK
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row with an id; see the module's text for the method.
 
@@ -62,18 +69,23 @@ def near_dups(
     """
     spark = vectors.sparkSession
     ship(spark)
-    all_ids = vectors.select(F.col(f"`{id}`").cast("long").alias("vec_id"), F.col(f"`{label}`").alias("label"), F.col(f"`{vector}`").cast("array<double>").alias("v")).where("vec_id is not null")
+    tables = tables_for(least, bits, missed)
+    of_floats = vectors.schema[vector].dataType.simpleString() == "array<float>"  # half the bytes, the same numbers
+    number = "float" if of_floats else "double"
+    all_ids = vectors.select(F.col(f"`{id}`").cast("long").alias("vec_id"), F.col(f"`{label}`").alias("label"), F.col(f"`{vector}`").cast(f"array<{number}>").alias("v")).where("vec_id is not null")
     good = all_ids.where(F.col("label").isNotNull() & _usable(F.col("v")))
     own = table(good.select("vec_id", "label", F.xxhash64("v").alias("h"), "v"), "vectors")
     reps = table(own.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "vectors")
 
+    small = np.uint16 if bits <= 16 else np.int32
+
     def hashed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for dim in np.unique(batch["dim"].to_numpy()):
                 b = batch.filter(pa.array(batch["dim"].to_numpy() == dim))
-                x = b["v"].flatten().to_numpy().reshape(b.num_rows, dim)
+                x = b["v"].flatten().to_numpy().astype(np.float64).reshape(b.num_rows, dim)
                 sig = signatures(x / np.abs(x).max(1, keepdims=True), tables, bits)
-                raw = pa.array([s.tobytes() for s in sig], pa.binary())
+                raw = pa.array([s.tobytes() for s in sig.astype(small)], pa.binary())
                 for t in range(tables):
                     yield pa.RecordBatch.from_arrays(
                         [b["label"], b["dim"], pa.array(np.full(b.num_rows, t, np.int32)), pa.array(sig[:, t]), b["rep"], b["weight"], b["v"], raw],
@@ -81,7 +93,7 @@ def near_dups(
                     )
 
     kind = reps.schema["label"].dataType.simpleString()
-    sig = reps.select("label", F.size("v").alias("dim"), "rep", "weight", "v").mapInArrow(hashed, f"label {kind}, dim int, t int, bucket int, rep long, weight long, v array<double>, sig binary")
+    sig = reps.select("label", F.size("v").alias("dim"), "rep", "weight", "v").mapInArrow(hashed, f"label {kind}, dim int, t int, bucket int, rep long, weight long, v array<{number}>, sig binary")
     key = ["label", "dim", "t", "bucket"]
     large = table(sig.groupBy(*key).count().where(F.col("count") > chunk), "large")
     chunks = F.ceil(F.coalesce("count", F.lit(1)) / chunk).cast("int")
@@ -93,10 +105,10 @@ def near_dups(
         n = t.num_rows
         ids, weight, c, dim = t["rep"].to_numpy(), t["weight"].to_numpy(), t["c"].to_numpy(), t["dim"][0].as_py()
         at, i, j = t["t"][0].as_py(), t["i"][0].as_py(), t["j"][0].as_py()
-        x = t["v"].combine_chunks().flatten().to_numpy().reshape(n, dim)
+        x = t["v"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(n, dim)
         x = x / np.abs(x).max(1, keepdims=True)
         x = x / np.sqrt((x * x).sum(1, keepdims=True))
-        s = np.frombuffer(b"".join(t["sig"].to_pylist()), np.int32).reshape(n, tables)
+        s = np.frombuffer(b"".join(t["sig"].to_pylist()), small).reshape(n, tables)
         root, links = list(range(n)), np.zeros(n, np.int64)
         first = np.flatnonzero(c == i)
         second = np.flatnonzero(c == j)
