@@ -81,10 +81,30 @@ ORACLES = {
         SELECT doc_id, CASE WHEN old IS NULL THEN NULL ELSE array_to_string(kept, chr(10)) END AS text,
                coalesce(len(old), 0)::BIGINT AS n_lines, coalesce(len(old) - len(kept), 0)::BIGINT AS n_dropped
         FROM cut""",
+    "op4_url_filter": f"""
+        WITH RECURSIVE tags AS (SELECT url AS a, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]+>')) AS tag FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+        named AS (SELECT a, replace(CASE WHEN regexp_matches(tag, '(?is)^<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b') THEN regexp_extract(tag, '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1)
+                                    WHEN regexp_matches(tag, '(?is)\\bhttp-equiv\\s*=\\s*["'']?refresh\\b') THEN regexp_extract(tag, '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>;]+)', 1) END, '&amp;', '&') AS b FROM tags),
+        edges AS (SELECT a, b FROM named WHERE contains(b, '://') AND a <> b UNION SELECT b, a FROM named WHERE contains(b, '://') AND a <> b),
+        nodes AS (SELECT DISTINCT url FROM pages UNION SELECT a FROM edges),
+        split AS (SELECT url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM nodes),
+        rules(verdict, rule_host, rule_path) AS (VALUES {", ".join(str(r) for r in url_filter.RULES)}),
+        fitting AS (SELECT url, rule_host || rule_path AS rule, verdict, row_number() OVER (PARTITION BY url ORDER BY length(rule_host || rule_path) DESC, verdict) AS k
+                    FROM split JOIN rules ON (host = rule_host OR suffix(host, '.' || rule_host)) AND prefix(path, rule_path)),
+        bad AS (SELECT url FROM fitting WHERE k = 1 AND verdict = 'block' UNION SELECT edges.b FROM bad JOIN edges ON edges.a = bad.url)
+        SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN bad.url IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+        FROM pages JOIN split ON split.url IS NOT DISTINCT FROM pages.url LEFT JOIN (SELECT * FROM fitting WHERE k = 1) f ON f.url = pages.url LEFT JOIN bad ON bad.url = pages.url""",
     "op5_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::DOUBLE) AS v FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         s AS (SELECT q.vec_id AS query_id, r.vec_id, list_dot_product(q.v, r.v)::BIGINT AS score FROM v q JOIN v r ON q.vec_id <> r.vec_id AND len(q.v) = len(r.v) WHERE q.vec_id % 100 = 0),
         k AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 10""",
+    "op10_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+                   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+        n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a), c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings LEFT JOIN n ON n.a = vec_id JOIN c ON c.a = vec_id""",
 }
