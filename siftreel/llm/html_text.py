@@ -42,6 +42,7 @@ BAD_WORDS = frozenset(
     "social share sharing sharebar related recommended recommendations comment comments commentlist reply replies respond disqus discussion widget widgets pagination pager copyright disclaimer legal "
     "hidden skip paywall form search".split()
 )
+_STATES = frozenset("has no not with without open closed enabled disabled".split())
 GOOD_TAGS = {"article": 8.0, "main": 8.0}
 GOOD_WORDS = {"article": 4.0, "content": 4.0, "post": 3.0, "entry": 3.0, "story": 4.0, "body": 2.0, "text": 2.0, "main": 4.0, "blog": 2.0}
 BASE, PER_CHAR, MOST_CHARS, LINKED, HEADING, ITEM, LEGAL = 0.4, 0.02, 4.0, 6.0, 1.0, -0.8, 5.0
@@ -82,6 +83,8 @@ def evidence(name: str, attrs: str) -> tuple[float, float]:
             elif key in ("class", "id"):
                 for part in value.split():
                     words = [w.lower() for w in _CAMEL.split(part) if w]
+                    if _STATES & set(words):  # says what the page has around here, not what this element is
+                        continue
                     head = {"header", "head"} & set(words) and {"article", "entry", "post", "story"} & set(words)
                     if not head and BAD_WORDS & set(words):
                         bad = min(bad, -25.0)

@@ -40,6 +40,11 @@ def test_without_markup_of_parts():
     assert main_text(page) == f"A heading\n\n{LONG}\n\nTiny.\n\n{LONG}"
 
 
+def test_classes_of_states():
+    page = f'<div class="layout has-sidebar"><article class="post comments-open no-ads">{BODY}</article></div>'
+    assert main_text(page) == WANT
+
+
 @pytest.mark.parametrize("page, want", [(None, ""), ("", ""), ("plain", "plain"), ("a < b", "a < b"), ("<p>x", "x"), ("</p></div>x", "x"), ("<p>a &lt;b&gt; &nbsp; c</p>", "a <b> c"), ("<p>a</p", "a"), ("<script>no", ""), ("<!-- no", ""), ("<b><p>x</b>y</p>", "xy"), ("<p title='>'>x</p>", "x"), ("<p title=\">x</p>", "x")])
 def test_odd(page, want):
     assert main_text(page) == want
