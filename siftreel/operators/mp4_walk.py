@@ -165,7 +165,7 @@ def walk(f: BinaryIO, length: int, limit: int = METADATA_LIMIT, mdat_size: int |
                 found, fault = [], e
             moovs.append({"ord": box.ord, "code": fault and fault.code, "arg": fault and fault.arg, "tables": [{"at": a, "n": k, "width": w} for a, k, w in found]})
         pos = end
-    return {"length": length, "boxes": [b._asdict() for b in boxes], "cut": cut, "ftyp": ftyp, "moov": moov, "moovs": moovs}
+    return {"length": length, "boxes": boxes, "cut": cut, "ftyp": ftyp, "moov": moov, "moovs": moovs}
 
 
 BOX_SQL = "struct<ord int, pos decimal(20,0), header_len int, size decimal(20,0), kind string, type string, uuid binary>"
@@ -178,20 +178,47 @@ _TYPES = {"length": pa.decimal128(20), "boxes": pa.list_(_BOX), "cut": pa.bool_(
 
 
 def plain(w: dict) -> dict:
-    """A walk with values that Arrow takes for WALK_SQL."""
-    boxes = [b | {"pos": Decimal(b["pos"]), "size": None if b["size"] is None else Decimal(b["size"]), "type": b["type"].decode("latin-1")} for b in w["boxes"]]
+    """A walk as nested dictionaries of values that Spark takes for WALK_SQL."""
+    boxes = [b._asdict() | {"pos": Decimal(b.pos), "size": None if b.size is None else Decimal(b.size), "type": b.type.decode("latin-1")} for b in w["boxes"]]
     return w | {"length": Decimal(w["length"]), "boxes": boxes}
 
 
+def _decimals(x: list[int | None]) -> pa.Array:
+    try:
+        return pa.array(x, pa.int64()).cast(pa.decimal128(20))
+    except (OverflowError, pa.ArrowInvalid):  # over 63 bits
+        return pa.array([None if v is None else Decimal(v) for v in x], pa.decimal128(20))
+
+
+def columns(walks: list[dict]) -> list[pa.Array]:
+    """The walks as Arrow columns, in the order of WALK_SQL."""
+    boxes = [b for w in walks for b in w["boxes"]]
+    ends = [0]
+    for w in walks:
+        ends.append(ends[-1] + len(w["boxes"]))
+    ord, pos, header_len, size, kind, code, uuid = (list(x) for x in zip(*boxes, strict=True)) if boxes else ([] for _ in range(7))
+    fields = [pa.array(ord, pa.int32()), _decimals(pos), pa.array(header_len, pa.int32()), _decimals(size), pa.array(kind, pa.string()), pa.array([c.decode("latin-1") for c in code], pa.string()), pa.array(uuid, pa.binary())]
+    listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_BOX)))
+    return [_decimals([w["length"] for w in walks]), listed, *[pa.array([w[c] for w in walks], _TYPES[c]) for c in ("cut", "ftyp", "moov", "moovs")]]
+
+
+#: Files and bytes of metadata that go out together.
+FILES, BYTES = 1_000, 16 << 20
+
+
 def kernel(kept: list[str], content: str, limit: int, mdat_size: int | None):
     """A mapInArrow kernel: the kept columns as they are, and the walk's. A null content is an empty file."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
+            start, walks, held = 0, [], 0
             for k in range(b.num_rows):
                 raw = b[content][k].as_py() or b""
-                w = plain(walk(BytesIO(raw), len(raw), limit, mdat_size))
-                one = b.slice(k, 1)
-                yield pa.RecordBatch.from_arrays([*[one[c] for c in kept], *[pa.array([w[c]], t) for c, t in _TYPES.items()]], [*kept, *_TYPES])
+                walks.append(walk(BytesIO(raw), len(raw), limit, mdat_size))
+                held += len(walks[-1]["moov"] or b"") + ("content" in kept) * len(raw)
+                if len(walks) == FILES or held > BYTES or k == b.num_rows - 1:
+                    part = b.slice(start, len(walks))
+                    yield pa.RecordBatch.from_arrays([*[part[c] for c in kept], *columns(walks)], [*kept, *_TYPES])
+                    start, walks, held = k + 1, [], 0
 
     return run
