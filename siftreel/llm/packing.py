@@ -1,15 +1,17 @@
 """Lexical retrieval packing: fill windows of tokens with documents that a BM25 index finds alike.
 
-Documents are dealt into shards by a hash of their id. A shard has an inverted index over its documents' token ids. The
-shard's longest rest seeds a window: BM25 ranks the shard's unused documents against the seed, and the best ones fill the
-window greedily; the last one is cut and its rest stays unused. A document longer than a window first fills windows by
-itself. All windows of a shard are full but its last. When nothing unused shares a term with the seed, the next longest
-rests follow.
+The longest rest seeds a window: BM25 ranks all unused documents of the table against the seed, and the best ones fill
+the window greedily; the last one is cut and its rest stays unused. A document longer than a window first fills windows
+by itself. All windows are full but the last. When nothing unused shares a term with the seed, the next longest rests
+follow. Small tables are packed by one task (pack). Larger ones go in rounds (_rounds): a block of seeds is held against
+every part of the index, the best of all parts are merged, and the driver deals them out in the seeds' order; a window
+that uses up its neighbours asks again in the next round.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -21,10 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, ship, trim
+from .common import partitions, shared_dir, ship, table, trim
 
-#: Tokens of a window; documents of a shard; BM25's parameters; words that a task remembers.
+#: Tokens of a window; documents that one task packs alone; BM25's parameters; words that a task remembers.
 WINDOW, SHARD_DOCS, K1, B, MEMO = 2_048, 1_024, 1.2, 0.75, 500_000
+#: Documents of a part of the index; neighbours of all seeds of a round, of one seed at least; tokens of a round's seeds.
+PART_DOCS, ROUND, NEIGHBOURS, SEED_TOKENS = 4_096, 1 << 18, 32, 1 << 23
 
 
 PIECES_SQL = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -189,12 +193,16 @@ def tokens(docs: DataFrame, vocabulary: str, end: int = 1, id: str = "doc_id", t
     return rows.mapInArrow(run, "id long, ids binary")
 
 
-# ---- one shard
+# ---- the index
+
+def idf_of(df: np.ndarray, n: int) -> np.ndarray:
+    return np.log1p((n - df + 0.5) / (df + 0.5))
+
 
 class Index:
-    """An inverted BM25 index over token ids."""
+    """An inverted BM25 index over token ids. whole: (idf of each term, mean length) of a table that docs are a part of."""
 
-    def __init__(self, docs: list[np.ndarray], terms: int = 1 << 16):
+    def __init__(self, docs: list[np.ndarray], terms: int = 1 << 16, whole: tuple[np.ndarray, float] | None = None):
         n = len(docs)
         length = np.array([len(d) for d in docs], np.float64)
         wide = np.uint32 if terms * n < 2**32 else np.uint64
@@ -205,16 +213,16 @@ class Index:
         key = key[first]
         term, self.doc = key // wide(n), (key % wide(n)).astype(np.intp)
         df = np.bincount(term, minlength=terms)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * length / length.mean())
+        idf, mean = whole or (idf_of(df, n), length.mean())
+        norm = K1 * (1 - B + B * length / mean)
         weight = idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])
         often = np.flatnonzero(df * 8 >= n)  # their postings are kept as whole rows
         self.row = np.full(terms, -1)
         self.row[often] = np.arange(len(often))
         self.rows = np.zeros((len(often), n), np.float32)
-        whole = self.row[term] >= 0
-        self.rows[self.row[term[whole]], self.doc[whole]] = weight[whole]
-        self.doc, self.weight = self.doc[~whole], weight[~whole]
+        dense = self.row[term] >= 0
+        self.rows[self.row[term[dense]], self.doc[dense]] = weight[dense]
+        self.doc, self.weight = self.doc[~dense], weight[~dense]
         df[often] = 0
         self.starts, self.n = np.concatenate([[0], np.cumsum(df)]), n
 
@@ -233,6 +241,22 @@ class Index:
             out += np.bincount(self.doc[at], self.weight[at], self.n)
         return out
 
+    def block(self, queries: list[np.ndarray]) -> np.ndarray:
+        """scores() of several queries, as 32-bit floats: one row each."""
+        terms, of = np.concatenate(queries), np.repeat(np.arange(len(queries)), [len(q) for q in queries])
+        row = self.row[terms]
+        asked = np.zeros((len(queries), len(self.rows)), np.float32)
+        asked[of[row >= 0], row[row >= 0]] = 1
+        out = asked @ self.rows
+        terms, of = terms[row < 0], of[row < 0]
+        a = self.starts[terms]
+        size = self.starts[terms + 1] - a
+        if total := int(size.sum()):
+            ends = np.cumsum(size)
+            at = np.repeat(a - ends + size, size) + np.arange(total)
+            out += np.bincount(np.repeat(of, size) * self.n + self.doc[at], self.weight[at], out.size).reshape(out.shape).astype(np.float32)
+        return out
+
 
 def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
     """Windows of (document, start, length) pieces: each token lies in one piece; all windows but the last are full."""
@@ -267,6 +291,9 @@ def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, i
                     some = min(len(s), max(8, 4 * room // max(1, total // max(1, int(open_.sum())))))
                     top = np.argpartition(-s, some - 1)[:some] if some < len(s) else np.arange(len(s))
                     order = iter(top[np.lexsort((top, -s[top]))].tolist())
+                elif some < len(s):  # the best are used up: the other neighbours follow
+                    some, rest = len(s), np.flatnonzero((s > 0) & open_)
+                    order = iter(rest[np.lexsort((rest, -s[rest]))].tolist())
                 else:  # neighbours are used up: the longest rests follow
                     order = iter([j for j in by_size[nxt:] if open_[j]])
                 continue
@@ -283,57 +310,227 @@ def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, i
     return out
 
 
+def _best(score: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k greatest scores of each row, in no order."""
+    return np.argpartition(-score, k - 1, axis=1)[:, :k] if k < score.shape[1] else np.broadcast_to(np.arange(score.shape[1]), score.shape)
+
+
+def _merged(old: tuple[np.ndarray, np.ndarray], doc: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of two rows of neighbours."""
+    doc, score = np.concatenate([old[0], doc]), np.concatenate([old[1], score])
+    best = np.lexsort((doc, -score))[:k]
+    return doc[best], score[best]
+
+
+FOUND_SQL = "seed int, docs binary, scores binary"
+
+
+def _neighbours(held: DataFrame, number: Callable[[np.ndarray], np.ndarray], left: np.ndarray, seeds: list[int], k: int, whole) -> list[np.ndarray]:
+    """The k best unused documents of the whole table for each seed, best first; fewer only if no more share a term."""
+    spark = held.sparkSession
+    sc = spark.sparkContext
+    wanted = sc.broadcast(np.sort(np.array(seeds, np.int64)))
+    place = {d: i for i, d in enumerate(seeds)}
+
+    def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            d = number(b["doc"].to_numpy())
+            at = np.flatnonzero(np.isin(d, wanted.value))
+            terms = [np.unique(np.frombuffer(b["ids"][i].as_py(), "<u2")).astype("<u2").tobytes() for i in at.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(terms, pa.binary())], ["doc", "terms"])
+
+    queries: list = [None] * len(seeds)
+    for r in held.select("doc", "ids").mapInArrow(ask, "doc long, terms binary").collect():
+        queries[place[r["doc"]]] = bytes(r["terms"])
+    asked, unused = sc.broadcast(queries), sc.broadcast(np.packbits(left > 0))
+
+    def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query = [np.frombuffer(q, "<u2") for q in asked.value]
+        open_, docs, ids = unused.value, [], []
+        best, scores = np.zeros((len(query), k), np.int64), np.zeros((len(query), k), np.float32)
+
+        def part() -> None:
+            index, names = Index(ids, whole=whole.value), np.array(docs)
+            for s in range(0, len(query), 128):
+                score = index.block(query[s : s + 128])
+                top = _best(score, k)
+                d, x = np.concatenate([best[s : s + 128], names[top]], 1), np.concatenate([scores[s : s + 128], np.take_along_axis(score, top, 1)], 1)
+                top = _best(x, k)
+                best[s : s + 128], scores[s : s + 128] = np.take_along_axis(d, top, 1), np.take_along_axis(x, top, 1)
+
+        for b in it:
+            d = number(b["doc"].to_numpy())
+            for i in np.flatnonzero(open_[d >> 3] >> (7 - (d & 7)).astype(np.uint8) & 1).tolist():
+                docs.append(int(d[i]))
+                ids.append(np.frombuffer(b["ids"][i].as_py(), "<u2"))
+                if len(ids) == PART_DOCS:
+                    part()
+                    docs, ids = [], []
+        if ids:
+            part()
+        for s in range(0, len(best), 2_000):
+            x = [(d[y > 0], y[y > 0]) for d, y in zip(best[s : s + 2_000], scores[s : s + 2_000], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(s, s + len(x)), pa.int32()), *[pa.array([y[c].tobytes() for y in x], pa.binary()) for c in (0, 1)]], ["seed", "docs", "scores"])
+        trim()
+
+    def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none, out = (np.zeros(0, np.int64), np.zeros(0, np.float32)), {}
+        for b in it:
+            for seed, d, s in zip(*[b[c].to_pylist() for c in ("seed", "docs", "scores")], strict=True):
+                new = np.frombuffer(d, np.int64), np.frombuffer(s, np.float32)
+                out[seed] = _merged(out.get(seed, none), *new, k)
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), *[pa.array([x[c].tobytes() for x in out.values()], pa.binary()) for c in (0, 1)]], ["seed", "docs", "scores"])
+
+    rows = held.select("doc", "ids").coalesce(max(1, sc.defaultParallelism)).mapInArrow(search, FOUND_SQL)
+    out = [np.zeros(0, np.int64)] * len(seeds)
+    for r in rows.repartition(partitions(spark), "seed").mapInArrow(merge, FOUND_SQL).collect():
+        out[r["seed"]] = np.frombuffer(bytes(r["docs"]), np.int64)
+    for x in (wanted, asked, unused):
+        x.unpersist()
+    return out
+
+
+def _rounds(held: DataFrame, number: Callable, lengths: np.ndarray, window: int, whole) -> Iterator[list[tuple[int, int, int, int, int]]]:
+    """(document, start, length, window, offset) of the pieces that each round gives. lengths: tokens of each document."""
+    left = (lengths % window).astype(np.int64)
+    waiting: list[list[int]] = []  # windows that go on: seed, number, filled
+    count, total = 0, int(left.sum())
+    while total:
+        unused = np.flatnonzero(left > 0)
+        k = min(len(unused), max(NEIGHBOURS, 4 * window * len(unused) // total))
+        some = max(1, min(ROUND // k, total // window + 1) - len(waiting))
+        longest = unused[np.lexsort((unused, -left[unused]))]
+        ahead = longest[:some][np.cumsum(lengths[longest[:some]]) <= SEED_TOKENS].tolist() or longest[:1].tolist()
+        line = waiting + [[d, -1, 0] for d in ahead]
+        found = _neighbours(held, number, left, list(dict.fromkeys(w[0] for w in line)), k, whole)
+        near = dict(zip(dict.fromkeys(w[0] for w in line), found, strict=True))
+        waiting, pieces = [], []
+
+        def put(w: list[int], d: int) -> None:
+            nonlocal total
+            n = min(window - w[2], int(left[d]))
+            pieces.append((d, int(lengths[d] - left[d]), n, w[1], w[2]))
+            left[d] -= n
+            w[2] += n
+            total -= n
+
+        for w in line:
+            if w[1] < 0:
+                if not left[w[0]]:
+                    continue  # a neighbour of an earlier seed
+                w[1] = count
+                count += 1
+                put(w, w[0])
+            for d in near[w[0]].tolist():
+                if w[2] == window:
+                    break
+                if left[d]:
+                    put(w, d)
+            if w[2] < window and len(near[w[0]]) == k < len(unused):
+                waiting.append(w)
+                continue
+            if w[2] < window:  # no unused document is alike: the longest rests follow
+                for d in longest.tolist():
+                    if w[2] == window:
+                        break
+                    if left[d]:
+                        put(w, d)
+        yield pieces
+
+
 def packed(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = 1, id: str = "doc_id", text: str = "text", shard_docs: int = SHARD_DOCS, then: Kernel | None = None, schema: str = PIECES_SQL) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens, sequence_id, offset): one row for each piece; ids as in tokens().
 
     A piece holds the ids [start, start + length) of its document and lies at offset in its sequence, gapless from 0.
     Null and empty texts are the end id alone. Null ids are packed as well; repeated rows are documents of their own. No
-    rows give none. Only the last sequence of a shard may be shorter than the window. Other columns are ignored. then: a
-    further kernel over the result's batches, and schema: what it returns.
+    rows give none. Only the last sequence may be shorter than the window. Other columns are ignored. Tables of up to
+    shard_docs rows are packed by one task. then: a further kernel over the result's batches, and schema: what it returns.
     """
     spark = docs.sparkSession
-    shards = max(1, round(docs.count() / shard_docs))
-    rows = tokens(docs, vocabulary, end, id, text)
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.crc32("ids")), F.lit(shards)).cast("long"))
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, held = None, [], []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, held[k].tobytes()))  # whatever order they came in
-            some = []
-            for k, pieces in enumerate(pack([held[i] for i in order], window)):
-                offset = 0
-                for d, start, n in pieces:
-                    x = held[order[d]]
-                    some.append((ids[order[d]], start, n, x[start : start + n].tobytes(), len(x), (key << 32) + k, offset))
-                    offset += n
-                if len(some) >= 2_000:
-                    yield batch_of(some)
-                    some = []
-            if some:
-                yield batch_of(some)
-
-        def batch_of(some: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names)
+    sc = spark.sparkContext
+    held = table(tokens(docs, vocabulary, end, id, text).select(F.monotonically_increasing_id().alias("doc"), "id", "ids"), "tokens")
 
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-        names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    def sizes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A part's lengths, and in how many documents of it each term is."""
+        df = np.zeros(1 << 16, np.int64)
         for b in it:
-            for k, (s, i) in enumerate(zip(b["shard"].to_pylist(), b["id"].to_pylist(), strict=True)):
-                if s != key:
-                    if ids:
-                        yield from flush()
-                    key, ids, held = s, [], []
-                ids.append(i)
-                held.append(np.frombuffer(b["ids"][k].as_py(), "<u2"))
-        if ids:
-            yield from flush()
-        ids, held = [], []
+            size = np.empty(b.num_rows, "<i4")
+            for i, x in enumerate(b["ids"]):
+                x = np.frombuffer(x.as_buffer(), "<u2")
+                size[i] = len(x)
+                df[np.unique(x)] += 1
+            d = b["doc"].to_numpy()
+            for s, e in zip(*(lambda c: ([0, *c], [*c, len(d)]))((np.flatnonzero(np.diff(d) != 1) + 1).tolist()), strict=True):
+                if e > s:
+                    yield pa.RecordBatch.from_arrays([pa.array([int(d[s])]), pa.array([size[s:e].tobytes()], pa.binary())], ["key", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([df.tobytes()], pa.binary())], ["key", "value"])
+
+    df, runs = np.zeros(1 << 16, np.int64), []
+    for r in held.select("doc", "ids").coalesce(max(1, sc.defaultParallelism)).mapInArrow(sizes, "key long, value binary").collect():
+        if r["key"] < 0:
+            df += np.frombuffer(bytes(r["value"]), np.int64)
+        else:
+            runs.append((r["key"], np.frombuffer(bytes(r["value"]), "<i4")))
+    runs.sort(key=lambda x: x[0])
+    lengths = np.concatenate([x for _, x in runs]) if runs else np.zeros(0, np.int32)
+    firsts, bases = np.array([d for d, _ in runs], np.int64), np.cumsum([0, *[len(x) for _, x in runs]])[:-1]
+
+    def number(d: np.ndarray) -> np.ndarray:
+        """Numbers without gaps."""
+        run = np.searchsorted(firsts, d, "right") - 1
+        return bases[run] + d - firsts[run]
+
+    def rows_of(some: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names)
+
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+
+    def alone(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, all_ = [], []
+        for b in it:
+            ids += b["id"].to_pylist()
+            all_ += [np.frombuffer(x, "<u2") for x in b["ids"].to_pylist()]
+        order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, all_[k].tobytes()))  # whatever order they came in
+        for k, pieces in enumerate(pack([all_[i] for i in order], window)):
+            offset, some = 0, []
+            for d, start, n in pieces:
+                x = all_[order[d]]
+                some.append((ids[order[d]], start, n, x[start : start + n].tobytes(), len(x), k, offset))
+                offset += n
+            yield rows_of(some)
+
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            some, numbers = [], number(b["doc"].to_numpy()).tolist()
+            for i, (name, ids, pieces) in enumerate(zip(*[b[c].to_pylist() for c in ("id", "ids", "pieces")], strict=True)):
+                x = np.frombuffer(ids, "<u2")
+                full = [(w * window, window, (numbers[i] << 21) + (1 << 20) + w, 0) for w in range(len(x) // window)]
+                for start, n, seq, offset in full + [(p["start"], p["length"], p["seq"] << 21, p["offset"]) for p in pieces or []]:
+                    some.append((name, start, n, x[start : start + n].tobytes(), len(x), seq, offset))
+            if some:
+                yield rows_of(some)
         trim()
 
-    dealt = rows.repartition(partitions(spark), "shard").sortWithinPartitions("shard")
-    return dealt.select("shard", "id", "ids").mapInArrow((lambda it: then(run(it))) if then else run, schema)
+    def kernel(f: Kernel) -> Kernel:
+        return (lambda it: then(f(it))) if then else f
+
+    if len(lengths) <= shard_docs:
+        return held.select("id", "ids").coalesce(1).mapInArrow(kernel(alone), schema)
+    whole = sc.broadcast((idf_of(df, len(lengths)), float(lengths.mean())))
+    path = f"{shared_dir(spark)}/siftreel/pieces-{uuid.uuid4().hex}"
+    for pieces in _rounds(held, number, lengths, window, whole):
+        if pieces:
+            d, *rest = (np.array(c, np.int64) for c in zip(*pieces, strict=True))
+            run = np.searchsorted(bases, d, "right") - 1
+            own = pa.table(dict(zip(("doc", "start", "length", "seq", "offset"), [firsts[run] + d - bases[run], *rest], strict=True)))
+            spark.createDataFrame(own).coalesce(1).write.mode("append").parquet(path)
+    parts = spark.createDataFrame([], PART_SQL) if not (lengths % window).any() else spark.read.schema(PART_SQL).parquet(path)
+    parts = parts.groupBy("doc").agg(F.collect_list(F.struct("start", "length", "seq", "offset")).alias("pieces"))
+    return held.join(parts, "doc", "left").select("doc", "id", "ids", "pieces").mapInArrow(kernel(cut), schema)
+
+
+PART_SQL = "doc long, start long, length long, seq long, offset long"
 
 
 def digest_kernel(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -90,3 +90,32 @@ def test_null_and_repeated_ids(spark):
     got = sorted((str(r["doc_id"]), r["length"]) for r in packing.packed(df, VOCABULARY).collect())
     assert got == [("1", 3), ("1", 3), ("None", 1), ("None", 2)]
     assert json.loads(open(VOCABULARY).read())["model"]["vocab"]['"'] == 1
+
+
+def test_neighbours_of_the_whole_table(spark, tokenizer, monkeypatch):
+    """Windows are filled by topic, however the documents lie in the parts of the index."""
+    monkeypatch.setattr(packing, "PART_DOCS", 16)
+    r = np.random.default_rng(3)
+    words = [[f"{a}{b}{c}" for a in "bdfg"[t] for b in "aeiou" for c in "klmnprst"] for t in range(4)]
+    docs = [(i, " ".join(r.choice(words[i % 4], r.integers(50, 300)))) for i in range(160)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    got = [x.asDict() for x in packing.packed(df, VOCABULARY, shard_docs=20).collect()]
+    check(got, docs, tokenizer)
+    topics, sizes = {}, {}
+    for x in got:
+        topics.setdefault(x["sequence_id"], set()).add(x["doc_id"] % 4)
+        sizes[x["sequence_id"]] = sizes.get(x["sequence_id"], 0) + x["length"]
+    assert sum(n < 2048 for n in sizes.values()) <= 1  # one for the table, not one for each part
+    assert sum(len(t) == 1 for t in topics.values()) >= 0.7 * len(topics)
+
+
+def test_blocks_of_queries():
+    r = np.random.default_rng(4)
+    docs = [r.integers(0, 300, r.integers(1, 80)).astype(np.uint16) for _ in range(50)]
+    index = packing.Index(docs)
+    asked = [np.unique(d) for d in docs[:7]]
+    assert np.allclose(index.block(asked), [index.scores(q) for q in asked], atol=1e-4)
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=1 << 16)
+    whole = packing.idf_of(df, 50), float(np.mean([len(d) for d in docs]))
+    parts = [packing.Index(docs[s : s + 10], whole=whole).block(asked) for s in range(0, 50, 10)]
+    assert np.allclose(np.concatenate(parts, 1), index.block(asked), atol=1e-4)
