@@ -14,7 +14,7 @@ that:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -33,6 +33,8 @@ SEGMENTS, BUCKET = 6, 1_024
 WORDS, CHAIN = 16, 8
 #: Rows of a bucket whose pairs are all candidates; rows of a bucket in memory at a time.
 ALL_PAIRS, HELD = 16, 65_536
+#: Rows of one part of a bucket that is compared in pairs of parts; pairs sent out at a time.
+PART, SENT = 16_384, 1 << 18
 
 
 # ---- fingerprints
@@ -249,18 +251,22 @@ def most_bits(similarity: float, bits: int) -> int:
     return int(bits * share + 1.5 * np.sqrt(bits * share * (1 - share)))
 
 
-def link_similar(reps: DataFrame, most: int, words: int = WORDS, chain: int = CHAIN) -> DataFrame:
+def link_similar(reps: DataFrame, most: int, words: int = WORDS, chain: int = CHAIN, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(a, b): links between ids (long) whose fingerprints (fp binary of 64 * words bits) differ in at most most bits.
 
-    A pair is found if one of its 16-bit segments is equal and starts a chain within the budgets. For 64 segments and a
+    verify: what keeps those of the pairs (a, b) that are links. A pair is found if one of its 16-bit segments is equal and starts a chain within the budgets. For 64 segments and a
     Jaccard similarity of 0.8 about 4 segments are equal; the more similar, the more.
+
+    Large buckets first send out leaders' pairs and spanning forests. Whatever of these passes the full check makes
+    components; then all other pairs of such buckets whose ends lie in different components are sent out as well. So the
+    links connect what all pairs that share a chain would.
     """
     spark = reps.sparkSession
     ship(spark)
     m = 4 * words
     budget = [int(length * most / m) for length in range(chain + 1)]
 
-    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(it: Iterator[pa.RecordBatch], labelled: bool = False) -> Iterator[pa.RecordBatch]:
         for b in it:
             ids = b["id"].to_numpy()
             f = np.frombuffer(b"".join(b["fp"].to_pylist()), ">u2").reshape(len(ids), m).astype(np.uint64)
@@ -270,7 +276,7 @@ def link_similar(reps: DataFrame, most: int, words: int = WORDS, chain: int = CH
                 for k in range(1, chain):
                     follow[(k - 1) // 4] |= ring[:, s + k] << np.uint64(16 * ((k - 1) % 4))
                 key = (s << 16 | f[:, s].astype(np.int64)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(key), b["id"], *[pa.array(x.view(np.int64)) for x in follow]], ["key", "id", "c", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), b["id"], *[pa.array(x.view(np.int64)) for x in follow], *([b["of"]] if labelled else [])], ["key", "id", "c", "d", *(["of"] if labelled else [])])
 
     def within(c: np.ndarray, d: np.ndarray, e: np.ndarray, f: np.ndarray) -> np.ndarray:
         """The chain test: cumulative differences of the segments that follow an equal one."""
@@ -281,8 +287,8 @@ def link_similar(reps: DataFrame, most: int, words: int = WORDS, chain: int = CH
         ok &= np.bitwise_count(x).astype(np.int64) + np.bitwise_count(y) <= budget[chain]
         return ok
 
-    def large(i: np.ndarray, c: np.ndarray, d: np.ndarray) -> list[tuple[int, int]]:
-        """Leaders take what is within their chain; then members of different groups are compared, in blocks."""
+    def large(i: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
+        """Leaders take what is within their chain; then members of different groups are compared, in blocks. Pairs, leaders."""
         of, leaders, out = np.full(len(i), -1), [], []
         while (free := np.flatnonzero(of < 0)).size:
             top = free[0]
@@ -300,7 +306,7 @@ def link_similar(reps: DataFrame, most: int, words: int = WORDS, chain: int = CH
                     hit = within(c[r][:, None], d[r][:, None], c[None, t : t + 16_384], d[None, t : t + 16_384]) & (of[r][:, None] != of[None, t : t + 16_384])
                     p, q = np.nonzero(hit)
                     out += [(int(i[r[u]]), int(i[t + v])) for u, v in _forest(p, q + len(r), len(r) + hit.shape[1]) for v in [v - len(r)]]
-        return out
+        return out, leaders
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -309,14 +315,18 @@ def link_similar(reps: DataFrame, most: int, words: int = WORDS, chain: int = CH
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
             cut_at = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0  # the last bucket may go on
-            if len(now[0]) - cut_at > HELD:
-                cut_at = len(now[0])
+            carried: list[int] = []
+            if len(now[0]) - cut_at > HELD:  # the bucket's leaders meet what follows
+                yield from pairs(*now, carried)
+                held = [x[cut_at:][carried[: HELD // 2]] for x in now]
+                continue
             held = [x[cut_at:] for x in now]
             yield from pairs(*[x[:cut_at] for x in now])
         if held is not None:
             yield from pairs(*held)
 
-    def pairs(key: np.ndarray, i: np.ndarray, c: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(key: np.ndarray, i: np.ndarray, c: np.ndarray, d: np.ndarray, carried: list[int] | None = None) -> Iterator[pa.RecordBatch]:
+        """Pairs of buckets that are whole. carried: takes the leaders of the last one, as places in it."""
         if len(key) < 2:
             return
         cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
@@ -332,7 +342,10 @@ def link_similar(reps: DataFrame, most: int, words: int = WORDS, chain: int = CH
             b.append(i[p + gap])
         for k in np.flatnonzero(sizes > ALL_PAIRS).tolist():
             s, e = cuts[k], cuts[k + 1]
-            if out := large(i[s:e], c[s:e], d[s:e]):
+            out, leaders = large(i[s:e], c[s:e], d[s:e])
+            if carried is not None and e == len(key):
+                carried += leaders
+            if out:
                 x, y = zip(*out, strict=True)
                 a.append(np.array(x))
                 b.append(np.array(y))
@@ -343,16 +356,70 @@ def link_similar(reps: DataFrame, most: int, words: int = WORDS, chain: int = CH
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
     sig = reps.select("id", "fp").mapInArrow(cut, "key int, id long, c long, d long")
-    sig = sig.repartition(partitions(spark), "key").sortWithinPartitions("key", "c", "d")
-    found = table(sig.mapInArrow(run, "a long, b long").where("a != b").distinct(), "candidates")
+    dealt = sig.repartition(partitions(spark), "key").sortWithinPartitions("key", "c", "d")
+    found = table(dealt.mapInArrow(run, "a long, b long").where("a != b").distinct(), "candidates")
 
     def check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in it:
             x, y = (np.frombuffer(b"".join(t[c].to_pylist()), np.uint64).reshape(t.num_rows, words) for c in ("x", "y"))
             yield t.select(["a", "b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(1) <= most))
 
-    full = found.join(reps.select(F.col("id").alias("a"), F.col("fp").alias("x")), "a").join(reps.select(F.col("id").alias("b"), F.col("fp").alias("y")), "b")
-    return full.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    def passing(pairs: DataFrame) -> DataFrame:
+        full = pairs.join(reps.select(F.col("id").alias("a"), F.col("fp").alias("x")), "a").join(reps.select(F.col("id").alias("b"), F.col("fp").alias("y")), "b")
+        full = full.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+        return table(verify(full) if verify else full, "links")
+
+    def others(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All pairs within a chain of a bucket, or of two parts of it, whose ends lie in different components."""
+        held: list[np.ndarray] | None = None
+        for batch in it:
+            now = [batch[x].to_numpy() for x in ("key", "i", "j", "part", "id", "c", "d", "of")]
+            if not len(now[0]):
+                continue
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            cuts = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]) | (now[2][1:] != now[2][:-1])) + 1
+            for s, e in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=False):
+                yield from crossing(*[x[s:e] for x in now[1:]])
+            held = [x[cuts[-1] if len(cuts) else 0 :] for x in now]
+        if held is not None:
+            yield from crossing(*held[1:])
+
+    def crossing(u: np.ndarray, v: np.ndarray, part: np.ndarray, i: np.ndarray, c: np.ndarray, d: np.ndarray, of: np.ndarray) -> Iterator[pa.RecordBatch]:
+        c, d, out, n = c.view(np.uint64), d.view(np.uint64), [], 0
+        within_one = u[0] == v[0]
+        left = np.arange(len(i)) if within_one else np.flatnonzero(part == u[0])
+        right = left if within_one else np.flatnonzero(part == v[0])
+        for s in range(0, len(left), 256):
+            p = left[s : s + 256]
+            q = right[s:] if within_one else right
+            for t in range(0, len(q), 4_096):
+                w = q[t : t + 4_096]
+                x, y = np.nonzero(within(c[p][:, None], d[p][:, None], c[None, w], d[None, w]) & (of[p][:, None] != of[None, w]))
+                if len(x):
+                    out.append((np.minimum(i[p[x]], i[w[y]]), np.maximum(i[p[x]], i[w[y]])))
+                    n += len(x)
+                if n > SENT:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "b"])
+                    out, n = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "b"])
+
+    first = passing(found)
+    comps = table(components(first), "components")
+    label = reps.select("id").distinct().join(comps.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("of"))
+    signed = reps.select("id", "fp").join(label, "id").select("id", "fp", "of")
+    rows = signed.mapInArrow(lambda it: cut(it, True), "key int, id long, c long, d long, of long")
+    keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("of").alias("least"), F.max("of").alias("most")).where((F.col("n") > ALL_PAIRS) & (F.col("least") != F.col("most")))
+    keys = table(keys.select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "buckets")
+    if keys.isEmpty():
+        return first
+    rows = rows.join(keys, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "c", "d", "of")
+    rows = rows.repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    more = rows.mapInArrow(others, "a long, b long").where("a != b").distinct().join(found, ["a", "b"], "left_anti")
+    return first.unionByName(passing(table(more, "candidates")))
 
 
 #: Ids that may be broadcast when documents are taken out (8 bytes each).

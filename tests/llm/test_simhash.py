@@ -130,3 +130,20 @@ def test_large_buckets(spark, monkeypatch):
     df = spark.createDataFrame([(i, bytearray(x.astype(">u8").tobytes())) for i, x in enumerate(fps)], "id long, fp binary")
     got = [tuple(x) for x in simhash.link_similar(df, 172).collect()]
     assert groups(got, range(180)) == {i: 0 if i < 120 else i for i in range(180)}
+
+
+def test_links_pass_the_full_check(spark):
+    """A leader that is alike in the chain only doesn't part two members that are near copies."""
+    r = np.random.default_rng(11)
+    base = r.integers(0, 2**64, 16, np.uint64)
+    fps = []
+    for _ in range(30):  # one long passage in common, the rest its own; two near copies each, which differ right after it
+        x = np.concatenate([base[:3], r.integers(0, 2**64, 13, np.uint64)]).astype(">u8").view(">u2").copy()
+        y = x.copy()
+        for k in range(12, 64):
+            for bit in r.choice(16, 8 if k < 15 else 2, replace=False).tolist():
+                y[k] ^= 1 << bit
+        fps += [x, y]
+    df = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(fps)], "id long, fp binary")
+    got = [tuple(x) for x in simhash.link_similar(df, 172).collect()]
+    assert groups(got, range(60)) == {i: i - i % 2 for i in range(60)}
