@@ -147,3 +147,21 @@ def test_links_pass_the_full_check(spark):
     df = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(fps)], "id long, fp binary")
     got = [tuple(x) for x in simhash.link_similar(df, 172).collect()]
     assert groups(got, range(60)) == {i: i - i % 2 for i in range(60)}
+
+
+def test_buckets_beyond_what_is_held(spark, monkeypatch):
+    """Near copies that share one segment only: the parts of its bucket meet each other."""
+    for name, size in (("HELD", 8), ("PART", 5), ("ALL_PAIRS", 3)):
+        monkeypatch.setattr(simhash, name, size, raising=False)
+    base, fps = np.random.default_rng(12).integers(0, 2**16, 64).astype(">u2"), []
+    for k in range(16):
+        fps.append(base ^ np.uint16(1 << k))
+        fps[-1][11] = base[11]
+    df = spark.createDataFrame([(i, bytearray(x.astype(">u2").tobytes())) for i, x in enumerate(fps)], "id long, fp binary")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        got = [tuple(x) for x in simhash.link_similar(df, 172).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert groups(got, range(16)) == dict.fromkeys(range(16), 0)
