@@ -10,6 +10,7 @@ that:
   Buckets beyond a size are resolved through the fingerprints halfway between, 65 for each, with no pairs at all.
 * ``link_similar`` (long fingerprints of similar texts): each segment is a bucket key and carries the segments that
   follow it; bucket mates must keep that chain within its budgets before their full fingerprints are fetched and compared.
+  ``keep_one`` then compares the shingles themselves.
 """
 
 from __future__ import annotations
@@ -246,15 +247,16 @@ def near_dups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle:
 # ---- long fingerprints: similar texts
 
 def most_bits(similarity: float, bits: int) -> int:
-    """Differing bits of a pair of that Jaccard similarity: its cosine is 2j/(1+j); 1.5 standard deviations on top."""
+    """Differing bits of a pair of that Jaccard similarity: its cosine is 2j/(1+j); 4 standard deviations on top."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * share + 1.5 * np.sqrt(bits * share * (1 - share)))
+    return int(bits * share + 4 * np.sqrt(bits * share * (1 - share)))
 
 
 def link_similar(reps: DataFrame, most: int, words: int = WORDS, chain: int = CHAIN, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(a, b): links between ids (long) whose fingerprints (fp binary of 64 * words bits) differ in at most most bits.
 
-    verify: what keeps those of the pairs (a, b) that are links. A pair is found if one of its 16-bit segments is equal and starts a chain within the budgets. For 64 segments and a
+    verify: what keeps those of the pairs (a, b) that are links. A pair is found if one of its 16-bit segments is equal and starts a chain within the budgets, on
+    the ring or on one that is shifted by half a segment. For 64 segments and a
     Jaccard similarity of 0.8 about 4 segments are equal; the more similar, the more.
 
     Large buckets first send out leaders' pairs and spanning forests. Whatever of these passes the full check makes
@@ -270,13 +272,14 @@ def link_similar(reps: DataFrame, most: int, words: int = WORDS, chain: int = CH
         for b in it:
             ids = b["id"].to_numpy()
             f = np.frombuffer(b"".join(b["fp"].to_pylist()), ">u2").reshape(len(ids), m).astype(np.uint64)
-            ring = np.concatenate([f, f[:, :chain]], 1)
-            for s in range(m):
-                follow = [np.zeros(len(ids), np.uint64) for _ in range(2)]
-                for k in range(1, chain):
-                    follow[(k - 1) // 4] |= ring[:, s + k] << np.uint64(16 * ((k - 1) % 4))
-                key = (s << 16 | f[:, s].astype(np.int64)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(key), b["id"], *[pa.array(x.view(np.int64)) for x in follow], *([b["of"]] if labelled else [])], ["key", "id", "c", "d", *(["of"] if labelled else [])])
+            for shift, g in enumerate((f, (f << np.uint64(8) & np.uint64(0xFFFF)) | np.roll(f, -1, 1) >> np.uint64(8))):
+                ring = np.concatenate([g, g[:, :chain]], 1)
+                for s in range(m):
+                    follow = [np.zeros(len(ids), np.uint64) for _ in range(2)]
+                    for k in range(1, chain):
+                        follow[(k - 1) // 4] |= ring[:, s + k] << np.uint64(16 * ((k - 1) % 4))
+                    key = (shift * m + s << 16 | g[:, s].astype(np.int64)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), b["id"], *[pa.array(x.view(np.int64)) for x in follow], *([b["of"]] if labelled else [])], ["key", "id", "c", "d", *(["of"] if labelled else [])])
 
     def within(c: np.ndarray, d: np.ndarray, e: np.ndarray, f: np.ndarray) -> np.ndarray:
         """The chain test: cumulative differences of the segments that follow an equal one."""
@@ -426,15 +429,38 @@ def link_similar(reps: DataFrame, most: int, words: int = WORDS, chain: int = CH
 BROADCAST_IDS = 1_000_000
 
 
+def similar(docs: DataFrame, pairs: DataFrame, id: str, text: str, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of ids whose texts' distinct shingles have at least that Jaccard similarity."""
+    pairs = table(pairs, "pairs")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for s in range(0, b.num_rows, 256):
+                part = b.slice(s, 256)
+                sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in part["text"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
+
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    rows = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).join(ends, "id", "left_semi")
+    sets = table(rows.mapInArrow(run, "id long, set array<long>"), "shingles")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    found = table(both.where(common / (F.size("x") + F.size("y") - common) >= similarity).select("a", "b"), "links")
+    drop(sets)
+    drop(pairs)
+    return found
+
+
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without near copies: of each group that links of at least the similarity connect, the least id stays.
 
-    Equal fingerprints are one; the rest is link_similar. Null and empty texts are equal to each other. Rows with a null
+    Equal fingerprints are one; link_similar proposes the other pairs, and their distinct shingles' Jaccard similarity decides. Null and empty texts are equal to each other. Rows with a null
     id stay; rows that repeat an id stay or go together. All columns are kept.
     """
     own = table(fingerprints(docs, id, text, shingle, WORDS, True), "fingerprints")
     reps = table(own.groupBy("fp").agg(F.min("id").alias("id")), "fingerprints")
-    comps = table(components(link_similar(reps, most_bits(similarity, 64 * WORDS))), "components")
+    verify = lambda pairs: similar(docs, pairs, id, text, shingle, similarity)
+    comps = table(components(link_similar(reps, most_bits(similarity, 64 * WORDS), verify=verify)), "components")
     gone = comps.where("node != component").select(F.col("node").alias("gone"))
     copies = own.join(reps.select("fp", F.col("id").alias("least")), "fp").where("id != least").select(F.col("id").alias("gone"))
     kept = table(gone.unionByName(copies).distinct(), "gone")

@@ -165,3 +165,19 @@ def test_buckets_beyond_what_is_held(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     assert groups(got, range(16)) == dict.fromkeys(range(16), 0)
+
+
+def test_exact_similarity(spark):
+    """Texts just below 0.8 stay, texts at 0.8 or just above are found."""
+    r, rows, stay = random.Random(13), [], set()
+    for i in range(150):
+        base = ["w%d" % r.randrange(10**6) for _ in range(304)]
+        x = list(base)
+        for at in range(5, 5 + 10 * (7 if i % 2 else 6), 10):  # five shingles each: 265 / 335 and 270 / 330
+            x[at] = "new%d" % r.randrange(10**6)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(x))]
+        alike = jaccard(rows[-2][1], rows[-1][1])
+        assert 0.75 < alike < 0.85 and (alike >= 0.8) == (i % 2 == 0)
+        stay |= {2 * i, 2 * i + 1} if alike < 0.8 else {2 * i}
+    got = {x["doc_id"] for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == stay
