@@ -21,9 +21,10 @@ MEMO = 400_000
 
 
 class Automaton:
-    """first: pieces that begin a word; rest: pieces that continue one."""
+    """first: pieces that begin a word; rest: pieces that continue one. An empty first piece is a bare word start."""
 
     def __init__(self, first: Iterable[str], rest: Iterable[str]):
+        first = list(first)
         self.next: list[dict[str, int]] = [{}, {}]  # node 0: word start; node 1: between pieces
         piece = [False, False]
         self.depth = [0, 0]
@@ -40,6 +41,8 @@ class Automaton:
                 if at != root:
                     piece[at] = True
         self.fail, self.pops = [-1] * len(self.next), [0] * len(self.next)
+        if "" in first:  # counts as a piece where no other begins the word
+            self.fail[0], self.pops[0] = 1, 1
         order = [0, 1]
         for u in order:
             for c, v in self.next[u].items():
@@ -77,12 +80,12 @@ WORD_START = "▁"
 
 
 def vocabulary(path: str) -> tuple[list[str], list[str]]:
-    """Pieces of a sentence-piece model file that begin and that continue a word; control and byte pieces are left out."""
+    """Pieces of a sentence-piece model file that begin (bare start: empty) and that continue a word; control and byte pieces are left out."""
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=path)
     own = [m.id_to_piece(i) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
-    return [p[1:] for p in own if p.startswith(WORD_START) and len(p) > 1], [p for p in own if WORD_START not in p]
+    return [p[1:] for p in own if p.startswith(WORD_START)], [p for p in own if WORD_START not in p]
 
 
 @lru_cache(2)

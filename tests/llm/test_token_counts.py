@@ -32,3 +32,18 @@ def test_rows(spark):
 def test_long_word(spark):
     docs = spark.createDataFrame([(1, "a" * 200_000)], "doc_id long, text string")
     assert token_counts(docs, ["a"], ["aa", "a"]).first()["n_tokens"] == 100_001
+
+
+@given(st.sets(st.text("ab", min_size=1, max_size=4)), st.sets(st.text("abc", min_size=1, max_size=4)), st.lists(st.text("abc", min_size=1, max_size=12)))
+def test_bare_word_start(first, rest, words):
+    a, marked = Automaton(["", *first], rest), {"_", *("_" + p for p in first)}
+    assert [a.count(w) for w in words] == [greedy("_" + w, marked, rest) for w in words]
+
+
+def test_vocabulary_has_the_bare_start():
+    import public_tokenizers as P
+
+    from siftreel.llm.token_counts import vocabulary
+
+    first, rest = vocabulary(P.path("piece_bpe_32k.model"))
+    assert "" in first and Automaton(first, rest).count("ñandú") >= 2
