@@ -44,7 +44,7 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
 
 def links_of(url: Column, html: Column) -> Column:
     """Urls that a page's head names as its canonical form or redirects to at once (absolute ones)."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link|meta)\b[^>]{1,4000}>)"), 1)
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link|meta)\b[^>]+>)"), 1)
     link = lambda t: F.when(F.lower(t).rlike(r"""^<link\b[^>]*\brel\s*=\s*["']?canonical\b"""), F.regexp_extract(t, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)).when(
         F.lower(t).rlike(r"""\bhttp-equiv\s*=\s*["']?refresh\b"""), F.regexp_extract(t, r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)""", 1)
     )

@@ -65,3 +65,11 @@ def test_components(spark, edges):
             root[max(a, b)] = min(a, b)
     got = [tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()]
     assert sorted(got) == sorted((x, find(x)) for x in root)
+
+
+def test_long_tags(spark):
+    """However long its attributes are, a tag names its target."""
+    html = f'<link rel="canonical" data-x="{"y" * 100_000}" href="http://bad.net/x">'
+    df = spark.createDataFrame([(1, "http://one.org/a", html)], "page_id long, url string, html string")
+    assert [tuple(r) for r in edges_of(df).collect()] == [("http://one.org/a", "http://bad.net/x")]
+    assert url_filter(df, edges_of(df)).first()["verdict"] == "block"
