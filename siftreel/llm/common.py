@@ -32,11 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and a lost executor costs nothing written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siftreel/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     back = spark.read.schema(df.schema).parquet(path)
     back._siftreel_path = path
     return back

@@ -1,17 +1,21 @@
 """Lexical retrieval packing: fill windows of tokens with documents that a BM25 index finds alike.
 
-The longest rest seeds a window: BM25 ranks all unused documents of the table against the seed, and the best ones fill
-the window greedily; the last one is cut and its rest stays unused. A document longer than a window first fills windows
-by itself. All windows are full but the last. When nothing unused shares a term with the seed, the next longest rests
-follow. Small tables are packed by one task (pack). Larger ones go in rounds (_rounds): a block of seeds is held against
-every part of the index, the best of all parts are merged, and the driver deals them out in the seeds' order; a window
-that uses up its neighbours asks again in the next round.
+A document longer than a window first fills windows by itself; its rest, shorter than a window, is a document of the
+index. The longest unused rest of a shard seeds a window: BM25 ranks the shard's unused rests against it, and the best
+ones fill the window greedily; the last one is cut and what is left of it stays unused. Rests that share no term with
+the seed are taken, longest first, only when no neighbour is unused.
+
+Shards hold documents that are lexically alike. Each rest draws some of its terms, in proportion to their weight in it
+and with the same random numbers everywhere (weighted minwise hashing), so two rests draw the same term with the
+probability of their weighted Jaccard similarity. The draws in a row are the sort key; neighbours in that order make a
+shard. Ranges of the key are dealt to tasks by quantiles of a sample, which also gives the weights for the draws. The
+statistics of BM25 (document frequencies, mean length) are those of the whole table. What a shard leaves unused goes on
+into the next one. Time, shuffle and memory of a task are linear in the input; the driver holds nothing by document.
 """
 
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -23,12 +27,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_dir, ship, table, trim
+from .common import partitions, ship, table, trim
 
-#: Tokens of a window; documents that one task packs alone; BM25's parameters; words that a task remembers.
+#: Tokens of a window; rests of a shard; BM25's parameters; words that a task remembers.
 WINDOW, SHARD_DOCS, K1, B, MEMO = 2_048, 1_024, 1.2, 0.75, 500_000
-#: Documents of a part of the index; neighbours of all seeds of a round, of one seed at least; tokens of a round's seeds.
-PART_DOCS, ROUND, NEIGHBOURS, SEED_TOKENS = 4_096, 1 << 18, 32, 1 << 23
+#: Documents of the sample at least, and for each task; draws of a key; most tasks that send document frequencies.
+SAMPLE, SAMPLE_EACH, DRAWS, SENDERS = 2_048, 32, 3, 64
+#: Share of a shard's rests that may go on into the next shard.
+CARRIED = 8
+TERMS = 1 << 16
 
 
 PIECES_SQL = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -37,6 +44,18 @@ Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 # ---- tokens
 
+#: The rules that Encoder follows itself; a tokenizer with others is used as it is.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PRE = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 @lru_cache(2)
 def _tokenizer(content: bytes):
     import os
@@ -46,13 +65,33 @@ def _tokenizer(content: bytes):
 
     t = Tokenizer.from_buffer(content)
     t.encode_special_tokens = False
-    return t, tuple(x["content"] for x in json.loads(content)["added_tokens"])
+    spec = json.loads(content)
+    if max(t.get_vocab().values(), default=0) >= TERMS:
+        raise ValueError("vocabularies of over 65,536 ids are not supported")
+    own = spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == _PRE and spec["model"]["end_of_word_suffix"] == "</w>"
+    return t, tuple(x["content"] for x in spec["added_tokens"]), own
 
 
 #: Words of these characters are lower-cased, cut and spelt in bytes here, as the tokenizer would; others it takes itself.
 _PLAIN = regex.compile(r"[!-~À-ÖØ-öø-įıĳ-ňŊ-ɏ]+").fullmatch
-_MARKS = frozenset(".,;:!?")
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+_PIECES = regex.compile(_SPLIT).findall
+
+
+#: Of each Latin-1 character: a dot if it is neither letter, digit nor space.
+_KINDS = bytes(0x61 if c.isalnum() else 0x20 if c.isspace() and not "\x1c" <= c <= "\x1f" else 0x2E for c in map(chr, range(256)))
+
+
+def _plainer(text: str) -> str:
+    """A text of the same ids with fewer distinct words: in lower case, with marks apart, if Latin-1 without adjacent marks."""
+    try:
+        kinds = text.encode("latin-1").translate(_KINDS)
+    except UnicodeEncodeError:
+        return text.replace("\n", " ")
+    text = text.lower().replace("\n", " ")
+    if b".." not in kinds:
+        for mark in ",.;:!?":
+            text = text.replace(mark, f" {mark} ")
+    return text
 
 
 @lru_cache(1)
@@ -95,7 +134,7 @@ class Encoder:
     """Ids by a tokenizer whose pieces never reach over white space: each distinct word is encoded once and remembered."""
 
     def __init__(self, content: bytes):
-        self.tokenizer, self.special = _tokenizer(content)
+        self.tokenizer, self.special, self.own = _tokenizer(content)
         self.model = self.tokenizer.model
         self.clear()
 
@@ -128,14 +167,11 @@ class Encoder:
 
     def _learn(self) -> None:
         ids: list[tuple[int, ...]] = []
-        add, known, piece = ids.append, self.pieces.get, self._piece
+        add, tokenize = ids.append, self.model.tokenize
         for word in self.known.new:
-            mark = word[-1:]
-            body = word[:-1] if mark in _MARKS else word
-            if body.isalpha() and (body.isascii() or (max(body) < "ɐ" and "İ" not in body)):
-                body = body.lower()
-                got = known(body) or piece(body)
-                add(got + piece(mark) if mark in _MARKS else got)
+            if word.isalpha() and (word.isascii() or (max(word) < "ɐ" and "İ" not in word)):
+                spelt = word.lower()
+                add(tuple([t.id for t in tokenize(spelt if spelt.isascii() else spelt.encode().decode("latin-1").translate(_byte_chars()))]))
             else:
                 add(self._ids(word))
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -155,10 +191,10 @@ class Encoder:
             self._age()
         get, numbers, out = self.known.__getitem__, [], []
         for t in texts:
-            if t and any(s in t for s in self.special):  # a special token may take white space around it
+            if t and (not self.own or any(s in t for s in self.special)):  # a special token may take white space around it
                 numbers.append(None)
             else:
-                w = (t or "").replace("\n", " ").split(" ")
+                w = _plainer(t or "").split(" ")
                 numbers.append(np.fromiter(map(get, w), np.int64, len(w)))
         if self.known.new:
             self._learn()
@@ -241,201 +277,116 @@ class Index:
             out += np.bincount(self.doc[at], self.weight[at], self.n)
         return out
 
-    def block(self, queries: list[np.ndarray]) -> np.ndarray:
-        """scores() of several queries, as 32-bit floats: one row each."""
-        terms, of = np.concatenate(queries), np.repeat(np.arange(len(queries)), [len(q) for q in queries])
-        row = self.row[terms]
-        asked = np.zeros((len(queries), len(self.rows)), np.float32)
-        asked[of[row >= 0], row[row >= 0]] = 1
-        out = asked @ self.rows
-        terms, of = terms[row < 0], of[row < 0]
-        a = self.starts[terms]
-        size = self.starts[terms + 1] - a
-        if total := int(size.sum()):
-            ends = np.cumsum(size)
-            at = np.repeat(a - ends + size, size) + np.arange(total)
-            out += np.bincount(np.repeat(of, size) * self.n + self.doc[at], self.weight[at], out.size).reshape(out.shape).astype(np.float32)
-        return out
 
+def pack(rests: list[np.ndarray], window: int = WINDOW, whole: tuple[np.ndarray, float] | None = None, keep: int = 0) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int]]]:
+    """Windows of (rest, start, length) pieces, and (rest, start) of what isn't packed.
 
-def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
-    """Windows of (document, start, length) pieces: each token lies in one piece; all windows but the last are full."""
-    out = []
-    at, left = np.zeros(len(docs), np.int64), np.array([len(d) for d in docs], np.int64)
-    for i in np.flatnonzero(left >= window).tolist():
-        while left[i] >= window:
-            out.append([(i, int(at[i]), window)])
-            at[i] += window
-            left[i] -= window
-    rest = np.flatnonzero(left > 0)
-    if not rest.size:
-        return out
-    index = Index([docs[i] for i in rest])
-    at, left, back = at[rest], left[rest], rest.tolist()
-    by_size = np.argsort(-left, kind="stable").tolist()
-    open_, nxt, total = left > 0, 0, int(left.sum())
-    while total:
+    Each token lies in one piece. All windows are full but the last. whole: statistics for the index, else those of the
+    rests. keep: stop when only so many rests are open or they can't fill a window; with 0 everything is packed.
+    """
+    out: list[list[tuple[int, int, int]]] = []
+    if not rests:
+        return out, []
+    index = Index(rests, whole=whole)
+    n = len(rests)
+    at, left = [0] * n, [len(d) for d in rests]
+    by_size = sorted(range(n), key=lambda i: -left[i])
+    open_, nxt, total, opened = np.ones(n, bool), 0, sum(left), n
+    while total and not (keep and (opened <= keep or total < window)):
         while not open_[by_size[nxt]]:
             nxt += 1
-        seed, room, pieces = by_size[nxt], window, []
+        seed, room, pieces, more = by_size[nxt], window, [], 0
         order = iter((seed,))
-        found = False
         while room and total:
             i = next(order, None)
             if i is None:
-                if not found:
-                    found = True
-                    asked = np.zeros(1 << 16, bool)
-                    asked[docs[back[seed]]] = True
-                    s = np.where(open_, index.scores(np.flatnonzero(asked)), -1.0)
-                    some = min(len(s), max(8, 4 * room // max(1, total // max(1, int(open_.sum())))))
-                    top = np.argpartition(-s, some - 1)[:some] if some < len(s) else np.arange(len(s))
+                more += 1
+                if more == 1:
+                    s = index.scores(np.unique(rests[seed]))
+                    s[~open_] = 0.0
+                    some = min(n, max(8, 3 * room * opened // total))
+                    top = np.argpartition(s, n - some)[n - some :]
+                    top = top[s[top] > 0]
                     order = iter(top[np.lexsort((top, -s[top]))].tolist())
-                elif some < len(s):  # the best are used up: the other neighbours follow
-                    some, rest = len(s), np.flatnonzero((s > 0) & open_)
+                elif more == 2:  # the best are used up: the other neighbours follow
+                    rest = np.flatnonzero((s > 0) & open_)
                     order = iter(rest[np.lexsort((rest, -s[rest]))].tolist())
-                else:  # neighbours are used up: the longest rests follow
+                else:  # no neighbour is unused: the longest follow
                     order = iter([j for j in by_size[nxt:] if open_[j]])
                 continue
             if not open_[i]:
                 continue
-            n = min(room, int(left[i]))
-            pieces.append((back[i], int(at[i]), n))
-            at[i] += n
-            left[i] -= n
-            room -= n
-            total -= n
-            open_[i] = left[i] > 0
+            k = min(room, left[i])
+            pieces.append((i, at[i], k))
+            at[i] += k
+            left[i] -= k
+            room -= k
+            total -= k
+            if not left[i]:
+                open_[i] = False
+                opened -= 1
         out.append(pieces)
-    return out
+    return out, [(i, at[i]) for i in np.flatnonzero(open_).tolist()]
 
 
-def _best(score: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k greatest scores of each row, in no order."""
-    return np.argpartition(-score, k - 1, axis=1)[:, :k] if k < score.shape[1] else np.broadcast_to(np.arange(score.shape[1]), score.shape)
+# ---- shards
 
-
-def _merged(old: tuple[np.ndarray, np.ndarray], doc: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of two rows of neighbours."""
-    doc, score = np.concatenate([old[0], doc]), np.concatenate([old[1], score])
-    best = np.lexsort((doc, -score))[:k]
-    return doc[best], score[best]
+@lru_cache(1)
+def _chance() -> np.ndarray:
+    """(draws, terms): for each draw, -log of a uniform number for each term."""
+    return np.random.default_rng(20_240_607).exponential(size=(DRAWS, TERMS)).astype(np.float32)
+
+
+def _distinct(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, count) of each term of each document, by document."""
+    key = np.repeat(np.arange(len(docs), dtype=np.uint32) << np.uint32(16), [len(d) for d in docs]) | np.concatenate(docs)
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first] >> np.uint32(16), key[first] & np.uint32(TERMS - 1), np.diff(np.append(first, len(key)))
+
+
+def keys_of(doc: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
+    """The drawn terms in a row (16 bits each, 48 in all) of n documents that each have a term."""
+    weight = idf[term] * count / (count + np.float32(K1)) + np.float32(1e-9)
+    first = np.searchsorted(doc, np.arange(n))
+    out = np.zeros(n, np.int64)
+    for chance in _chance():
+        value = chance[term] / weight
+        least = np.minimum.reduceat(value, first)
+        at = np.flatnonzero(value == least[doc])
+        at = at[np.unique(doc[at], return_index=True)[1]]
+        out = out << 16 | term[at].astype(np.int64)
+    return out
 
 
-FOUND_SQL = "seed int, docs binary, scores binary"
+def _salted(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Keys with 15 bits that tell rows of one key apart, so that ranges can cut a hot key."""
+    return key << 15 | (doc * 2_654_435_761 >> 7 & 0x7FFF)
 
 
-def _neighbours(held: DataFrame, number: Callable[[np.ndarray], np.ndarray], left: np.ndarray, seeds: list[int], k: int, whole) -> list[np.ndarray]:
-    """The k best unused documents of the whole table for each seed, best first; fewer only if no more share a term."""
-    spark = held.sparkSession
-    sc = spark.sparkContext
-    wanted = sc.broadcast(np.sort(np.array(seeds, np.int64)))
-    place = {d: i for i, d in enumerate(seeds)}
+T_SQL = "doc long, id long, ids binary, key long, part int, df binary"
 
-    def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            d = number(b["doc"].to_numpy())
-            at = np.flatnonzero(np.isin(d, wanted.value))
-            terms = [np.unique(np.frombuffer(b["ids"][i].as_py(), "<u2")).astype("<u2").tobytes() for i in at.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(terms, pa.binary())], ["doc", "terms"])
-
-    queries: list = [None] * len(seeds)
-    for r in held.select("doc", "ids").mapInArrow(ask, "doc long, terms binary").collect():
-        queries[place[r["doc"]]] = bytes(r["terms"])
-    asked, unused = sc.broadcast(queries), sc.broadcast(np.packbits(left > 0))
-
-    def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query = [np.frombuffer(q, "<u2") for q in asked.value]
-        open_, docs, ids = unused.value, [], []
-        best, scores = np.zeros((len(query), k), np.int64), np.zeros((len(query), k), np.float32)
-
-        def part() -> None:
-            index, names = Index(ids, whole=whole.value), np.array(docs)
-            for s in range(0, len(query), 128):
-                score = index.block(query[s : s + 128])
-                top = _best(score, k)
-                d, x = np.concatenate([best[s : s + 128], names[top]], 1), np.concatenate([scores[s : s + 128], np.take_along_axis(score, top, 1)], 1)
-                top = _best(x, k)
-                best[s : s + 128], scores[s : s + 128] = np.take_along_axis(d, top, 1), np.take_along_axis(x, top, 1)
 
-        for b in it:
-            d = number(b["doc"].to_numpy())
-            for i in np.flatnonzero(open_[d >> 3] >> (7 - (d & 7)).astype(np.uint8) & 1).tolist():
-                docs.append(int(d[i]))
-                ids.append(np.frombuffer(b["ids"][i].as_py(), "<u2"))
-                if len(ids) == PART_DOCS:
-                    part()
-                    docs, ids = [], []
-        if ids:
-            part()
-        for s in range(0, len(best), 2_000):
-            x = [(d[y > 0], y[y > 0]) for d, y in zip(best[s : s + 2_000], scores[s : s + 2_000], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(s, s + len(x)), pa.int32()), *[pa.array([y[c].tobytes() for y in x], pa.binary()) for c in (0, 1)]], ["seed", "docs", "scores"])
-        trim()
+def _fit(rows: DataFrame, tokens_of: Callable[[], Encoder], end: int, window: int, parts: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(idf, first key of each part but the first), from a sample of rows."""
+    size = max(SAMPLE, SAMPLE_EACH * parts)
 
-    def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none, out = (np.zeros(0, np.int64), np.zeros(0, np.float32)), {}
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = tokens_of()
         for b in it:
-            for seed, d, s in zip(*[b[c].to_pylist() for c in ("seed", "docs", "scores")], strict=True):
-                new = np.frombuffer(d, np.int64), np.frombuffer(s, np.float32)
-                out[seed] = _merged(out.get(seed, none), *new, k)
-        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), *[pa.array([x[c].tobytes() for x in out.values()], pa.binary()) for c in (0, 1)]], ["seed", "docs", "scores"])
-
-    rows = held.select("doc", "ids").coalesce(max(1, sc.defaultParallelism)).mapInArrow(search, FOUND_SQL)
-    out = [np.zeros(0, np.int64)] * len(seeds)
-    for r in rows.repartition(partitions(spark), "seed").mapInArrow(merge, FOUND_SQL).collect():
-        out[r["seed"]] = np.frombuffer(bytes(r["docs"]), np.int64)
-    for x in (wanted, asked, unused):
-        x.unpersist()
-    return out
-
+            ids = encoder.batch(b["text"].to_pylist(), end)
+            yield pa.RecordBatch.from_arrays([pa.array([x[len(x) // window * window :].astype("<u2").tobytes() for x in ids], pa.binary())], ["ids"])
+        encoder.clear()
 
-def _rounds(held: DataFrame, number: Callable, lengths: np.ndarray, window: int, whole) -> Iterator[list[tuple[int, int, int, int, int]]]:
-    """(document, start, length, window, offset) of the pieces that each round gives. lengths: tokens of each document."""
-    left = (lengths % window).astype(np.int64)
-    waiting: list[list[int]] = []  # windows that go on: seed, number, filled
-    count, total = 0, int(left.sum())
-    while total:
-        unused = np.flatnonzero(left > 0)
-        k = min(len(unused), max(NEIGHBOURS, 4 * window * len(unused) // total))
-        some = max(1, min(ROUND // k, total // window + 1) - len(waiting))
-        longest = unused[np.lexsort((unused, -left[unused]))]
-        ahead = longest[:some][np.cumsum(lengths[longest[:some]]) <= SEED_TOKENS].tolist() or longest[:1].tolist()
-        line = waiting + [[d, -1, 0] for d in ahead]
-        found = _neighbours(held, number, left, list(dict.fromkeys(w[0] for w in line)), k, whole)
-        near = dict(zip(dict.fromkeys(w[0] for w in line), found, strict=True))
-        waiting, pieces = [], []
-
-        def put(w: list[int], d: int) -> None:
-            nonlocal total
-            n = min(window - w[2], int(left[d]))
-            pieces.append((d, int(lengths[d] - left[d]), n, w[1], w[2]))
-            left[d] -= n
-            w[2] += n
-            total -= n
-
-        for w in line:
-            if w[1] < 0:
-                if not left[w[0]]:
-                    continue  # a neighbour of an earlier seed
-                w[1] = count
-                count += 1
-                put(w, w[0])
-            for d in near[w[0]].tolist():
-                if w[2] == window:
-                    break
-                if left[d]:
-                    put(w, d)
-            if w[2] < window and len(near[w[0]]) == k < len(unused):
-                waiting.append(w)
-                continue
-            if w[2] < window:  # no unused document is alike: the longest rests follow
-                for d in longest.tolist():
-                    if w[2] == window:
-                        break
-                    if left[d]:
-                        put(w, d)
-        yield pieces
+    some = rows.sample(min(1.0, size / max(1, n)), seed=17) if n > size else rows
+    docs = [np.frombuffer(bytes(r["ids"]), "<u2") for r in some.select("text").mapInArrow(run, "ids binary").limit(2 * size).collect()]
+    docs = [d for d in docs if len(d)]
+    if not docs:
+        return np.zeros(TERMS, np.float32), np.zeros(0, np.int64)
+    doc, term, count = map(np.concatenate, zip(*[(d + np.uint32(s), t, c) for s in range(0, len(docs), 4_096) for d, t, c in [_distinct(docs[s : s + 4_096])]], strict=True))
+    idf = idf_of(np.bincount(term, minlength=TERMS), len(docs)).astype(np.float32)
+    keys = np.sort(_salted(keys_of(doc, term, count, idf, len(docs)), np.arange(len(docs))))
+    return idf, keys[np.arange(1, parts) * len(keys) // parts]
 
 
 def packed(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = 1, id: str = "doc_id", text: str = "text", shard_docs: int = SHARD_DOCS, then: Kernel | None = None, schema: str = PIECES_SQL) -> DataFrame:
@@ -443,94 +394,112 @@ def packed(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = 1,
 
     A piece holds the ids [start, start + length) of its document and lies at offset in its sequence, gapless from 0.
     Null and empty texts are the end id alone. Null ids are packed as well; repeated rows are documents of their own. No
-    rows give none. Only the last sequence may be shorter than the window. Other columns are ignored. Tables of up to
-    shard_docs rows are packed by one task. then: a further kernel over the result's batches, and schema: what it returns.
+    rows give none. Only the last sequence of a task may be shorter than the window; there are as many tasks as the
+    session sets for shuffles, and at least shard_docs documents for each. Other columns are ignored. Vocabularies of
+    over 65,536 ids fail. then: a further kernel over the result's batches, and schema: what it returns.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
-    held = table(tokens(docs, vocabulary, end, id, text).select(F.monotonically_increasing_id().alias("doc"), "id", "ids"), "tokens")
-
-    def sizes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A part's lengths, and in how many documents of it each term is."""
-        df = np.zeros(1 << 16, np.int64)
+    ship(spark)
+    with open(vocabulary, "rb") as f:
+        content = sc.broadcast(f.read())
+    rows = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    n = rows.count()
+    parts = max(1, min(partitions(spark), n // shard_docs))
+    tokens_of = lambda: Encoder(content.value)
+    fitted = sc.broadcast(_fit(rows, tokens_of, end, window, parts, n))
+
+    def keyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, (idf, firsts) = tokens_of(), fitted.value
+        df, length, count_ = np.zeros(TERMS, np.int64), 0, 0
         for b in it:
-            size = np.empty(b.num_rows, "<i4")
-            for i, x in enumerate(b["ids"]):
-                x = np.frombuffer(x.as_buffer(), "<u2")
-                size[i] = len(x)
-                df[np.unique(x)] += 1
-            d = b["doc"].to_numpy()
-            for s, e in zip(*(lambda c: ([0, *c], [*c, len(d)]))((np.flatnonzero(np.diff(d) != 1) + 1).tolist()), strict=True):
-                if e > s:
-                    yield pa.RecordBatch.from_arrays([pa.array([int(d[s])]), pa.array([size[s:e].tobytes()], pa.binary())], ["key", "value"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([df.tobytes()], pa.binary())], ["key", "value"])
-
-    df, runs = np.zeros(1 << 16, np.int64), []
-    for r in held.select("doc", "ids").coalesce(max(1, sc.defaultParallelism)).mapInArrow(sizes, "key long, value binary").collect():
-        if r["key"] < 0:
-            df += np.frombuffer(bytes(r["value"]), np.int64)
-        else:
-            runs.append((r["key"], np.frombuffer(bytes(r["value"]), "<i4")))
-    runs.sort(key=lambda x: x[0])
-    lengths = np.concatenate([x for _, x in runs]) if runs else np.zeros(0, np.int32)
-    firsts, bases = np.array([d for d, _ in runs], np.int64), np.cumsum([0, *[len(x) for _, x in runs]])[:-1]
-
-    def number(d: np.ndarray) -> np.ndarray:
-        """Numbers without gaps."""
-        run = np.searchsorted(firsts, d, "right") - 1
-        return bases[run] + d - firsts[run]
-
-    def rows_of(some: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names)
-
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-
-    def alone(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, all_ = [], []
+            for s in range(0, b.num_rows, 256):
+                some = b.slice(s, 256)
+                ids = encoder.batch(some["text"].to_pylist(), end)
+                rests = [x[len(x) // window * window :] for x in ids]
+                has = np.flatnonzero([len(x) for x in rests])
+                key = np.zeros(len(ids), np.int64)
+                if len(has):
+                    doc, term, count = _distinct([rests[i] for i in has])
+                    df += np.bincount(term, minlength=TERMS)
+                    length, count_ = length + int(count.sum()), count_ + len(has)
+                    key[has] = keys_of(doc, term, count, idf, len(has))
+                key = _salted(key, some["doc"].to_numpy())
+                part = np.searchsorted(firsts, key, "right").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([some["doc"], some["id"], pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary()), pa.array(key), pa.array(part), pa.nulls(len(ids), pa.binary())], _T)
+        encoder.clear()
+        all_ = np.concatenate([df, [length, count_]]).astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32())], pa.array([all_], pa.binary())], _T)
+        trim()
+
+    def added(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(TERMS + 2, np.int64)
         for b in it:
-            ids += b["id"].to_pylist()
-            all_ += [np.frombuffer(x, "<u2") for x in b["ids"].to_pylist()]
-        order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, all_[k].tobytes()))  # whatever order they came in
-        for k, pieces in enumerate(pack([all_[i] for i in order], window)):
-            offset, some = 0, []
-            for d, start, n in pieces:
-                x = all_[order[d]]
-                some.append((ids[order[d]], start, n, x[start : start + n].tobytes(), len(x), k, offset))
-                offset += n
-            yield rows_of(some)
+            for x in b["df"]:
+                total += np.frombuffer(x.as_buffer(), "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["df"])
+
+    numbered = rows.select(F.monotonically_increasing_id().alias("doc"), "id", "text")
+    held = table(numbered.mapInArrow(keyed, T_SQL), "tokens", compression="zstd")
+    sent = held.select("df").where("df is not null").coalesce(SENDERS).mapInArrow(added, "df binary").collect()
+    total = sum((np.frombuffer(bytes(r["df"]), np.int64) for r in sent), np.zeros(TERMS + 2, np.int64))
+    whole = sc.broadcast((idf_of(total[:TERMS], int(total[-1])), float(total[-2] / max(1, total[-1]))))
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list[tuple] = []  # (id, tokens of the document, start, rest)
+        part, seq = None, 0
+
+        def windows(keep: int) -> Iterator[pa.RecordBatch]:
+            nonlocal open_, seq
+            done, left = pack([x[3] for x in open_], window, whole.value, keep)
+            out = []
+            for pieces in done:
+                offset = 0
+                for i, start, k in pieces:
+                    name, size, first, x = open_[i]
+                    out.append((name, first + start, k, x[start : start + k].tobytes(), size, seq, offset))
+                    offset += k
+                seq += 1
+            open_ = [(name, size, first + start, x[start:]) for i, start in left for name, size, first, x in [open_[i]]]
+            if out:
+                yield rows_of(out)
+
         for b in it:
-            some, numbers = [], number(b["doc"].to_numpy()).tolist()
-            for i, (name, ids, pieces) in enumerate(zip(*[b[c].to_pylist() for c in ("id", "ids", "pieces")], strict=True)):
-                x = np.frombuffer(ids, "<u2")
-                full = [(w * window, window, (numbers[i] << 21) + (1 << 20) + w, 0) for w in range(len(x) // window)]
-                for start, n, seq, offset in full + [(p["start"], p["length"], p["seq"] << 21, p["offset"]) for p in pieces or []]:
-                    some.append((name, start, n, x[start : start + n].tobytes(), len(x), seq, offset))
-            if some:
-                yield rows_of(some)
+            out: list[tuple] = []
+            for name, ids, p in zip(b["id"].to_pylist(), b["ids"], b["part"].to_pylist(), strict=True):
+                if p != part:
+                    if open_:
+                        yield from windows(0)
+                    part, seq = p, p << 40
+                x = np.frombuffer(ids.as_buffer(), "<u2")
+                whole_ = len(x) // window * window
+                for s in range(0, whole_, window):
+                    out.append((name, s, window, x[s : s + window].tobytes(), len(x), seq, 0))
+                    seq += 1
+                    if len(out) == 256:
+                        yield rows_of(out)
+                        out = []
+                if whole_ < len(x):
+                    open_.append((name, len(x), whole_, x[whole_:].copy()))
+                    if len(open_) >= shard_docs:
+                        yield from windows(max(1, shard_docs // CARRIED))
+            if out:
+                yield rows_of(out)
+        if open_:
+            yield from windows(0)
         trim()
 
-    def kernel(f: Kernel) -> Kernel:
-        return (lambda it: then(f(it))) if then else f
-
-    if len(lengths) <= shard_docs:
-        return held.select("id", "ids").coalesce(1).mapInArrow(kernel(alone), schema)
-    whole = sc.broadcast((idf_of(df, len(lengths)), float(lengths.mean())))
-    path = f"{shared_dir(spark)}/siftreel/pieces-{uuid.uuid4().hex}"
-    for pieces in _rounds(held, number, lengths, window, whole):
-        if pieces:
-            d, *rest = (np.array(c, np.int64) for c in zip(*pieces, strict=True))
-            run = np.searchsorted(bases, d, "right") - 1
-            own = pa.table(dict(zip(("doc", "start", "length", "seq", "offset"), [firsts[run] + d - bases[run], *rest], strict=True)))
-            spark.createDataFrame(own).coalesce(1).write.mode("append").parquet(path)
-    parts = spark.createDataFrame([], PART_SQL) if not (lengths % window).any() else spark.read.schema(PART_SQL).parquet(path)
-    parts = parts.groupBy("doc").agg(F.collect_list(F.struct("start", "length", "seq", "offset")).alias("pieces"))
-    return held.join(parts, "doc", "left").select("doc", "id", "ids", "pieces").mapInArrow(kernel(cut), schema)
-
-
-PART_SQL = "doc long, start long, length long, seq long, offset long"
+    dealt = held.where("df is null").select("doc", "id", "ids", "key", "part").repartitionById(parts, "part").sortWithinPartitions("part", "key", "doc")
+    kernel = (lambda it: then(cut(it))) if then else cut
+    return dealt.select("id", "ids", "part").mapInArrow(kernel, schema)
+
+
+_T = ["doc", "id", "ids", "key", "part", "df"]
+_COLUMNS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
+
+
+def rows_of(some: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*some, strict=True), _COLUMNS, strict=True)], [k for k, _ in _COLUMNS])
 
 
 def digest_kernel(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -43,7 +43,8 @@ def test_bm25():
 def test_pack_full_and_alike():
     r = np.random.default_rng(1)
     docs = [r.integers(100 * (i % 4), 100 * (i % 4) + 100, r.integers(1, 700)).astype(np.uint16) for i in range(200)]
-    windows = packing.pack(docs)
+    windows, left = packing.pack(docs)
+    assert not left
     seen = np.zeros(200, int)
     for w in windows:
         for d, start, n in w:
@@ -92,30 +93,73 @@ def test_null_and_repeated_ids(spark):
     assert json.loads(open(VOCABULARY).read())["model"]["vocab"]['"'] == 1
 
 
-def test_neighbours_of_the_whole_table(spark, tokenizer, monkeypatch):
-    """Windows are filled by topic, however the documents lie in the parts of the index."""
-    monkeypatch.setattr(packing, "PART_DOCS", 16)
-    r = np.random.default_rng(3)
+def words_of_topics(r, n):
     words = [[f"{a}{b}{c}" for a in "bdfg"[t] for b in "aeiou" for c in "klmnprst"] for t in range(4)]
-    docs = [(i, " ".join(r.choice(words[i % 4], r.integers(50, 300)))) for i in range(160)]
+    return [(i, " ".join(r.choice(words[i % 4], r.integers(50, 300)))) for i in range(n)]
+
+
+def test_topics_meet_in_shards(spark, tokenizer):
+    """Windows are filled by topic, however the documents lie in the input."""
+    docs = words_of_topics(np.random.default_rng(3), 160)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
-    got = [x.asDict() for x in packing.packed(df, VOCABULARY, shard_docs=20).collect()]
+    got = [x.asDict() for x in packing.packed(df, VOCABULARY, shard_docs=40).collect()]
     check(got, docs, tokenizer)
     topics, sizes = {}, {}
     for x in got:
         topics.setdefault(x["sequence_id"], set()).add(x["doc_id"] % 4)
         sizes[x["sequence_id"]] = sizes.get(x["sequence_id"], 0) + x["length"]
-    assert sum(n < 2048 for n in sizes.values()) <= 1  # one for the table, not one for each part
-    assert sum(len(t) == 1 for t in topics.values()) >= 0.7 * len(topics)
-
-
-def test_blocks_of_queries():
-    r = np.random.default_rng(4)
-    docs = [r.integers(0, 300, r.integers(1, 80)).astype(np.uint16) for _ in range(50)]
-    index = packing.Index(docs)
-    asked = [np.unique(d) for d in docs[:7]]
-    assert np.allclose(index.block(asked), [index.scores(q) for q in asked], atol=1e-4)
-    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=1 << 16)
-    whole = packing.idf_of(df, 50), float(np.mean([len(d) for d in docs]))
-    parts = [packing.Index(docs[s : s + 10], whole=whole).block(asked) for s in range(0, 50, 10)]
-    assert np.allclose(np.concatenate(parts, 1), index.block(asked), atol=1e-4)
+    assert sum(n < 2048 for n in sizes.values()) <= 4  # one for each task
+    assert sum(len(t) == 1 for t in topics.values()) >= 0.5 * len(topics)
+
+
+def plain_scores(docs, seed):
+    n, mean, out = len(docs), np.mean([len(d) for d in docs]), []
+    df = {t: sum(t in d for d in docs) for t in set(docs[seed])}
+    for d in docs:
+        tf = {t: d.count(t) for t in df}
+        out.append(sum(np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in df))
+    return out
+
+
+@pytest.mark.parametrize("keep", [0, 9])
+def test_neighbours_by_brute_force(keep):
+    """Each window: the longest open rest, then open neighbours by falling score, then the longest ones."""
+    r = np.random.default_rng(5)
+    docs = [(r.integers(0, 40, r.integers(1, 90)) + 100 * (i % 3)).astype(np.uint16) for i in range(60)]
+    docs += [docs[7], docs[7]]  # ties
+    plain, left = [d.tolist() for d in docs], [len(d) for d in docs]
+    windows, over = packing.pack(docs, 200, keep=keep)
+    for w in windows:
+        seed = w[0][0]
+        assert left[seed] == max(left) or len(docs[seed]) == max(len(d) for d, x in zip(docs, left, strict=True) if x)
+        score = plain_scores(plain, seed)
+        near = sorted((i for i, x in enumerate(left) if x and i != seed and score[i] > 0), key=lambda i: (-round(score[i], 9), i))
+        far = sorted((i for i, x in enumerate(left) if x and i != seed and score[i] <= 0), key=lambda i: (-len(docs[i]), i))
+        assert [i for i, *_ in w[1:]] == (near + far)[: len(w) - 1]
+        for i, start, n in w:
+            assert start == len(docs[i]) - left[i]
+            left[i] -= n
+    assert {i: s for i, s in over} == {i: len(docs[i]) - x for i, x in enumerate(left) if x}
+    assert bool(over) == bool(keep)
+
+
+def test_near_copies_share_a_key():
+    r = np.random.default_rng(6)
+    docs = [r.integers(0, 5_000, 300).astype(np.uint16) for _ in range(300)]
+    near = [np.where(r.random(300) < 0.03, r.integers(0, 5_000, 300), d).astype(np.uint16) for d in docs]
+    idf = packing.idf_of(np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=1 << 16), 300)
+    a, b = (packing.keys_of(*packing._distinct(x), idf.astype(np.float32), 300) >> 32 for x in (docs, near))
+    assert (a == b).mean() > 0.85 and len(set(a.tolist())) > 30
+
+
+def test_other_vocabulary(tmp_path, tokenizer):
+    """A tokenizer with other rules is used as it is; one with ids beyond 16 bits is refused."""
+    spec = json.loads(open(VOCABULARY).read())
+    spec["normalizer"] = None
+    e = packing.Encoder(json.dumps(spec).encode())
+    other = Tokenizer.from_str(json.dumps(spec))
+    for t in TEXTS:
+        assert e.batch([t], 1)[0].tolist() == [*other.encode(t or "", add_special_tokens=False).ids, 1]
+    spec["model"]["vocab"]["zzzzzz"] = 70_000
+    with pytest.raises(ValueError, match="65,536"):
+        packing.Encoder(json.dumps(spec).encode())
