@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import partitions, ship, table, trim
 
 #: Tokens of a window; rests of a shard; BM25's parameters; words that a task remembers.
-WINDOW, SHARD_DOCS, K1, B, MEMO = 2_048, 1_024, 1.2, 0.75, 500_000
+WINDOW, SHARD_DOCS, K1, B, MEMO = 2_048, 2_048, 1.2, 0.75, 500_000
 #: Documents of the sample at least, and for each task; draws of a key; most tasks that send document frequencies.
 SAMPLE, SAMPLE_EACH, DRAWS, SENDERS = 2_048, 32, 3, 64
 #: Share of a shard's rests that may go on into the next shard.
