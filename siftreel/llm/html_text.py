@@ -1,9 +1,12 @@
 """HTML main-text extraction by minimum-cut labelling.
 
-A page becomes text blocks (runs of inline content) with the elements around them. Evidence from tags, roles, class and
-id words, link density and length gives each block a cost for either label; these are the terminal capacities of a flow
-network. Blocks next to each other in the page, and blocks next to each other under one element, are joined by smoothness
-edges. The minimum cut, found by maximum flow, separates content from boilerplate at the least total cost.
+A page becomes text blocks (runs of inline content) with the elements around them. A linear classifier gives two kinds of
+nodes log-odds of being content, the terminal capacities of a flow network: blocks by their own text (length relative to
+the page's longest plain block, link density, punctuation, kind), and elements by their tag, role, class and id words.
+Smoothness edges join blocks that follow each other, blocks that follow each other under one element (weaker with the
+distance in the tree, and more so across the border of a part of the page), and each block to the telling elements around
+it. A block is thus labelled with its surroundings: the minimum cut, found by maximum flow over all nodes, separates
+content from boilerplate at the least total cost.
 """
 
 from __future__ import annotations
@@ -33,20 +36,27 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 BOUNDARY = frozenset("ul ol dl table menu dir article section div main aside nav header footer form body html blockquote".split())
 CLOSES_P = BLOCK - {"body", "html", "tbody", "td", "th", "tr", "thead", "tfoot", "caption", "colgroup", "option", "optgroup", "legend", "frameset"}
 
-#: Evidence. Positive: content. Far over the smoothness of a block's edges: decided by itself.
-BAD_TAGS = {"nav": -30.0, "footer": -30.0, "aside": -30.0, "form": -30.0, "dialog": -30.0, "menu": -30.0, "search": -30.0, "fieldset": -15.0, "header": -20.0, "address": -4.0}
+#: Log-odds of content. Parts of a page that are never its article:
+PART, HEADER = -6.0, -5.0
+BAD_TAGS = {**dict.fromkeys(("nav", "footer", "aside", "form", "dialog", "menu", "search"), PART), "header": HEADER, "fieldset": -2.0, "address": -0.5}
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form status tooltip".split())
-BAD_WORDS = frozenset(
-    "nav navbar navigation menu menubar submenu breadcrumb breadcrumbs sidebar aside footer foot header masthead topbar toolbar banner ad ads adv advert adverts advertisement advertising adsense "
-    "adsbygoogle promo promos promotion promoted sponsor sponsors sponsored cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login signin "
-    "social share sharing sharebar related recommended recommendations comment comments commentlist reply replies respond disqus discussion widget widgets pagination pager copyright disclaimer legal "
-    "hidden skip paywall form search".split()
+#: Class and id words that name such a part, and others that only hint at one.
+PART_WORDS = frozenset(
+    "nav navbar navigation menu menubar submenu breadcrumb breadcrumbs sidebar aside footer header masthead topbar toolbar banner ad ads adv advert adverts advertisement advertising adsense "
+    "adsbygoogle promo promos promotion promoted sponsor sponsors sponsored cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login signin "
+    "social share sharing sharebar related recommended recommendations comment comments commentlist reply replies disqus pagination pager".split()
 )
+HINT_WORDS = frozenset("foot head subscription respond discussion widget widgets copyright disclaimer legal hidden skip paywall form search".split())
+HINT, UNSEEN = -1.2, -30.0
 _STATES = frozenset("has no not with without open closed enabled disabled".split())
-GOOD_TAGS = {"article": 8.0, "main": 8.0}
-GOOD_WORDS = {"article": 4.0, "content": 4.0, "post": 3.0, "entry": 3.0, "story": 4.0, "body": 2.0, "text": 2.0, "main": 4.0, "blog": 2.0}
-BASE, PER_CHAR, MOST_CHARS, LINKED, HEADING, ITEM, LEGAL = 0.4, 0.02, 4.0, 6.0, 1.0, -0.8, 5.0
-NEXT, NEXT_APART, SIBLING = 0.8, 0.3, 0.6
+GOOD_TAGS = {"article": 1.8, "main": 1.8}
+GOOD_WORDS = {"article": 0.8, "content": 0.6, "post": 0.6, "entry": 0.6, "story": 0.8, "body": 0.4, "text": 0.4, "main": 0.6, "blog": 0.4}
+#: What the block itself says; lengths count up to the page's longest plain block, or FULL characters.
+BASE, LENGTH, FULL, LINKED, HEADING, ITEM, SENTENCE, LEGAL = 0.2, 3.0, 120, 2.5, 0.8, -0.4, 0.3, -2.5
+#: Edges: of two blocks under one element; the factor for each further step in the tree, and at the border of a part.
+NEAR, APART, BORDER, SIBLING = 1.2, 0.65, 0.2, 0.6
+#: A form or a hinted part that holds more than this share of the page's plain text is the page.
+WHOLE = 0.6
 
 _TAG = re.compile(
     r"""<!--(?:>|->|.*?--!?>|.*)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"'=]+|=\s*"[^"]*"|=\s*'[^']*'|[="'])*+)>|</[^a-zA-Z][^>]*>""",
@@ -59,37 +69,40 @@ _LEGAL = re.compile(r"^\s*(?:©|\(c\)\s|copyright\b|all rights reserved)", re.I)
 
 
 class Element:
-    __slots__ = ("name", "up", "good", "bad", "main")
+    __slots__ = ("name", "up", "depth", "good", "bad", "hint", "main", "chars")
 
-    def __init__(self, name: str, up: Element | None, good: float = 0.0, bad: float = 0.0):
-        self.name, self.up, self.good, self.bad, self.main = name, up, good, bad, False
+    def __init__(self, name: str, up: Element | None, good: float = 0.0, bad: float = 0.0, hint: float = 0.0):
+        self.name, self.up, self.good, self.bad, self.hint, self.main, self.chars = name, up, good, bad, hint, False, 0
+        self.depth = up.depth + 1 if up else 0
 
 
 @lru_cache(50_000)
-def evidence(name: str, attrs: str) -> tuple[float, float]:
-    """(content, boilerplate) evidence of one start tag."""
-    good, bad = GOOD_TAGS.get(name, 0.0), BAD_TAGS.get(name, 0.0)
+def evidence(name: str, attrs: str) -> tuple[float, float, float]:
+    """(content, boilerplate, hints of boilerplate) of one start tag."""
+    good, bad, hint = GOOD_TAGS.get(name, 0.0), BAD_TAGS.get(name, 0.0), 0.0
     if attrs and name not in ("body", "html"):
         for m in _ATTRS.finditer(attrs):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _UNSEEN.search(value)):
-                bad = min(bad, -30.0)
+                bad = UNSEEN
             elif key == "role":
                 roles = set(value.lower().split())
                 if roles & BAD_ROLES:
-                    bad = min(bad, -30.0)
+                    bad = min(bad, PART)
                 if roles & {"main", "article"}:
-                    good = max(good, 8.0)
+                    good = max(good, GOOD_TAGS["main"])
             elif key in ("class", "id"):
                 for part in value.split():
-                    words = [w.lower() for w in _CAMEL.split(part) if w]
-                    if _STATES & set(words):  # says what the page has around here, not what this element is
+                    words = {w.lower() for w in _CAMEL.split(part) if w}
+                    if _STATES & words:  # says what the page has around here, not what this element is
                         continue
-                    head = {"header", "head"} & set(words) and {"article", "entry", "post", "story"} & set(words)
-                    if not head and BAD_WORDS & set(words):
-                        bad = min(bad, -25.0)
+                    head = {"header", "head"} & words and {"article", "entry", "post", "story"} & words
+                    if not head and PART_WORDS & words:
+                        bad = min(bad, PART)
+                    elif not head and HINT_WORDS & words:
+                        hint = HINT
                     good = max([good, *(GOOD_WORDS.get(w, 0.0) for w in words)])
-    return good, bad
+    return good, bad, hint
 
 
 class Block:
@@ -185,10 +198,9 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in ("html", "body"):
             flush()
-            good, bad = evidence(name, m["attrs"] or "")
             if name == "body" and not any(e.name == "body" for e in stack):
                 pop_to(1)
-                stack.append(Element(name, stack[-1], good, bad))
+                stack.append(Element(name, stack[-1], *evidence(name, m["attrs"] or "")))
             continue
         if name in CLOSES_P:
             k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == "p" or stack[k].name in BOUNDARY), 0)
@@ -220,42 +232,80 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def score(b: Block) -> float:
-    """Evidence for content (above 0) or boilerplate."""
-    chars = max(1, len(b.text.replace(" ", "")))
-    good, bad, heading, inside = 0.0, 0.0, b.element.name in ("h1", "h2", "h3", "h4", "h5", "h6"), False
-    e, chain = b.element, []
+def _chain(e: Element | None) -> list[Element]:
+    out = []
     while e is not None:
-        chain.append(e)
-        inside = inside or e.name in GOOD_TAGS
+        out.append(e)
         e = e.up
-    for k, e in enumerate(chain):
-        good = max(good, e.good)
-        if e.bad and not e.main:
-            own = any(x.name in GOOD_TAGS for x in chain[k + 1 :])
-            if e.name == "header" and own and heading and e.bad == BAD_TAGS["header"]:
-                continue  # the article's own heading
-            bad = min(bad, e.bad)
-    s = BASE + min(MOST_CHARS, PER_CHAR * chars) - LINKED * min(1.0, b.linked / chars) + HEADING * heading + ITEM * (b.element.name in ("li", "td", "dd", "dt")) + good + bad
-    return s - LEGAL * bool(not inside and _LEGAL.match(b.text))
+    return out
+
+
+def _bad(e: Element, total: int) -> float:
+    """Evidence against content that an element gives, if it isn't the page itself. Elements around an article give none."""
+    if e.main:
+        return 0.0
+    whole = e.chars > WHOLE * total
+    return (0.0 if whole and e.name == "form" and e.bad == PART else e.bad) + (0.0 if whole else e.hint)
+
+
+def network(blocks: list[Block]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Log-odds of content of a page's blocks, then of the telling elements around them; and the edges of all."""
+    plain = [len(b.text.replace(" ", "")) - b.linked for b in blocks]
+    chains = [_chain(b.element) for b in blocks]
+    for n, chain in zip(plain, chains, strict=True):
+        for e in chain:
+            e.chars += n
+    total = sum(plain)
+    held: dict[int, tuple[float, list[int]]] = {}  # element: its evidence, its blocks
+    apart = []
+    for i, (b, chain) in enumerate(zip(blocks, chains, strict=True)):
+        best = max(chain, key=lambda e: e.good)
+        if best.good:
+            held.setdefault(-id(best), (best.good, []))[1].append(i)
+        part = False
+        for k, e in enumerate(chain):
+            own = e.name == "header" and b.element.name in HEADINGS and e.bad == HEADER and any(x.name in GOOD_TAGS for x in chain[k + 1 :])
+            if (bad := 0.0 if own else _bad(e, total)) < 0:
+                held.setdefault(id(e), (bad, []))[1].append(i)
+                part = part or bad <= -2.0
+        apart.append(part)
+    full = max([1, *(min(FULL, n) for n, x in zip(plain, apart, strict=True) if not x)])
+    costs, edges = [], edges_of(blocks)
+    for b, n, chain in zip(blocks, plain, chains, strict=True):
+        linked = b.linked / max(1, n + b.linked)
+        s = BASE + LENGTH * min(1.0, max(0.0, n / full)) ** 0.5 - LENGTH / 2 - LINKED * linked
+        s += HEADING * (b.element.name in HEADINGS) + ITEM * (b.element.name in ("li", "td", "dd", "dt")) + SENTENCE * (b.text[-1] in ".!?:…\"”»")
+        costs.append(s + LEGAL * bool(not any(e.name in GOOD_TAGS for e in chain) and _LEGAL.match(b.text)))
+    for evidence_, inside in held.values():
+        edges += [(i, len(costs), abs(evidence_)) for i in inside]
+        costs.append(evidence_ * len(inside))
+    return costs, edges
+
+
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+
+
+def nearness(a: Element, b: Element) -> float:
+    """Weight of the edge between blocks of two elements."""
+    if a is b:
+        return NEAR
+    if a.up is b.up:
+        return NEAR * (BORDER if min(a.bad, b.bad) <= -2.0 else 1.0)
+    steps, border = -2, False
+    while a is not b:
+        if a.depth < b.depth:
+            a, b = b, a
+        border = border or a.bad <= -2.0 or a.name in GOOD_TAGS
+        a, steps = a.up, steps + 1
+    return NEAR * APART ** max(0, steps) * (BORDER if border else 1.0)
 
 
 def min_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """The labels of least total cost: costs[i] > 0 is paid if i is False, -costs[i] if costs[i] < 0 and i is True, and
-    an edge's weight if its ends differ. Nodes that outweigh all their edges keep their own label, which is optimal;
-    the flow is pushed through the rest."""
+    an edge's weight if its ends differ. Found by maximum flow from a source (True) to a sink (False)."""
     n = len(costs)
-    near: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-    for u, v, w in edges:
-        near[u].append((v, w))
-        near[v].append((u, w))
-    label: list[bool | None] = [c > 0 if abs(c) > sum(w for _, w in near[i]) else None for i, c in enumerate(costs)]
-    free = [i for i in range(n) if label[i] is None]
-    if not free:
-        return [bool(x) for x in label]
-    at = {i: k for k, i in enumerate(free)}
-    s, t = len(free), len(free) + 1
-    graph: list[list[int]] = [[] for _ in range(t + 1)]
+    s, t = n, n + 1
+    graph: list[list[int]] = [[] for _ in range(n + 2)]
     to: list[int] = []
     cap: list[float] = []
 
@@ -267,16 +317,13 @@ def min_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[boo
         to.append(u)
         cap.append(back)
 
-    for i in free:
-        pull = {True: max(0.0, costs[i]), False: max(0.0, -costs[i])}
-        for v, w in near[i]:
-            if label[v] is not None:
-                pull[bool(label[v])] += w
-            elif i < v:
-                add(at[i], at[v], w, w)
-        both = min(pull.values())
-        add(s, at[i], pull[True] - both, 0.0)
-        add(at[i], t, pull[False] - both, 0.0)
+    for i, c in enumerate(costs):
+        if c > 0:
+            add(s, i, c, 0.0)
+        elif c < 0:
+            add(i, t, -c, 0.0)
+    for u, v, w in edges:
+        add(u, v, w, w)
     while True:  # Dinic: layers, then blocking flow
         level = {s: 0}
         queue = deque([s])
@@ -287,7 +334,7 @@ def min_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[boo
                     level[to[e]] = level[u] + 1
                     queue.append(to[e])
         if t not in level:
-            return [bool(label[i]) if label[i] is not None else at[i] in level for i in range(n)]
+            return [i in level for i in range(n)]
         tried = [0] * (t + 1)
         path: list[int] = []
         u = s
@@ -320,16 +367,21 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     blocks = blocks_of(page)
+    keep = min_cut(*network(blocks))
+    return "\n\n".join(b.text for b, k in zip(blocks, keep, strict=False) if k)
+
+
+def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
+    """(i, j, weight): blocks that follow each other in the page, and under one element."""
     edges, last = [], {}
     for i, b in enumerate(blocks):
         up = id(b.element.up)
         if i:
-            edges.append((i - 1, i, NEXT if up == id(blocks[i - 1].element.up) else NEXT_APART))
+            edges.append((i - 1, i, nearness(blocks[i - 1].element, b.element)))
         if up in last and last[up] < i - 1:
-            edges.append((last[up], i, SIBLING))
+            edges.append((last[up], i, SIBLING / NEAR * nearness(blocks[last[up]].element, b.element)))
         last[up] = i
-    keep = min_cut([score(b) for b in blocks], edges)
-    return "\n\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
+    return edges
 
 
 def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -3,7 +3,7 @@ from itertools import product
 import numpy as np
 import pytest
 
-from siftreel.llm.html_text import extract, main_text, min_cut
+from siftreel.llm.html_text import blocks_of, extract, main_text, min_cut, network
 
 LONG = "This is a paragraph of the article that is long enough to be taken for content by itself."
 AROUND = {
@@ -50,6 +50,44 @@ def test_odd(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_generated_pages(seed):
+    """Pages put together from an article, whose text is known, and parts of all kinds around and within it."""
+    r = np.random.default_rng(seed)
+    words = lambda n: " ".join("".join(r.choice(list("aeioubdklmnrst"), int(r.integers(2, 9)))) for _ in range(n))
+    kept = [("h1", words(int(r.integers(1, 6))))]
+    for _ in range(int(r.integers(1, 12))):
+        kind = str(r.choice(["p", "p", "p", "h2", "li", "blockquote"]))
+        kept.append((kind, words(int(r.integers(1, 60))) + "." * (kind == "p")))
+    parts = [x for k, x in AROUND.items() if k != "header"]
+    inner = ""
+    for kind, text in kept:
+        inner += f"<ul><li>{text}</li></ul>" if kind == "li" else f"<{kind}>{text}</{kind}>"
+        if r.random() < 0.2:
+            inner += str(r.choice(parts))
+    wrap = str(r.choice(["<article>%s</article>", "<main><div>%s</div></main>", '<div class="layout"><article class="post">%s</article></div>']))
+    menu = "<nav><ul>" + "".join(f'<li><a href="/">{words(2)}</a></li>' for _ in range(int(r.integers(1, 9)))) + "</ul></nav>"
+    around = [str(x) for x in r.choice([*AROUND.values()], 3)]
+    page = f"<html><body>{around[0]}{menu}{around[1]}{wrap % inner}{around[2]}<footer>{words(30)}</footer></body></html>"
+    assert main_text(page) == "\n\n".join(t for _, t in kept)
+
+
+def test_cut_mends_what_costs_get_wrong():
+    """Short blocks of an article look like boilerplate, a long one of an advert like content: the cut decides by their surroundings."""
+    page = f'<article><h1>T</h1><p>{LONG}</p><p>No.</p><p>{LONG}</p></article><div class="ad"><p>{LONG}</p></div>'
+    costs, edges = network(blocks_of(page))
+    assert [c > 0 for c in costs[:5]] == [False, True, False, True, True]
+    assert min_cut(costs, edges)[:5] == [True, True, True, True, False]
+
+
+@pytest.mark.parametrize("name", ["legal", "form", "widget", "disclaimer", "search-result"])
+def test_words_that_only_hint(name):
+    """A class word that doesn't name a part of the page deletes no paragraph."""
+    assert main_text(f'<div class="{name}"><p>{LONG}</p></div>') == LONG
+    assert main_text(f'<article><p>{LONG}</p><section class="{name}"><p>Roses are red,</p><p>violets are blue,</p></section></article>') == f"{LONG}\n\nRoses are red,\n\nviolets are blue,"
+    assert main_text(f'<form id="page"><h1>A title</h1><p>{LONG}</p><p>{LONG}</p></form>') == f"A title\n\n{LONG}\n\n{LONG}"
+
+
 def test_min_cut_is_least():
     r = np.random.default_rng(3)
     for _ in range(150):
