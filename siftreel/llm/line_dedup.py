@@ -1,7 +1,7 @@
 """Line deduplication by site-relative frequency, with DataFrame functions only.
 
-A line is boilerplate of its host if the share of the host's pages that contain it exceeds a ratio (and a least number
-of pages has it). Pages are counted through 128-bit hashes of trimmed lines, combined before the shuffle. What is found
+A line is boilerplate of its host if the share of the host's pages that contain it exceeds a ratio, and more than one
+page has it: on a host with a lone page every line has a share of 1, and nothing would be left. Pages are counted through 128-bit hashes of trimmed lines, combined before the shuffle. What is found
 is small by construction: a host has at most (mean distinct lines per page) / ratio such lines. It is broadcast after
 its size is checked; a larger table is joined with salted hosts, so that a hot host is dealt over many tasks.
 """
@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import as_row, drop, table
 
-#: A line goes if more than this share of its host's pages has it, and at least MIN_PAGES of them.
-MAX_RATIO, MIN_PAGES = 0.08, 5
+#: A line goes if more than this share of its host's pages has it (one in twelve or so: what a page says itself is said on few
+#: others), and at least MIN_PAGES of them, the least number that is a repetition.
+MAX_RATIO, MIN_PAGES = 0.08, 2
 #: Boilerplate lines that may be broadcast (16 bytes each), and the salts for hosts beyond that.
 BROADCAST_LINES, SALTS = 200_000, 64
 

@@ -29,6 +29,17 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+#: Html that names the page before as the canonical form or redirects to it, in one of three ways: chains of four pages.
+CHAINS = """SELECT p.page_id, p.url, CASE p.page_id % 3 WHEN 0 THEN concat('<link rel="canonical" href="', q.url, '">') WHEN 1 THEN concat('<meta http-equiv=refresh content="0; url=', q.url, '">')
+    ELSE concat('<link title="a > b" rel="alternate canonical" href=', q.url, '>') END AS html FROM {pages} p LEFT JOIN {pages} q ON q.page_id = p.page_id - 1 AND p.page_id % 4 <> 0"""
+
+
+def url_filter_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The URL filter over the urls of pages and generated links: the tables' own pages name none."""
+    pages = spark.sql(CHAINS, pages=read(spark, sf_dir, "pages").select("page_id", "url"))
+    return url_filter.url_filter(pages.select("page_id", "url"), url_filter.edges_of(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
@@ -68,8 +79,52 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_quality": op9_quality,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "url_filter_chains": url_filter_chains,
 }
 
+def _url_sql() -> str:
+    """The URL filter over {pages}: tags, attributes, targets, what they mean on their page, and the blocks they pass on."""
+    S = url_filter.S
+    bare = lambda x: f"trim(regexp_replace(trim({x}, '{url_filter.BLANKS}'), '^[\"'']|[\"'']$', '', 'g'), '{url_filter.BLANKS}')"
+
+    def decoded(x: str) -> str:
+        x = bare(x)
+        for name, stands in url_filter.REFERENCES:
+            x = f"replace({x}, '{name}', '{stands.replace("'", "''")}')"
+        return x
+
+    value = url_filter.VALUE.replace("'", "''")
+    attribute = lambda name: decoded(f"""regexp_extract(t, '(?is)[ \\t\\n\\f\\r"''/]{name}{value}', 1)""")
+    page = lambda x: f"(translate(regexp_extract(regexp_extract({x}, '(?s)^([^#]*)', 1), '(?s)^(.*?://[^/?]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') || substr(regexp_extract({x}, '(?s)^([^#]*)', 1), length(regexp_extract(regexp_extract({x}, '(?s)^([^#]*)', 1), '(?s)^(.*?://[^/?]*)', 1)) + 1))"
+    return f"""
+        WITH RECURSIVE given AS (SELECT * FROM {{pages}}),
+        tags AS (SELECT url AS u, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(?:link|meta)(?:{S}|/)(?:[^>"'']|"[^"]*"|''[^'']*'')*>')) AS t
+                 FROM given WHERE url IS NOT NULL AND html IS NOT NULL AND regexp_matches(html, '(?i)canonical|refresh')),
+        vals AS (SELECT u, lower(substr(t, 2, 4)) AS tag, lower({attribute("rel")}) AS rel, {attribute("href")} AS href, lower({attribute("http-equiv")}) AS equiv, {attribute("content")} AS content FROM tags),
+        named AS (SELECT u, CASE WHEN tag = 'link' AND regexp_matches(rel, '(^|{S})canonical({S}|$)') THEN href
+                         WHEN tag = 'meta' AND equiv = 'refresh' THEN {decoded(f"regexp_extract(content, '(?is)^(?:{S}|[0-9.])*[;,]?{S}*url{S}*=(.*)$', 1)")} END AS x FROM vals),
+        own AS (SELECT u, x, regexp_extract(u, '(?s)^([^:/?#]*:)//', 1) AS scheme, regexp_extract(u, '(?s)^(.*?://[^/?#]*)', 1) AS origin, regexp_extract(u, '(?s)^([^?#]*)', 1) AS page FROM named WHERE x <> '' AND NOT prefix(x, '#')),
+        whole AS (SELECT u, CASE WHEN regexp_matches(x, '{url_filter.SCHEME}') THEN CASE WHEN contains(x, '://') THEN x END WHEN origin = '' THEN NULL WHEN prefix(x, '//') THEN scheme || x WHEN prefix(x, '/') THEN origin || x
+                         WHEN prefix(x, '?') THEN page || x WHEN page = origin THEN origin || '/' || x ELSE regexp_extract(page, '(?s)^(.*/)', 1) || x END AS f FROM own),
+        target AS (SELECT u, {page("f")} AS f FROM whole WHERE f IS NOT NULL),
+        parts AS (SELECT u, regexp_extract(f, '(?s)^(.*?://[^/?]*)', 1) AS start, regexp_extract(f, '(?s)^.*?://[^/?]*([^?]*)', 1) AS path, regexp_extract(f, '(?s)^.*?://[^?]*(.*)$', 1) AS query FROM target),
+        named_edges AS (SELECT {page("u")} AS a, start || CASE WHEN regexp_matches(path, '/\\.\\.?(/|$)')
+                               THEN array_to_string(list_reduce(list_transform(string_split(path, '/')[2:], lambda s: [s]), lambda done, s: CASE WHEN s[1] = '..' THEN done[1:greatest(len(done) - 1, 1)] WHEN s[1] = '.' THEN done ELSE list_concat(done, s) END, ['']), '/')
+                                    || CASE WHEN regexp_matches(path, '/\\.\\.?$') THEN '/' ELSE '' END
+                               ELSE path END || query AS b FROM parts),
+        edges AS (SELECT a, b FROM named_edges WHERE a <> b UNION SELECT b, a FROM named_edges WHERE a <> b),
+        nodes AS (SELECT DISTINCT url FROM given UNION SELECT a FROM edges),
+        split AS (SELECT url, {page("url")} AS node, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM nodes),
+        rules(verdict, rule_host, rule_path) AS (VALUES {", ".join(str(r) for r in url_filter.RULES)}),
+        fitting AS (SELECT url, node, rule_host || rule_path AS rule, verdict, row_number() OVER (PARTITION BY url ORDER BY length(rule_host || rule_path) DESC, verdict) AS k
+                    FROM split JOIN rules ON (host = rule_host OR suffix(host, '.' || rule_host)) AND prefix(path, rule_path)),
+        bad AS (SELECT node FROM fitting WHERE k = 1 AND verdict = 'block' UNION SELECT edges.b FROM bad JOIN edges ON edges.a = bad.node)
+        SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN bad.node IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+        FROM given JOIN split ON split.url IS NOT DISTINCT FROM given.url LEFT JOIN (SELECT * FROM fitting WHERE k = 1) f ON f.url = given.url LEFT JOIN bad ON bad.node = split.node"""
+
+
+URL_SQL = _url_sql()
+
 ORACLES = {
     "op1_line_dedup": f"""
         WITH lines AS (SELECT source, doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents WHERE source IS NOT NULL AND text IS NOT NULL),
@@ -81,19 +136,8 @@ ORACLES = {
         SELECT doc_id, CASE WHEN old IS NULL THEN NULL ELSE array_to_string(kept, chr(10)) END AS text,
                coalesce(len(old), 0)::BIGINT AS n_lines, coalesce(len(old) - len(kept), 0)::BIGINT AS n_dropped
         FROM cut""",
-    "op4_url_filter": f"""
-        WITH RECURSIVE tags AS (SELECT url AS a, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]+>')) AS tag FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
-        named AS (SELECT a, replace(CASE WHEN regexp_matches(tag, '(?is)^<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b') THEN regexp_extract(tag, '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1)
-                                    WHEN regexp_matches(tag, '(?is)\\bhttp-equiv\\s*=\\s*["'']?refresh\\b') THEN regexp_extract(tag, '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>;]+)', 1) END, '&amp;', '&') AS b FROM tags),
-        edges AS (SELECT a, b FROM named WHERE contains(b, '://') AND a <> b UNION SELECT b, a FROM named WHERE contains(b, '://') AND a <> b),
-        nodes AS (SELECT DISTINCT url FROM pages UNION SELECT a FROM edges),
-        split AS (SELECT url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM nodes),
-        rules(verdict, rule_host, rule_path) AS (VALUES {", ".join(str(r) for r in url_filter.RULES)}),
-        fitting AS (SELECT url, rule_host || rule_path AS rule, verdict, row_number() OVER (PARTITION BY url ORDER BY length(rule_host || rule_path) DESC, verdict) AS k
-                    FROM split JOIN rules ON (host = rule_host OR suffix(host, '.' || rule_host)) AND prefix(path, rule_path)),
-        bad AS (SELECT url FROM fitting WHERE k = 1 AND verdict = 'block' UNION SELECT edges.b FROM bad JOIN edges ON edges.a = bad.url)
-        SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN bad.url IS NULL THEN 'allow' ELSE 'block' END) AS verdict
-        FROM pages JOIN split ON split.url IS NOT DISTINCT FROM pages.url LEFT JOIN (SELECT * FROM fitting WHERE k = 1) f ON f.url = pages.url LEFT JOIN bad ON bad.url = pages.url""",
+    "op4_url_filter": URL_SQL.format(pages="pages"),
+    "url_filter_chains": URL_SQL.format(pages=f"({CHAINS.format(pages='pages')})"),
     "op5_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::DOUBLE) AS v FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

@@ -3,7 +3,8 @@
 Rules name a host and a path prefix and say block or allow. A page's own longest rule decides. Pages without a rule take
 part in equivalence classes: the connected components of redirect and canonical-link edges. A class that holds a blocked
 url (in the table or only named by a link) blocks its members; an explicit allow rule always has precedence for the url
-it fits. Everything else is allowed.
+it fits. Everything else is allowed. Urls are the same page if they differ only in their fragment or in the case of scheme
+and host.
 """
 
 from __future__ import annotations
@@ -42,14 +43,73 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return F.coalesce(*found, F.lit(None).cast("struct<rule:string,verdict:string>"))
 
 
-def links_of(url: Column, html: Column) -> Column:
-    """Urls that a page's head names as its canonical form or redirects to at once (absolute ones)."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link|meta)\b[^>]+>)"), 1)
-    link = lambda t: F.when(F.lower(t).rlike(r"""^<link\b[^>]*\brel\s*=\s*["']?canonical\b"""), F.regexp_extract(t, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)).when(
-        F.lower(t).rlike(r"""\bhttp-equiv\s*=\s*["']?refresh\b"""), F.regexp_extract(t, r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)""", 1)
+#: A tag up to the > that no quotes hold, whatever its length; an attribute's value, quoted or not.
+S = r"[ \t\n\f\r]"
+TAG = rf"""(?is)(<(?:link|meta)(?:{S}|/)(?:[^>"']++|"[^"]*+"|'[^']*+')*+>)"""
+VALUE = rf"""{S}*=({S}*"[^"]*"|{S}*'[^']*'|{S}*[^ \t\n\f\r"'>]+)"""
+BLANKS = " \t\n\f\r"
+#: Character references that urls hold, and what they stand for; the ampersand last.
+REFERENCES = (("&#38;", "&amp;"), ("&#x26;", "&amp;"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&#47;", "/"), ("&#x2F;", "/"), ("&#x2f;", "/"), ("&#58;", ":"), ("&#x3A;", ":"), ("&#x3a;", ":"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+
+
+def page_of(url: Column) -> Column:
+    """A url without its fragment, scheme and host in lower case."""
+    whole = F.regexp_extract(url, r"(?s)^([^#]*)", 1)
+    start = F.regexp_extract(whole, r"(?s)^(.*?://[^/?]*)", 1)
+    return F.concat(F.translate(start, UPPER, LOWER), F.substring(whole, F.length(start) + 1, F.length(whole)))
+
+
+def _bare(x: Column) -> Column:
+    """An attribute's value without blanks and quotes around it, references decoded."""
+    trim = lambda y: F.trim(y, F.lit(BLANKS))
+    x = trim(F.regexp_replace(trim(x), r"""^["']|["']$""", ""))
+    for name, stands in REFERENCES:
+        x = F.replace(x, F.lit(name), F.lit(stands))
+    return x
+
+
+def _step(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with just these columns, each worked out once: the optimiser doesn't copy expressions over a generator."""
+    return df.select(F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("s")).select("s.*")
+
+
+def edges_of(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(a, b): each page's url and the canonical or redirect target that its html names. Null urls and html name none.
+
+    Targets are read from tags of any length outside comments, resolved against the page's url (dot segments taken out),
+    and given without fragments, as is the page's own url. Targets that aren't web addresses, or are the page itself,
+    make no edge.
+    """
+    u, h = F.col(f"`{url}`"), F.col(f"`{html}`")
+    some = pages.where(u.isNotNull() & h.isNotNull() & h.rlike("(?i)canonical|refresh")).select(u.alias("u"), h.alias("h"))
+    tags = some.select("u", F.explode(F.regexp_extract_all(F.regexp_replace("h", r"(?s)<!--.*?-->", ""), F.lit(TAG), 1)).alias("t"))
+    attribute = lambda name: _bare(F.regexp_extract("t", rf"""(?is)[ \t\n\f\r"'/]{name}{VALUE}""", 1))
+    values = _step(tags, u=F.col("u"), tag=F.lower(F.substring("t", 2, 4)), **{k.replace("-", "_"): attribute(k) for k in ("rel", "href", "http-equiv", "content")})
+    after = F.regexp_extract("content", rf"(?is)^(?:{S}|[\d.])*[;,]?{S}*url{S}*=(.*)$", 1)
+    canonical = (F.col("tag") == "link") & F.lower("rel").rlike(rf"(^|{S})canonical({S}|$)")
+    refresh = (F.col("tag") == "meta") & (F.lower("http_equiv") == "refresh")
+    named = _step(values, u=F.col("u"), x=F.when(canonical, F.col("href")).when(refresh, _bare(after))).where("x is not null and x <> '' and not startswith(x, '#')")
+    part = lambda c, pattern: F.regexp_extract(c, "(?s)" + pattern, 1)
+    own = _step(named, u=F.col("u"), x=F.col("x"), scheme=part("u", "^([^:/?#]*:)//"), origin=part("u", "^(.*?://[^/?#]*)"), page=part("u", "^([^?#]*)"))
+    x, origin, page = F.col("x"), F.col("origin"), F.col("page")
+    folder = F.when(page == origin, F.concat(origin, F.lit("/"))).otherwise(F.regexp_extract(page, r"(?s)^(.*/)", 1))
+    full = (
+        F.when(x.rlike(SCHEME), F.when(x.contains("://"), x))
+        .when(origin == "", F.lit(None))
+        .when(x.startswith("//"), F.concat("scheme", x))
+        .when(x.startswith("/"), F.concat(origin, x))
+        .when(x.startswith("?"), F.concat(page, x))
+        .otherwise(F.concat(folder, x))
     )
-    found = F.transform(tags, link)
-    return F.filter(F.transform(found, lambda x: F.replace(x, F.lit("&amp;"), F.lit("&"))), lambda x: x.contains("://") & (x != url))
+    meant = _step(_step(own, u=F.col("u"), f=full).where("f is not null"), u=F.col("u"), f=page_of(F.col("f")))
+    parts = _step(meant, u=F.col("u"), start=part("f", "^(.*?://[^/?]*)"), path=part("f", "^.*?://[^/?]*([^?]*)"), query=part("f", "^.*?://[^?]*(.*)$"))
+    step = lambda done, y: F.when(y == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).when(y == ".", done).otherwise(F.concat(done, F.array(y)))
+    pieces = F.split("path", "/")
+    kept = F.array_join(F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), F.array(F.lit("")), step), "/")
+    kept = F.concat(kept, F.when(F.element_at(pieces, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit("")))
+    path = F.when(F.col("path").rlike(r"/\.\.?(/|$)"), kept).otherwise(F.col("path"))
+    return _step(parts, a=page_of(F.col("u")), b=F.concat("start", path, "query")).where("a <> b")
 
 
 def url_filter(pages: DataFrame, edges: DataFrame | None = None, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url") -> DataFrame:
@@ -59,23 +119,17 @@ def url_filter(pages: DataFrame, edges: DataFrame | None = None, rules: Sequence
     gives an empty result. Columns of pages named like the four added ones are replaced.
     """
     rows = as_row(pages, "row").withColumn("_url", F.col(f"row.`{url}`"))
-    rows = rows.withColumn("_host", host_of(F.col("_url"))).withColumn("_path", path_of(F.col("_url")))
+    rows = rows.withColumn("_host", host_of(F.col("_url"))).withColumn("_path", path_of(F.col("_url"))).withColumn("_page", page_of(F.col("_url")))
     rows = rows.withColumn("_own", rule_of(F.col("_host"), F.col("_path"), rules))
     if edges is not None:
-        of = components(edges)
+        of = components(edges.select(*[page_of(F.col(f"`{c}`")).alias(k) for k, c in zip("ab", edges.columns, strict=True)]))
         if not of.isEmpty():
             own = rule_of(host_of(F.col("node")), path_of(F.col("node")), rules)
             blocked = of.withColumn("_v", own["verdict"]).groupBy("component").agg(F.max(F.coalesce(F.col("_v") == "block", F.lit(False))).alias("_bad"))
-            bad = of.join(blocked.where("_bad"), "component").select(F.col("node").alias("_url"), F.lit("block").alias("_class"))
+            bad = of.join(blocked.where("_bad"), "component").select(F.col("node").alias("_page"), F.lit("block").alias("_class"))
             ruled, free = rows.where("_own is not null"), rows.where("_own is null")
-            rows = free.join(bad, "_url", "left").unionByName(ruled, allowMissingColumns=True)
+            rows = free.join(bad, "_page", "left").unionByName(ruled, allowMissingColumns=True)
     if "_class" not in rows.columns:
         rows = rows.withColumn("_class", F.lit(None).cast("string"))
     added = {"host": F.col("_host"), "path": F.col("_path"), "rule": F.col("_own.rule"), "verdict": F.coalesce("_own.verdict", "_class", F.lit("allow"))}
     return rows.select(*[F.col(f"row.`{c}`") for c in pages.columns if c not in added], *[v.alias(k) for k, v in added.items()])
-
-
-def edges_of(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): each page's url and the canonical or redirect target that its html names."""
-    u, h = F.col(f"`{url}`"), F.col(f"`{html}`")
-    return pages.where(u.isNotNull() & h.isNotNull()).select(u.alias("a"), F.explode(links_of(u, h)).alias("b"))

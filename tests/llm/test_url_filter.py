@@ -73,3 +73,52 @@ def test_long_tags(spark):
     df = spark.createDataFrame([(1, "http://one.org/a", html)], "page_id long, url string, html string")
     assert [tuple(r) for r in edges_of(df).collect()] == [("http://one.org/a", "http://bad.net/x")]
     assert url_filter(df, edges_of(df)).first()["verdict"] == "block"
+
+
+TARGETS = {
+    '<link rel="canonical" href="http://bad.net/x">': "http://bad.net/x",
+    "<LINK HREF='http://BAD.net/x#frag' title='a > b' REL='alternate canonical'>": "http://bad.net/x",
+    '<link title="a > b" rel=canonical href=http://bad.net/x>': "http://bad.net/x",
+    '<link rel="canonical" href="//bad.net/x?a=1&amp;b=2">': "http://bad.net/x?a=1&b=2",
+    '<link rel="canonical" href="/y">': "http://one.org/y",
+    '<link rel="canonical" href="y/z">': "http://one.org/d/y/z",
+    '<link rel="canonical" href="../y/./z/..">': "http://one.org/y/",
+    '<link rel="canonical" href="?q=2">': "http://one.org/d/p?q=2",
+    '<link rel="canonical" href="http&#58;&#x2F;&#47;bad.net/&quot;">': 'http://bad.net/"',
+    "<meta http-equiv='Refresh' content='5;URL=\"http://bad.net/x\"'>": "http://bad.net/x",
+    '<meta content="0, url = /y" http-equiv=refresh />': "http://one.org/y",
+    '<meta http-equiv="refresh" content="30">': None,
+    '<link rel="canonical-ish" href="http://bad.net/x">': None,
+    '<link data-rel="canonical" href="http://bad.net/x">': None,
+    '<!-- <link rel="canonical" href="http://bad.net/x"> -->': None,
+    '<link rel="canonical" href="mailto:a@bad.net">': None,
+    '<link rel="canonical" href="#top">': None,
+    '<link rel="canonical" href="HTTP://One.org/d/p?q=1">': None,
+    '<link rel="canonical" href="">': None,
+    "<a rel=canonical href=http://bad.net/x>": None,
+}
+
+
+def test_targets(spark):
+    """Each way to name a target, against what a browser would make of it."""
+    df = spark.createDataFrame([(i, "http://One.org/d/p?q=1#f", f"<head>{t}</head>") for i, t in enumerate(TARGETS)], "page_id long, url string, html string")
+    for i, want in enumerate(TARGETS.values()):
+        got = [tuple(r) for r in edges_of(df.where(f"page_id = {i}")).collect()]
+        assert got == ([("http://one.org/d/p?q=1", want)] if want else []), (i, got)
+
+
+def test_sql_on_targets(spark, tmp_path):
+    import duckdb
+
+    from siftreel.llm.queries import ORACLES, QUERIES
+
+    pages = [(i, f"http://h{i}.org/d/p#f", f"<head>{t}</head>") for i, t in enumerate(TARGETS)]
+    pages += [(100, "http://H4.org/y", None), (101, "http://h5.org/d/y/z", '<link rel=canonical href="http://bad.net/">'), (102, "http://h6.org/fr/x", '<link rel=canonical href="/y/">'), (103, "http://h7.org/d/p?q=2", '<meta http-equiv=refresh content="0;url=//a.example.com/de/">')]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(ORACLES["op4_url_filter"])
+    columns = [x[0] for x in want.description]
+    rows = sorted(map(str, want.fetchall()))
+    assert rows == sorted(str(tuple(r)) for r in QUERIES["op4_url_filter"](spark, str(tmp_path)).select(*columns).collect())
+    assert sum("'block'" in r for r in rows) == 10  # 0-3, 5, 7-9, 101, 103
