@@ -18,15 +18,22 @@ from pyspark.sql import functions as F
 from .common import drop, partitions, ship, table
 from .components import components
 
-#: Hyperplanes of a table, the share of pairs at the threshold that may be missed, rows of a chunk. More vectors want more
-#: hyperplanes (smaller buckets); the number of tables follows, so the share that is missed stays.
-BITS, MISSED, CHUNK = 10, 4e-4, 1_024
+#: The share of pairs at the threshold that may be missed, rows of a chunk, and how many rows an average bucket should have.
+MISSED, CHUNK, BUCKET = 4e-4, 1_024, 256
+#: Fewest and most hyperplanes of a table.
+FEWEST, MOST = 4, 24
 SEED = 20_240_611
 
 
-def tables_for(least: float, bits: int = BITS, missed: float = MISSED) -> int:
+def bits_for(rows: int, bucket: int = BUCKET) -> int:
+    """Hyperplanes so that unrelated vectors fill buckets of about that many rows, however many vectors a label has."""
+    return min(MOST, max(FEWEST, round(np.log2(max(1, rows) / bucket))))
+
+
+def tables_for(least: float, bits: int, missed: float = MISSED) -> int:
     """Tables so that a pair at cosine `least` shares no bucket with probability `missed` at most. One hyperplane agrees
-    with probability 1 - angle / pi; at 0.93 that is 0.880, and 24 tables of 10 hyperplanes do."""
+    with probability 1 - angle / pi; at 0.93 that is 0.880, so 9 tables of 4 hyperplanes do, or 24 of 10, or 49 of 15:
+    bytes and time grow as the number of vectors to the power 1.18."""
     agree = (1 - np.arccos(min(1.0, max(-1.0, least))) / np.pi) ** bits
     return max(1, int(np.ceil(np.log(missed) / np.log1p(-agree)))) if agree < 1 else 1
 
@@ -59,7 +66,7 @@ def _usable(v: Column) -> Column:
 
 
 def near_dups(
-    vectors: DataFrame, least: float = 0.93, id: str = "vec_id", vector: str = "embedding", label: str = "label", bits: int = BITS, missed: float = MISSED, chunk: int = CHUNK
+    vectors: DataFrame, least: float = 0.93, id: str = "vec_id", vector: str = "embedding", label: str = "label", bits: int | None = None, missed: float = MISSED, chunk: int = CHUNK
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row with an id; see the module's text for the method.
 
@@ -69,7 +76,6 @@ def near_dups(
     """
     spark = vectors.sparkSession
     ship(spark)
-    tables = tables_for(least, bits, missed)
     of_floats = vectors.schema[vector].dataType.simpleString() == "array<float>"  # half the bytes, the same numbers
     number = "float" if of_floats else "double"
     all_ids = vectors.select(F.col(f"`{id}`").cast("long").alias("vec_id"), F.col(f"`{label}`").alias("label"), F.col(f"`{vector}`").cast(f"array<{number}>").alias("v")).where("vec_id is not null")
@@ -77,6 +83,9 @@ def near_dups(
     own = table(good.select("vec_id", "label", F.xxhash64("v").alias("h"), "v"), "vectors")
     reps = table(own.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "vectors")
 
+    if bits is None:
+        bits = bits_for(reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0)
+    tables = tables_for(least, bits, missed)
     small = np.uint16 if bits <= 16 else np.int32
 
     def hashed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,5 +173,4 @@ def near_dups(
     of_rep = of_rep.select("label", F.col("v").alias("_v"), F.xxhash64("v").alias("h"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     hit = own.join(of_rep, (own["label"] == of_rep["label"]) & (own["h"] == of_rep["h"]) & (own["v"] == of_rep["_v"])).select("vec_id", "n_links", "component_id")
     rest = all_ids.where(F.col("label").isNull() | ~F.coalesce(_usable(F.col("v")), F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    drop(large)
     return hit.unionByName(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))

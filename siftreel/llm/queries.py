@@ -68,6 +68,17 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_dups(read(spark, sf_dir, "embeddings"))
 
 
+#: The embeddings, and copies of every seventh that are bent more or less: to a cosine of 0.997 down to one below 0.93.
+PLANTED = """SELECT vec_id, embedding, label FROM {embeddings} UNION ALL
+    SELECT 1000000000 + vec_id AS vec_id, %s AS embedding, label FROM {embeddings} WHERE vec_id %% 7 = 0"""
+
+
+def embedding_dedup_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embedding near-dedup over the embeddings and bent copies: the smaller tables hold no near copies of their own."""
+    bent = "transform(embedding, (x, i) -> CAST(x * (1 + (1 + pmod(vec_id, 10)) / 10.0D * ((i + vec_id) % 3)) AS FLOAT))"
+    return embedding_dedup.near_dups(spark.sql(PLANTED % bent, embeddings=read(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -80,6 +91,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_embedding_dedup": op10_embedding_dedup,
     "url_filter_chains": url_filter_chains,
+    "embedding_dedup_planted": embedding_dedup_planted,
 }
 
 def _url_sql() -> str:
@@ -125,6 +137,15 @@ def _url_sql() -> str:
 
 URL_SQL = _url_sql()
 
+NEAR_SQL = """
+        WITH RECURSIVE given AS (SELECT * FROM {embeddings}),
+        v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM given WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+                   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM given UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+        n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a), c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM given LEFT JOIN n ON n.a = vec_id JOIN c ON c.a = vec_id"""
+
 ORACLES = {
     "op1_line_dedup": f"""
         WITH lines AS (SELECT source, doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents WHERE source IS NOT NULL AND text IS NOT NULL),
@@ -144,11 +165,8 @@ ORACLES = {
         s AS (SELECT q.vec_id AS query_id, r.vec_id, list_dot_product(q.v, r.v)::BIGINT AS score FROM v q JOIN v r ON q.vec_id <> r.vec_id AND len(q.v) = len(r.v) WHERE q.vec_id % 100 = 0),
         k AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 10""",
-    "op10_embedding_dedup": """
-        WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-                   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-        links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
-        reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
-        n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a), c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
-        SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings LEFT JOIN n ON n.a = vec_id JOIN c ON c.a = vec_id""",
+    "op10_embedding_dedup": NEAR_SQL.format(embeddings="embeddings"),
+    "embedding_dedup_planted": NEAR_SQL.format(
+        embeddings=f"({PLANTED.format(embeddings='embeddings') % 'list_transform(embedding, lambda x, i: CAST(x * (1 + (1 + vec_id % 10) / 10::DOUBLE * ((i - 1 + vec_id) % 3)) AS FLOAT))'})"
+    ),
 }
