@@ -2,7 +2,8 @@
 
 1. Texts are cut into pre-tokens. Each block of documents keeps its distinct words once, and every position as a number
    of a word: this is the exploded (document, position, word) relation, by columns and compressed.
-2. The words of all blocks are shuffled by their hash; each distinct word is encoded once.
+2. The words of all blocks are shuffled by their hash; each distinct word of the table is in one shard and is encoded once.
+   A shard's task holds its distinct words, so shards (the session's shuffle partitions) should grow with the input.
 3. The ids go back to their blocks, meet the positions there, and are put together by position.
 
 Words and positions come from two passes over the texts, since keeping the positions for later takes more disk than
@@ -17,7 +18,7 @@ import base64
 import hashlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
-from itertools import batched, chain
+from itertools import batched
 from zlib import crc32
 
 import numpy as np
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import partitions, ship, trim
 
-#: Pre-tokens of a block, documents of a page (what is put together at a time), words that a shard remembers.
-BLOCK_TOKENS, PAGE_DOCS, PAGE_TOKENS, MEMO = 2_000_000, 256, 300_000, 200_000
+#: Pre-tokens of a block, documents and pre-tokens of a page (what is put together at a time).
+BLOCK_TOKENS, PAGE_DOCS, PAGE_TOKENS = 2_000_000, 256, 300_000
 
 Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -47,10 +48,11 @@ def _splitter(pattern: str) -> Callable[[str], list[str]]:
 
 
 @lru_cache(2)
-def _encoder(content: bytes) -> Callable[[bytes], list[int]]:
+def _encoder(content: bytes) -> Callable[[str], list[int]]:
+    """Ids of one word: the pattern takes whatever there is as a single match."""
     import tiktoken
 
-    return tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks_of(content), special_tokens={})._encode_single_piece
+    return tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks_of(content), special_tokens={}).encode_ordinary
 
 
 @lru_cache(2)
@@ -152,6 +154,7 @@ def _cut(pattern: str, shards: int, words: bool) -> Kernel:
 def _encode_words(content) -> Kernel:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, known = _encoder(content.value), {}
+        number = np.dtype(np.uint16 if max(ranks_of(content.value).values(), default=0) < 1 << 16 else np.uint32)
         for b in it:
             for k in range(b.num_rows):
                 part, data = b.slice(k, 1), b["data"][k].as_py()
@@ -159,15 +162,13 @@ def _encode_words(content) -> Kernel:
                 raw = zstandard.ZstdDecompressor().decompress(data[8:])
                 ends = np.cumsum(np.frombuffer(raw[: 4 * n], "<u4").astype(np.int64)) + 4 * n
                 ids, at = [], 4 * n
-                if len(known) > MEMO:
-                    known.clear()
                 for e in ends.tolist():
                     w = raw[at:e]
                     at = e
                     if (x := known.get(w)) is None:
-                        x = known[w] = encode(w)
+                        x = known[w] = np.array(encode(w.decode()), number).tobytes()
                     ids.append(x)
-                out = _planes(np.concatenate([[total, n], [len(x) for x in ids], np.fromiter(chain.from_iterable(ids), np.uint32)]))
+                out = _planes(np.concatenate([[total, n], [len(x) // number.itemsize for x in ids], np.frombuffer(b"".join(ids), number)]))
                 yield pa.RecordBatch.from_arrays([part["block"], part["kind"], part["part"], pa.nulls(1, pa.list_(pa.int64())), pa.array([out], pa.binary())], schema=_PART)
         known.clear()
         trim()
@@ -250,7 +251,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id: str = "doc_id", t
     rows = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), F.spark_partition_id().cast("long").alias("at"))
     words, positions = (rows.mapInArrow(_cut(pattern, n, x), _PART_SQL) for x in (True, False))
     both = words.repartition(n, "part").mapInArrow(_encode_words(content), _PART_SQL).unionByName(positions)
-    return both.repartition(n, "block").sortWithinPartitions("block", "kind", "part").mapInArrow(_then(_assemble, *then), schema)
+    at, nth = F.shiftright("block", 24), F.col("block") % (1 << 24)
+    return both.repartitionById(n, F.pmod(at * 7 + nth, F.lit(n)).cast("int")).sortWithinPartitions("block", "kind", "part").mapInArrow(_then(_assemble, *then), schema)
 
 
 def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:

@@ -21,11 +21,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset: the checkpoint folder set
+    by code, or, if driver and executors are one process, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siftreel-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get()
