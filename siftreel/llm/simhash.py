@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_row, drop, partitions, ship, table
+from .common import as_row, drop, partitions, ship, table, trim
 from .components import components
 
 #: Segments of the short fingerprint's ring, and the bucket size up to which pairs are compared.
@@ -108,6 +108,7 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingl
         for b in it:
             fps = [fingerprint(t, shingle, words, distinct).astype(">u8").tobytes() for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(fps, pa.binary())], ["id", "fp"])
+        trim()
 
     rows = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null")
     return rows.mapInArrow(run, "id long, fp binary")
@@ -305,8 +306,8 @@ def link_similar(reps: DataFrame, most: int, words: int = WORDS, chain: int = CH
             rest = np.flatnonzero(of != main)
             for s in range(0, len(rest), 256):
                 r = rest[s : s + 256]
-                for t in range(0, len(i), 16_384):
-                    hit = within(c[r][:, None], d[r][:, None], c[None, t : t + 16_384], d[None, t : t + 16_384]) & (of[r][:, None] != of[None, t : t + 16_384])
+                for t in range(0, len(i), 4_096):
+                    hit = within(c[r][:, None], d[r][:, None], c[None, t : t + 4_096], d[None, t : t + 4_096]) & (of[r][:, None] != of[None, t : t + 4_096])
                     p, q = np.nonzero(hit)
                     out += [(int(i[r[u]]), int(i[t + v])) for u, v in _forest(p, q + len(r), len(r) + hit.shape[1]) for v in [v - len(r)]]
         return out, leaders
@@ -327,6 +328,8 @@ def link_similar(reps: DataFrame, most: int, words: int = WORDS, chain: int = CH
             yield from pairs(*[x[:cut_at] for x in now])
         if held is not None:
             yield from pairs(*held)
+        held = None
+        trim()
 
     def pairs(key: np.ndarray, i: np.ndarray, c: np.ndarray, d: np.ndarray, carried: list[int] | None = None) -> Iterator[pa.RecordBatch]:
         """Pairs of buckets that are whole. carried: takes the leaders of the last one, as places in it."""
@@ -359,7 +362,7 @@ def link_similar(reps: DataFrame, most: int, words: int = WORDS, chain: int = CH
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
     sig = reps.select("id", "fp").mapInArrow(cut, "key int, id long, c long, d long")
-    dealt = sig.repartition(partitions(spark), "key").sortWithinPartitions("key", "c", "d")
+    dealt = sig.repartition(partitions(spark), "key").sortWithinPartitions("key", "id")  # the least id leads: one leader in all buckets
     found = table(dealt.mapInArrow(run, "a long, b long").where("a != b").distinct(), "candidates")
 
     def check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,6 +390,8 @@ def link_similar(reps: DataFrame, most: int, words: int = WORDS, chain: int = CH
             held = [x[cuts[-1] if len(cuts) else 0 :] for x in now]
         if held is not None:
             yield from crossing(*held[1:])
+        held = None
+        trim()
 
     def crossing(u: np.ndarray, v: np.ndarray, part: np.ndarray, i: np.ndarray, c: np.ndarray, d: np.ndarray, of: np.ndarray) -> Iterator[pa.RecordBatch]:
         c, d, out, n = c.view(np.uint64), d.view(np.uint64), [], 0
@@ -437,15 +442,31 @@ def similar(docs: DataFrame, pairs: DataFrame, id: str, text: str, shingle: int,
         for b in it:
             for s in range(0, b.num_rows, 256):
                 part = b.slice(s, 256)
-                sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in part["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
+                sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in part["text"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array(sets, pa.binary())], ["id", "set"])
+        trim()
+
+    def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in it:
+            keep = np.zeros(t.num_rows, bool)
+            for k, (x, y) in enumerate(zip(t["x"], t["y"], strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+                    continue
+                if not len(x):
+                    keep[k] = True
+                    continue
+                x, y = (x, y) if len(x) < len(y) else (y, x)
+                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                keep[k] = common >= similarity * (len(x) + len(y) - common)
+            yield t.select(["a", "b"]).filter(pa.array(keep))
+        trim()
 
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     rows = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).join(ends, "id", "left_semi")
-    sets = table(rows.mapInArrow(run, "id long, set array<long>"), "shingles")
+    sets = table(rows.mapInArrow(run, "id long, set binary"), "shingles")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    found = table(both.where(common / (F.size("x") + F.size("y") - common) >= similarity).select("a", "b"), "links")
+    found = table(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links")
     drop(sets)
     drop(pairs)
     return found
