@@ -32,8 +32,9 @@ from .components import components
 SEGMENTS, BUCKET = 6, 1_024
 #: 64-bit words of the long fingerprint, segments of 16 bits on its ring, segments of a chain.
 WORDS, CHAIN = 16, 8
-#: Rows of a bucket whose pairs are all candidates; rows of a bucket in memory at a time.
-ALL_PAIRS, HELD = 16, 65_536
+#: Rows of a bucket whose pairs are all candidates at once; that are compared with those of other buckets, or in one go; rows of
+#: a bucket in memory at a time.
+ALL_PAIRS, GAPS, SQUARE, HELD = 4, 16, 512, 65_536
 #: Rows of one part of a bucket that is compared in pairs of parts; pairs sent out at a time.
 PART, SENT = 16_384, 1 << 18
 
@@ -248,39 +249,44 @@ def near_dups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle:
 # ---- long fingerprints: similar texts
 
 def most_bits(similarity: float, bits: int) -> int:
-    """Differing bits of a pair of that Jaccard similarity: its cosine is 2j/(1+j); 4 standard deviations on top."""
+    """Differing bits of a pair of that Jaccard similarity: its cosine is 2j/(1+j); 3.5 standard deviations on top."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * share + 4 * np.sqrt(bits * share * (1 - share)))
+    return int(bits * share + 3.5 * np.sqrt(bits * share * (1 - share)))
 
 
 def link_similar(reps: DataFrame, most: int, words: int = WORDS, chain: int = CHAIN, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(a, b): links between ids (long) whose fingerprints (fp binary of 64 * words bits) differ in at most most bits.
 
-    verify: what keeps those of the pairs (a, b) that are links. A pair is found if one of its 16-bit segments is equal and starts a chain within the budgets, on
-    the ring or on one that is shifted by half a segment. For 64 segments and a
-    Jaccard similarity of 0.8 about 4 segments are equal; the more similar, the more.
+    verify: what keeps those of the pairs (a, b) that are links. A pair is found if one of its 16-bit segments is equal and
+    starts a chain within the budgets, on the ring or on one that is shifted by half a segment. For 64 segments and a
+    Jaccard similarity of 0.8 about 4 segments of either ring are equal; the more similar, the more.
 
-    Large buckets first send out leaders' pairs and spanning forests. Whatever of these passes the full check makes
-    components; then all other pairs of such buckets whose ends lie in different components are sent out as well. So the
-    links connect what all pairs that share a chain would.
+    First, small buckets send out all pairs within a chain, and large ones each row with the least id that leads it.
+    What passes the full check makes components. Then the rows of those buckets that hold more pairs within a chain come
+    together again, with their whole fingerprints: all pairs whose ends lie in different components are checked in place.
+    So the links connect what all pairs that share a chain would.
     """
     spark = reps.sparkSession
     ship(spark)
     m = 4 * words
     budget = [int(length * most / m) for length in range(chain + 1)]
-
-    def cut(it: Iterator[pa.RecordBatch], labelled: bool = False) -> Iterator[pa.RecordBatch]:
+    keys = 2 * m << 16
+
+    def signatures(fp: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each segment of both rings: bucket keys, and the segments that follow (c, d)."""
+        f = np.frombuffer(b"".join(fp), ">u2").reshape(len(fp), m).astype(np.uint64)
+        for shift, g in enumerate((f, (f << np.uint64(8) & np.uint64(0xFFFF)) | np.roll(f, -1, 1) >> np.uint64(8))):
+            ring = np.concatenate([g, g[:, :chain]], 1)
+            for s in range(m):
+                follow = [np.zeros(len(fp), np.uint64) for _ in range(2)]
+                for k in range(1, chain):
+                    follow[(k - 1) // 4] |= ring[:, s + k] << np.uint64(16 * ((k - 1) % 4))
+                yield (shift * m + s << 16 | g[:, s].astype(np.int64)).astype(np.int32), *follow
+
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            ids = b["id"].to_numpy()
-            f = np.frombuffer(b"".join(b["fp"].to_pylist()), ">u2").reshape(len(ids), m).astype(np.uint64)
-            for shift, g in enumerate((f, (f << np.uint64(8) & np.uint64(0xFFFF)) | np.roll(f, -1, 1) >> np.uint64(8))):
-                ring = np.concatenate([g, g[:, :chain]], 1)
-                for s in range(m):
-                    follow = [np.zeros(len(ids), np.uint64) for _ in range(2)]
-                    for k in range(1, chain):
-                        follow[(k - 1) // 4] |= ring[:, s + k] << np.uint64(16 * ((k - 1) % 4))
-                    key = (shift * m + s << 16 | g[:, s].astype(np.int64)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), b["id"], *[pa.array(x.view(np.int64)) for x in follow], *([b["of"]] if labelled else [])], ["key", "id", "c", "d", *(["of"] if labelled else [])])
+            for key, c, d in signatures(b["fp"].to_pylist()) if b.num_rows else ():
+                yield pa.RecordBatch.from_arrays([pa.array(key), b["id"], pa.array(c.view(np.int64)), pa.array(d.view(np.int64))], ["key", "id", "c", "d"])
 
     def within(c: np.ndarray, d: np.ndarray, e: np.ndarray, f: np.ndarray) -> np.ndarray:
         """The chain test: cumulative differences of the segments that follow an equal one."""
@@ -291,143 +297,198 @@ def link_similar(reps: DataFrame, most: int, words: int = WORDS, chain: int = CH
         ok &= np.bitwise_count(x).astype(np.int64) + np.bitwise_count(y) <= budget[chain]
         return ok
 
-    def large(i: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
-        """Leaders take what is within their chain; then members of different groups are compared, in blocks. Pairs, leaders."""
-        of, leaders, out = np.full(len(i), -1), [], []
+    def large(c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Rows and their leaders, as places, and: are there other pairs within a chain?"""
+        if len(c) <= SQUARE:
+            p, q = np.nonzero(np.triu(within(c[:, None], d[:, None], c[None], d[None]), 1))
+            led, first = np.unique(q, return_index=True)  # in row order, so p is the least
+            return led, p[first], len(p) > len(led)
+        of = np.full(len(c), -1)
         while (free := np.flatnonzero(of < 0)).size:
-            top = free[0]
-            got = free[within(c[top], d[top], c[free], d[free])]
-            of[got] = of[top] = len(leaders)
-            out += [(int(i[top]), int(i[g])) for g in got if g != top]
-            leaders.append(top)
-        if len(leaders) > 1:
-            sizes = np.bincount(of)
-            main = int(sizes.argmax())
-            rest = np.flatnonzero(of != main)
-            for s in range(0, len(rest), 256):
-                r = rest[s : s + 256]
-                for t in range(0, len(i), 4_096):
-                    hit = within(c[r][:, None], d[r][:, None], c[None, t : t + 4_096], d[None, t : t + 4_096]) & (of[r][:, None] != of[None, t : t + 4_096])
-                    p, q = np.nonzero(hit)
-                    out += [(int(i[r[u]]), int(i[t + v])) for u, v in _forest(p, q + len(r), len(r) + hit.shape[1]) for v in [v - len(r)]]
-        return out, leaders
+            got = free[within(c[free[0]], d[free[0]], c[free], d[free])]
+            of[got] = of[free[0]] = free[0]
+        led = np.flatnonzero(of != np.arange(len(of)))
+        if np.bincount(of).max() > 2:
+            return led, of[led], True
+        for s in range(0, len(of), 256):
+            r = slice(s, s + 256)
+            for t in range(s, len(of), 4_096):
+                u = slice(t, t + 4_096)
+                if (within(c[r][:, None], d[r][:, None], c[None, u], d[None, u]) & (of[r][:, None] != of[None, u])).any():
+                    return led, of[led], True
+        return led, of[led], False
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
+        seen = 0  # rows of the last bucket that are no longer held
         for batch in it:
             now = [batch["key"].to_numpy(), batch["id"].to_numpy(), batch["c"].to_numpy().view(np.uint64), batch["d"].to_numpy().view(np.uint64)]
+            if not len(now[0]):
+                continue
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            cut_at = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0  # the last bucket may go on
-            carried: list[int] = []
-            if len(now[0]) - cut_at > HELD:  # the bucket's leaders meet what follows
-                yield from pairs(*now, carried)
-                held = [x[cut_at:][carried[: HELD // 2]] for x in now]
+            last = int(np.searchsorted(now[0], now[0][-1]))  # the last bucket may go on
+            before, seen = seen, 0 if last else seen
+            if len(now[0]) - last > HELD:  # only its leader is held on: the bucket comes together again
+                yield from pairs(*now, before, True)
+                seen += len(now[0]) - last - 1
+                held = [x[last : last + 1] for x in now]
                 continue
-            held = [x[cut_at:] for x in now]
-            yield from pairs(*[x[:cut_at] for x in now])
+            yield from pairs(*[x[:last] for x in now], before, False)
+            held = [x[last:] for x in now]
         if held is not None:
-            yield from pairs(*held)
+            yield from pairs(*held, seen, seen > 0)
         held = None
         trim()
 
-    def pairs(key: np.ndarray, i: np.ndarray, c: np.ndarray, d: np.ndarray, carried: list[int] | None = None) -> Iterator[pa.RecordBatch]:
-        """Pairs of buckets that are whole. carried: takes the leaders of the last one, as places in it."""
-        if len(key) < 2:
+    def pairs(key: np.ndarray, i: np.ndarray, c: np.ndarray, d: np.ndarray, seen: int, more: bool) -> Iterator[pa.RecordBatch]:
+        """(least, other, none) for pairs of buckets, (key, rows, whole) for buckets with more. seen: rows of the first bucket
+        that came before; more: the last bucket isn't whole."""
+        if len(key) < 2 and not seen:
             return
         cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
         sizes = np.diff(cuts)
-        a, b = [], []
-        small = np.repeat(sizes <= ALL_PAIRS, sizes)
-        for gap in range(1, ALL_PAIRS):
+        a, b, marks = [], [], []
+        small, found = np.repeat(sizes <= GAPS, sizes), []
+        for gap in range(1, GAPS):
             p = np.flatnonzero((key[gap:] == key[:-gap]) & small[gap:])
             if not p.size:
                 break
             p = p[within(c[p], d[p], c[p + gap], d[p + gap])]
-            a.append(i[p])
-            b.append(i[p + gap])
-        for k in np.flatnonzero(sizes > ALL_PAIRS).tolist():
+            found.append((p, p + gap))
+        if found:
+            p, q = (np.concatenate(x) for x in zip(*found, strict=True))
+            of = np.searchsorted(cuts, p, "right") - 1
+            each = sizes[of] <= ALL_PAIRS
+            a.append(i[p[each]])
+            b.append(i[q[each]])
+            p, q, of = p[~each], q[~each], of[~each]
+            order = np.lexsort((p, q))
+            led, first = np.unique(q[order], return_index=True)
+            a.append(i[p[order][first]])
+            b.append(i[led])
+            many, n = np.unique(of, return_counts=True)
+            sent = np.bincount(np.searchsorted(cuts, led, "right") - 1, minlength=len(sizes))[many]
+            marks += [(int(key[cuts[k]]), int(sizes[k])) for k in many[n > sent].tolist()]
+        for k in np.flatnonzero(sizes > GAPS).tolist():
             s, e = cuts[k], cuts[k + 1]
-            out, leaders = large(i[s:e], c[s:e], d[s:e])
-            if carried is not None and e == len(key):
-                carried += leaders
-            if out:
-                x, y = zip(*out, strict=True)
-                a.append(np.array(x))
-                b.append(np.array(y))
-        if a and sum(map(len, a)):
-            x, y = np.concatenate(a), np.concatenate(b)
-            x, y = np.minimum(x, y), np.maximum(x, y)
-            both = np.unique(np.stack([x, y]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+            led, leader, open_ = large(c[s:e], d[s:e])
+            a.append(i[s:e][leader])
+            b.append(i[s:e][led])
+            if open_ and not (more and e == len(key)):
+                marks.append((int(key[s]), int(e - s)))
+        if seen and len(key):
+            marks.append((int(key[0]), seen + int(sizes[0])))
+        if more:
+            marks.append((int(key[-1]), int(sizes[-1])))
+        x, y = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        both = np.unique(np.stack([x[x != y], y[x != y]]), axis=1)
+        if both.size or marks:
+            first = pa.array(np.concatenate([both[0], np.array([k for k, _ in marks], np.int64)]))
+            second = pa.array(np.concatenate([both[1], np.array([n for _, n in marks], np.int64)]))
+            yield pa.RecordBatch.from_arrays([first, second, pa.array(np.arange(len(first)) >= both.shape[1])], ["a", "b", "bucket"])
 
     sig = reps.select("id", "fp").mapInArrow(cut, "key int, id long, c long, d long")
-    dealt = sig.repartition(partitions(spark), "key").sortWithinPartitions("key", "id")  # the least id leads: one leader in all buckets
-    found = table(dealt.mapInArrow(run, "a long, b long").where("a != b").distinct(), "candidates")
-
-    def check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in it:
-            x, y = (np.frombuffer(b"".join(t[c].to_pylist()), np.uint64).reshape(t.num_rows, words) for c in ("x", "y"))
-            yield t.select(["a", "b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(1) <= most))
-
-    def passing(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(reps.select(F.col("id").alias("a"), F.col("fp").alias("x")), "a").join(reps.select(F.col("id").alias("b"), F.col("fp").alias("y")), "b")
-        full = full.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
-        return table(verify(full) if verify else full, "links")
+    dealt = sig.repartition(partitions(spark), "key").sortWithinPartitions("key", "id")  # the least id leads
+    both = table(dealt.mapInArrow(run, "a long, b long, bucket boolean"), "candidates")
+    least = both.where("not bucket").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    first = _passing(least, reps, most, words, verify)
+    # parts that a bucket's rows are dealt into, 0 for buckets with no more pairs: as many numbers as there are keys
+    parts = np.zeros(keys, np.uint16)
+    marked = both.where("bucket").groupBy("a").agg(F.max("b").alias("n")).toArrow()
+    parts[marked["a"].to_numpy()] = np.minimum(-(-marked["n"].to_numpy() // PART), 65_535)
+    comps = table(components(first), "components")
+    label = reps.select("id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("of"))
+    rest = both.where("not bucket").select("a", "b").distinct().join(least, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        rest = rest.join(comps.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+    rest = rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    second = _passing(rest, reps, most, words, verify)
+    if not len(marked):
+        return first.unionByName(second)
+    held = spark.sparkContext.broadcast(parts)
+
+    def again(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of marked buckets, each to every pair of parts that its own takes part in."""
+        for b in it:
+            fp = b["fp"].to_pylist()
+            ids, of, whole = b["id"].to_numpy(), b["of"].to_numpy(), pa.array(fp, pa.binary())
+            for key, _, _ in signatures(fp) if fp else ():
+                n = held.value[key].astype(np.int64)
+                at = np.repeat(np.arange(len(ids)), n)
+                if not len(at):
+                    continue
+                own = (ids * 2_654_435_761 >> 16) % np.maximum(n, 1)
+                other = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                part = own[at]
+                yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(np.minimum(part, other)), pa.array(np.maximum(part, other)), pa.array(part), pa.array(ids[at]), whole.take(pa.array(at)), pa.array(of[at])], ["key", "i", "j", "part", "id", "fp", "of"])
+        trim()
 
     def others(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All pairs within a chain of a bucket, or of two parts of it, whose ends lie in different components."""
-        held: list[np.ndarray] | None = None
+        """Pairs of a bucket, or of two parts of it, that the full check passes and whose ends lie in different components."""
+        left: pa.Table | None = None
         for batch in it:
-            now = [batch[x].to_numpy() for x in ("key", "i", "j", "part", "id", "c", "d", "of")]
-            if not len(now[0]):
+            if not batch.num_rows:
                 continue
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            cuts = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]) | (now[2][1:] != now[2][:-1])) + 1
-            for s, e in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=False):
-                yield from crossing(*[x[s:e] for x in now[1:]])
-            held = [x[cuts[-1] if len(cuts) else 0 :] for x in now]
-        if held is not None:
-            yield from crossing(*held[1:])
-        held = None
+            now = pa.Table.from_batches([batch])
+            now = pa.concat_tables([left, now]) if left is not None else now
+            k, u, v = (now[c].to_numpy() for c in ("key", "i", "j"))
+            cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]) | (u[1:] != u[:-1]) | (v[1:] != v[:-1])) + 1).tolist()]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                yield from crossing(now.slice(s, e - s))
+            left = now.slice(cuts[-1])
+        if left is not None:
+            yield from crossing(left)
+        left = None
         trim()
 
-    def crossing(u: np.ndarray, v: np.ndarray, part: np.ndarray, i: np.ndarray, c: np.ndarray, d: np.ndarray, of: np.ndarray) -> Iterator[pa.RecordBatch]:
-        c, d, out, n = c.view(np.uint64), d.view(np.uint64), [], 0
-        within_one = u[0] == v[0]
-        left = np.arange(len(i)) if within_one else np.flatnonzero(part == u[0])
-        right = left if within_one else np.flatnonzero(part == v[0])
-        for s in range(0, len(left), 256):
-            p = left[s : s + 256]
-            q = right[s:] if within_one else right
-            for t in range(0, len(q), 4_096):
-                w = q[t : t + 4_096]
-                x, y = np.nonzero(within(c[p][:, None], d[p][:, None], c[None, w], d[None, w]) & (of[p][:, None] != of[None, w]))
-                if len(x):
-                    out.append((np.minimum(i[p[x]], i[w[y]]), np.maximum(i[p[x]], i[w[y]])))
-                    n += len(x)
+    def crossing(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        u, v, part, i, of = t["i"][0].as_py(), t["j"][0].as_py(), t["part"].to_numpy(), t["id"].to_numpy(), t["of"].to_numpy()
+        if t.num_rows < 2 or (of == of[0]).all():
+            return
+        bits, out, n = np.frombuffer(b"".join(t["fp"].to_pylist()), np.uint64).reshape(len(i), words), [], 0
+        left = np.flatnonzero(part == u)
+        right = left if u == v else np.flatnonzero(part == v)
+        for s in range(0, len(left), 64):
+            p = left[s : s + 64]
+            q = right[s:] if u == v else right
+            for w in np.array_split(q, -(-len(q) // 2_048)) if len(q) else ():
+                x, y = np.nonzero(of[p][:, None] != of[None, w])
+                if not len(x):
+                    continue
+                far = np.zeros(len(x), np.int64)
+                for k in range(words):
+                    far += np.bitwise_count(bits[p, k][x] ^ bits[w, k][y])
+                x, y = x[far <= most], y[far <= most]
+                out.append((np.minimum(i[p[x]], i[w[y]]), np.maximum(i[p[x]], i[w[y]])))
+                n += len(x)
                 if n > SENT:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "b"])
                     out, n = [], 0
-        if out:
+        if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "b"])
 
-    first = passing(found)
-    comps = table(components(first), "components")
-    label = reps.select("id").distinct().join(comps.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("of"))
     signed = reps.select("id", "fp").join(label, "id").select("id", "fp", "of")
-    rows = signed.mapInArrow(lambda it: cut(it, True), "key int, id long, c long, d long, of long")
-    keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("of").alias("least"), F.max("of").alias("most")).where((F.col("n") > ALL_PAIRS) & (F.col("least") != F.col("most")))
-    keys = table(keys.select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "buckets")
-    if keys.isEmpty():
-        return first
-    rows = rows.join(keys, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "c", "d", "of")
+    rows = signed.mapInArrow(again, "key int, i long, j long, part long, id long, fp binary, of long")
     rows = rows.repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = rows.mapInArrow(others, "a long, b long").where("a != b").distinct().join(found, ["a", "b"], "left_anti")
-    return first.unionByName(passing(table(more, "candidates")))
+    more = rows.mapInArrow(others, "a long, b long").where("a != b").distinct()
+    third = table(verify(more) if verify else more, "links")
+    return first.unionByName(second).unionByName(third)
+
+
+def _passing(pairs: DataFrame, reps: DataFrame, most: int, words: int, verify: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """Those of the pairs (a, b) whose whole fingerprints are near enough, and that verify leaves."""
+
+    def check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in it:
+            x, y = (np.frombuffer(b"".join(t[c].to_pylist()), np.uint64).reshape(t.num_rows, words) for c in ("x", "y"))
+            yield t.select(["a", "b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(1) <= most))
+        trim()
+
+    full = pairs.join(reps.select(F.col("id").alias("a"), F.col("fp").alias("x")), "a").join(reps.select(F.col("id").alias("b"), F.col("fp").alias("y")), "b")
+    full = full.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return table(verify(full) if verify else full, "links")
 
 
 #: Ids that may be broadcast when documents are taken out (8 bytes each).

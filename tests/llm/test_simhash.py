@@ -151,7 +151,7 @@ def test_links_pass_the_full_check(spark):
 
 def test_buckets_beyond_what_is_held(spark, monkeypatch):
     """Near copies that share one segment only: the parts of its bucket meet each other."""
-    for name, size in (("HELD", 8), ("PART", 5), ("ALL_PAIRS", 3)):
+    for name, size in (("HELD", 8), ("PART", 5), ("ALL_PAIRS", 2), ("GAPS", 4), ("SQUARE", 6)):
         monkeypatch.setattr(simhash, name, size, raising=False)
     base, fps = np.random.default_rng(12).integers(0, 2**16, 64).astype(">u2"), []
     for k in range(16):
