@@ -272,10 +272,17 @@ def link_similar(reps: DataFrame, most: int, words: int = WORDS, chain: int = CH
     budget = [int(length * most / m) for length in range(chain + 1)]
     keys = 2 * m << 16
 
+    def rings(fp: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The segments of both rings: (rows, m) each."""
+        f = np.frombuffer(b"".join(fp), ">u2").reshape(len(fp), m).astype(np.uint64)
+        return f, (f << np.uint64(8) & np.uint64(0xFFFF)) | np.roll(f, -1, 1) >> np.uint64(8)
+
+    def keys_of(fp: list[bytes]) -> np.ndarray:
+        return np.arange(2 * m) << 16 | np.concatenate(rings(fp), 1).astype(np.int64)
+
     def signatures(fp: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Of each segment of both rings: bucket keys, and the segments that follow (c, d)."""
-        f = np.frombuffer(b"".join(fp), ">u2").reshape(len(fp), m).astype(np.uint64)
-        for shift, g in enumerate((f, (f << np.uint64(8) & np.uint64(0xFFFF)) | np.roll(f, -1, 1) >> np.uint64(8))):
+        for shift, g in enumerate(rings(fp)):
             ring = np.concatenate([g, g[:, :chain]], 1)
             for s in range(m):
                 follow = [np.zeros(len(fp), np.uint64) for _ in range(2)]
@@ -414,7 +421,7 @@ def link_similar(reps: DataFrame, most: int, words: int = WORDS, chain: int = CH
         for b in it:
             fp = b["fp"].to_pylist()
             ids, of, whole = b["id"].to_numpy(), b["of"].to_numpy(), pa.array(fp, pa.binary())
-            for key, _, _ in signatures(fp) if fp else ():
+            for key in keys_of(fp).T.astype(np.int32) if fp else ():
                 n = held.value[key].astype(np.int64)
                 at = np.repeat(np.arange(len(ids)), n)
                 if not len(at):
@@ -447,7 +454,8 @@ def link_similar(reps: DataFrame, most: int, words: int = WORDS, chain: int = CH
         u, v, part, i, of = t["i"][0].as_py(), t["j"][0].as_py(), t["part"].to_numpy(), t["id"].to_numpy(), t["of"].to_numpy()
         if t.num_rows < 2 or (of == of[0]).all():
             return
-        bits, out, n = np.frombuffer(b"".join(t["fp"].to_pylist()), np.uint64).reshape(len(i), words), [], 0
+        fp, here = t["fp"].to_pylist(), t["key"][0].as_py()
+        bits, all_, out, n = np.frombuffer(b"".join(fp), np.uint64).reshape(len(i), words), keys_of(fp), [], 0
         left = np.flatnonzero(part == u)
         right = left if u == v else np.flatnonzero(part == v)
         for s in range(0, len(left), 64):
@@ -461,6 +469,9 @@ def link_similar(reps: DataFrame, most: int, words: int = WORDS, chain: int = CH
                 for k in range(words):
                     far += np.bitwise_count(bits[p, k][x] ^ bits[w, k][y])
                 x, y = x[far <= most], y[far <= most]
+                meet = all_[p[x]]  # only the first of the marked buckets that both are in sends them out
+                meet = np.where((meet == all_[w[y]]) & (held.value[meet] > 0), meet, keys)
+                x, y = x[meet.min(1) == here], y[meet.min(1) == here]
                 out.append((np.minimum(i[p[x]], i[w[y]]), np.maximum(i[p[x]], i[w[y]])))
                 n += len(x)
                 if n > SENT:
