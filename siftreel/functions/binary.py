@@ -60,4 +60,4 @@ def text(value: str) -> Column:
 
 def repeated(byte: int, n: Column) -> Column:
     """n times a byte, as BINARY."""
-    return F.unhex(F.repeat(F.lit(f"{byte:02X}"), n.cast("int")))
+    return F.lpad(F.lit(b""), n.cast("int"), F.lit(bytes([byte])))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .mp4 import ERR, mp4_sanitize
+from ..functions.binary import repeated
+from .mp4 import ERR, INLINE_PAD, PAD_HEADER, mp4_sanitize, mp4_verdict, mp4_walk
 from .mp4_walk import METADATA_LIMIT
 from .webp import webp_sanitize
 
@@ -37,11 +38,20 @@ def sanitize(
     return mp4.unionByName(webp).unionByName(rest)
 
 
-def sanitized(files: DataFrame, path: str = "path", content: str = "content", **options) -> DataFrame:
-    """(path, content) of accepted files as they should be passed on: new metadata and the media span, or the file itself."""
-    verdicts = sanitize(files, path, content, **options).where("ok").select("path", "metadata", "span")
-    own = files.select(F.col(f"`{path}`").cast("string").alias("path"), F.col(f"`{content}`").alias("raw"))
+def sanitized(
+    files: DataFrame, path: str = "path", content: str = "content", format: str | None = None, max_metadata_size: int = METADATA_LIMIT, cumulative_mdat_box_size: int | None = None, allow_unknown_chunks: bool = False
+) -> DataFrame:
+    """(path, content) of accepted files as they should be passed on: new metadata and the media span, or the file itself.
+
+    One row for each accepted row, repeated paths included; the bytes stay with their verdicts, so nothing is shuffled.
+    """
+    own = format_of(F.col(f"`{path}`").cast("string"), F.col(f"`{format}`") if format else None)
+    rows = files.select(F.col(f"`{path}`").cast("string").alias("path"), F.col(f"`{content}`").alias("content"), own.alias("format"))
+    walked = mp4_walk(rows.where(F.col("format") == "mp4"), max_metadata_size=max_metadata_size, cumulative_mdat_box_size=cumulative_mdat_box_size, keep_content=True)
+    mp4 = mp4_verdict(walked, max_metadata_size, keep=("content",)).where("ok")
     a, n = (F.col("span")[k].cast("decimal(20,0)") for k in ("offset", "len"))
-    size = F.length("raw")
-    media = F.substring(F.col("raw"), F.least(a, size).cast("int") + 1, F.least(n, size).cast("int"))
-    return verdicts.join(own, "path").select("path", F.when(F.col("metadata").isNull(), F.col("raw")).otherwise(F.concat("metadata", media)).alias("content"))
+    raw, size = F.col("content"), F.length("content")
+    media = F.substring(raw, F.least(a, size).cast("int") + 1, F.least(n, size).cast("int"))
+    zeros = repeated(0, F.when(F.col("pad_size") > INLINE_PAD, F.col("pad_size") - PAD_HEADER).otherwise(F.lit(0)))
+    webp = webp_sanitize(rows.where(F.col("format") == "webp"), allow_unknown_chunks=allow_unknown_chunks, keep_content=True).where("ok").select("path", "content")
+    return mp4.select("path", F.when(F.col("metadata").isNull(), raw).otherwise(F.concat("metadata", zeros, media)).alias("content")).unionByName(webp)

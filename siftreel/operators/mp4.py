@@ -16,6 +16,8 @@ from .session import ship
 
 #: The brand that must be among the compatible ones, and the longest padding.
 BRAND, PAD_HEADER, MOST_PAD = "69736F6D", 8, 2**32 - 1 - 8
+#: Padding up to this size is part of metadata; of a longer one metadata holds the header only.
+INLINE_PAD = 1 << 20
 
 ERR = "struct<kind:string,code:string,arg:string>"
 
@@ -111,12 +113,13 @@ def _entries(t: Column) -> Column:
     return F.transform(F.when(t["n"] > 0, F.sequence(F.lit(0), t["n"] - 1)).otherwise(F.array().cast("array<int>")), one)
 
 
-def mp4_verdict(walked: DataFrame, max_metadata_size: int = METADATA_LIMIT) -> DataFrame:
+def mp4_verdict(walked: DataFrame, max_metadata_size: int = METADATA_LIMIT, keep: tuple[str, ...] = ()) -> DataFrame:
     """(path, format, ok, err, metadata, span, displacement, pad_size) of every walked file.
 
     err is null for an accepted file. metadata is null where there is nothing to change, else the new ftyp and moov, and
     padding where it fits; span is where the media data lies. Of several moov boxes the last one counts. The walk must
-    have had the same max_metadata_size.
+    have had the same max_metadata_size. Padding may come to 4 GiB: beyond INLINE_PAD bytes metadata ends with the header
+    of the free box, and pad_size - 8 zero bytes are to follow it. keep: further columns of walked to pass on.
     """
     df = _spans(walked)
     errors = F.transform("boxes", lambda b: F.struct(b["ord"].alias("ord"), _rules(b, max_metadata_size).alias("err")))
@@ -143,7 +146,7 @@ def mp4_verdict(walked: DataFrame, max_metadata_size: int = METADATA_LIMIT) -> D
     fine = F.col("err").isNull()
     bytes_of = lambda t: F.unhex(F.array_join(F.transform(t["new"], lambda e: F.when(t["width"] == 4, F.lpad(F.hex(e.cast("bigint")), 8, "0")).otherwise(be64_hex(e))), ""))
     moov = F.when(F.col("moved") == 0, F.col("moov")).otherwise(F.aggregate(F.filter("tables", lambda t: t["n"] > 0), F.col("moov"), lambda m, t: F.overlay(m, bytes_of(t), t["at"] + 1, t["n"] * t["width"])))
-    free = F.when(F.col("pad") > 0, F.concat(be32(F.col("pad")), F.encode(F.lit("free"), "ISO-8859-1"), repeated(0, F.col("pad") - PAD_HEADER))).otherwise(F.lit(b""))
+    free = F.when(F.col("pad") > 0, F.concat(be32(F.col("pad")), F.encode(F.lit("free"), "ISO-8859-1"), repeated(0, F.when(F.col("pad") <= INLINE_PAD, F.col("pad") - PAD_HEADER).otherwise(F.lit(0))))).otherwise(F.lit(b""))
     box = lambda name, data: F.concat(be32(F.length(data) + 8), F.encode(F.lit(name), "ISO-8859-1"), data)
     metadata = F.when(fine & F.col("gap").isNotNull(), F.concat(box("ftyp", F.col("ftyp")), box("moov", moov), free))
     span = F.when(fine, F.struct(F.col("offset").cast(U64).alias("offset"), F.col("len").alias("len")))
@@ -153,7 +156,7 @@ def mp4_verdict(walked: DataFrame, max_metadata_size: int = METADATA_LIMIT) -> D
     changed = fine & F.col("gap").isNotNull() & here
     return df.select(
         "path", F.lit("mp4").alias("format"), (fine & here).alias("ok"), F.when(here, F.col("err")).alias("err"), F.when(here, metadata).alias("metadata"), F.when(here, span).alias("span"),
-        F.when(changed, F.col("moved").cast("int")).alias("displacement"), F.when(changed, F.col("pad").cast("bigint")).alias("pad_size"),
+        F.when(changed, F.col("moved").cast("int")).alias("displacement"), F.when(changed, F.col("pad").cast("bigint")).alias("pad_size"), *keep,
     )
 
 

@@ -46,8 +46,7 @@ def mp4_span(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mp4_cumulative_mdat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = mp4_fixtures(spark, sf_dir).where("layout = 16")
-    return mp4.mp4_sanitize(files, cumulative_mdat_box_size=40).select(_key(), "ok", *_span(), "displacement")
+    return mp4.mp4_sanitize(mp4_fixtures(spark, sf_dir), cumulative_mdat_box_size=40).select(_key(), "ok", *_span(), "displacement")
 
 
 def mp4_pad_displacement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,9 +73,9 @@ def mp4_track_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mp4_media_zeroed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = mp4.mp4_zeroed(mp4_fixtures(spark, sf_dir).where("layout in (0, 1, 12)"))
+    files = mp4.mp4_zeroed(mp4_fixtures(spark, sf_dir))
     boxes = mp4.mp4_walk(files, keep_content=True)
-    media = lambda b: F.hex(F.substring(F.col("content"), b["pos"].cast("int") + 9, b["size"].cast("int") - 8))
+    media = lambda b: F.hex(F.substring(F.col("content"), b["pos"].cast("int") + 9, F.coalesce(b["size"], F.col("length") - b["pos"]).cast("int") - 8))
     none = F.forall(F.filter("boxes", lambda b: b["type"] == "mdat"), lambda b: media(b).rlike("^(00)+$"))
     return boxes.select(_key(), F.length("content").cast("bigint").alias("n_bytes"), none.alias("no_media"))
 
@@ -88,15 +87,16 @@ def mp4_ftyp_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def webp_vp8x_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = F.substring(F.col("content"), 21, 10)
-    files = webp_fixtures(spark, sf_dir).where("layout in (2, 3, 4, 5, 6, 7, 13, 14, 16)").select("p_partkey", data.alias("data"), decode(data, VP8X, big=False, truncated="TruncatedChunk").alias("d"))
+    """Of files whose first chunk is VP8X; the others have no bytes to decode."""
+    data = F.when(F.substring("content", 13, 4) == F.lit(b"VP8X"), F.substring(F.col("content"), 21, 10))
+    files = webp_fixtures(spark, sf_dir).select("p_partkey", data.alias("data"), decode(data, VP8X, big=False, truncated="TruncatedChunk").alias("d"))
     v = F.col("d.value")
     same = F.coalesce(encode(v, VP8X, big=False) == F.col("data"), F.lit(False))
     return files.select("p_partkey", F.col("d.code").alias("code"), v["flags"].alias("flags"), v["canvas_width"].alias("canvas_width"), v["canvas_height"].alias("canvas_height"), same.alias("encodes_back"))
 
 
 def webp_chunk_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = webp_fixtures(spark, sf_dir).where("layout in (0, 1, 2, 4, 6, 11)")
+    files = webp_fixtures(spark, sf_dir)
     return webp.webp_chunks(files).select(_part(), "ord", "depth", "pos", F.trim("name").alias("name"), "len")
 
 
@@ -105,8 +105,10 @@ def _webp(unknown: bool) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def webp_vp8l_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = webp_fixtures(spark, sf_dir).where("layout in (1, 10)")
-    return files.select("p_partkey", webp.vp8l_header(F.col("content"), 21).alias("h")).select("p_partkey", "h.*")
+    """Of files whose first chunk is a lossless image; nulls for the others."""
+    files = webp_fixtures(spark, sf_dir)
+    data = F.when(F.substring("content", 13, 4) == F.lit(b"VP8L"), F.col("content"))
+    return files.select("p_partkey", webp.vp8l_header(data, 21).alias("h")).select("p_partkey", "h.*")
 
 
 def webp_vp8l_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,11 +184,12 @@ def _webp_sql(unknown: bool) -> str:
 
 
 def _chunk_rows() -> str:
-    """(layout, ord, depth, pos, name, len) of the layouts that are walked to their end; RIFF's length is the file's less 8."""
+    """(layout, ord, depth, pos, name, len): all chunks of the accepted layouts, those up to the fault of the others."""
     x, l8 = [(1, 12, "VP8X", 10)], lambda at: (1, at, "VP8L", 8)
     lists = {0: [(1, 12, "VP8", 24)], 1: [l8(12)], 2: [*x, l8(30)], 4: [*x, (1, 30, "ALPH", 4), (1, 42, "VP8", 24)], 6: [*x, (1, 30, "ANIM", 6), (1, 44, "ANMF", 32), (2, 68, "VP8L", 8)], 11: [l8(12), (1, 28, "TeSt", 2)]}
-    sizes = {0: 36, 1: 20, 2: 38, 4: 66, 6: 76, 11: 30}
-    return ", ".join(f"({k}, {i}, {d}, {p}, '{n}', {s})" for k, v in lists.items() for i, (d, p, n, s) in enumerate([(0, 0, "RIFF", sizes[k]), *v]))
+    lists |= {5: [*x, (1, 30, "ALPH", 4), l8(42)], 7: [*x, (1, 30, "ANIM", 6)], 8: [], 9: [], 12: [(1, 12, "VP8", 3)], 13: x} | dict.fromkeys((10, 15), lists[1]) | dict.fromkeys((3, 14, 16), lists[2])
+    sizes = {0: 36, 4: 66, 5: 50, 6: 76, 7: 36, 11: 30, 12: 16} | dict.fromkeys((1, 8, 9, 10, 15), 20) | dict.fromkeys((2, 3, 13, 14, 16), 38)
+    return ", ".join(f"({k}, {i}, {d}, {p}, '{n}', {s})" for k, v in lists.items() for i, (d, p, n, s) in enumerate([(0, 0, "RIFX" if k == 8 else "RIFF", sizes[k]), *v]))
 
 
 _DISPATCH = """
@@ -203,7 +206,11 @@ ORACLES: dict[str, str] = {
     "mp4_span": f"""
         WITH {_ORDERS} SELECT o_orderkey, (CASE layout WHEN 0 THEN 20 WHEN 1 THEN 20 + m WHEN 2 THEN 33 WHEN 3 THEN 20 + m WHEN 4 THEN 120 + m WHEN 5 THEN 24 + m WHEN 12 THEN 20 WHEN 15 THEN 20 + m END)::BIGINT AS span_offset,
                (CASE layout WHEN 12 THEN 2 * d + 21 ELSE d END)::BIGINT AS span_len FROM o WHERE layout IN (0, 1, 2, 3, 4, 5, 12, 15)""",
-    "mp4_cumulative_mdat": f"WITH {_ORDERS} SELECT o_orderkey, true AS ok, 20::BIGINT AS span_offset, 40::BIGINT AS span_len, m::INTEGER AS displacement FROM o WHERE layout = 16",
+    "mp4_cumulative_mdat": f"""
+        WITH {_ORDERS}, x AS (SELECT *, layout IN (0, 1, 2, 3, 4, 5, 12, 16) OR layout = 15 AND d <= 40 AS ok FROM o)
+        SELECT o_orderkey, ok, CASE WHEN ok THEN CASE layout WHEN 1 THEN 20 + m WHEN 2 THEN 33 WHEN 3 THEN 20 + m WHEN 4 THEN 120 + m WHEN 5 THEN 24 + m WHEN 15 THEN 20 + m ELSE 20 END END::BIGINT AS span_offset,
+               CASE WHEN ok THEN CASE layout WHEN 12 THEN 2 * d + 21 WHEN 15 THEN 40 WHEN 16 THEN 40 ELSE d END END::BIGINT AS span_len,
+               CASE WHEN layout = 16 THEN m WHEN layout IN {_CHANGED} THEN {_MOVED} END::INTEGER AS displacement FROM x""",
     "mp4_pad_displacement": f"WITH {_ORDERS} SELECT o_orderkey, ({_MOVED})::INTEGER AS displacement, ({_PAD})::BIGINT AS pad_size FROM o WHERE layout IN {_CHANGED}",
     "mp4_chunk_offsets": f"""
         WITH {_ORDERS}, x AS (SELECT *, {_MOVED} AS moved FROM o WHERE layout IN {_CHANGED} AND n > 0)
@@ -218,21 +225,25 @@ ORACLES: dict[str, str] = {
         SELECT o_orderkey, n_bytes::BIGINT AS n_bytes, sha256(hexed) AS hex_sha256 FROM h""",
     "mp4_sanitized_roundtrip": "SELECT o_orderkey, true AS ok, true AS nothing_to_do FROM orders WHERE o_orderkey % 20 IN (0, 1, 2, 3, 4, 5, 12, 15)",
     "mp4_track_stats": f"WITH {_ORDERS} SELECT o_orderkey, 1 AS traks, (CASE layout WHEN 17 THEN 1 ELSE n END)::BIGINT AS chunks FROM o WHERE layout NOT IN (8, 14, 16, 19)",
-    "mp4_media_zeroed": f"WITH {_ORDERS} SELECT o_orderkey, (20 + m + CASE layout WHEN 12 THEN 2 * d + 21 ELSE d END)::BIGINT AS n_bytes, true AS no_media FROM o WHERE layout IN (0, 1, 12)",
+    "mp4_media_zeroed": f"""
+        WITH {_ORDERS}, pieces(layout, ord, type, c, cm, cd, until) AS (VALUES {_layout_rows()})
+        SELECT o_orderkey, (sum(c + cm * m + cd * d) + CASE layout WHEN 16 THEN m ELSE 0 END)::BIGINT AS n_bytes, true AS no_media FROM o JOIN pieces USING (layout) GROUP BY o_orderkey, layout, m""",
     "mp4_ftyp_fields": """
         SELECT o_orderkey, brand AS major_brand, 0::BIGINT AS minor_version, brand AS brands, hexed || '00000000' || hexed AS encoded
         FROM (SELECT o_orderkey, CASE o_orderkey % 20 WHEN 10 THEN 'mp41' ELSE 'isom' END AS brand, CASE o_orderkey % 20 WHEN 10 THEN '6d703431' ELSE '69736f6d' END AS hexed FROM orders WHERE o_orderkey % 20 <> 6)""",
     "webp_vp8x_fields": """
         WITH p AS (SELECT p_partkey, p_size, (p_partkey % 17)::INTEGER AS layout FROM part)
-        SELECT p_partkey, CASE layout WHEN 13 THEN 'InvalidInput' END AS code, CASE layout WHEN 2 THEN 0 WHEN 3 THEN 0 WHEN 4 THEN 16 WHEN 5 THEN 16 WHEN 6 THEN 2 WHEN 7 THEN 2 WHEN 14 THEN 32 WHEN 16 THEN 8 END::INTEGER AS flags,
-               CASE layout WHEN 13 THEN NULL WHEN 3 THEN p_size + 1 ELSE p_size END::BIGINT AS canvas_width, CASE layout WHEN 13 THEN NULL ELSE 1 + p_partkey % 16 END::BIGINT AS canvas_height, layout <> 13 AS encodes_back
-        FROM p WHERE layout IN (2, 3, 4, 5, 6, 7, 13, 14, 16)""",
+        SELECT p_partkey, CASE WHEN layout = 13 THEN 'InvalidInput' WHEN layout NOT IN (2, 3, 4, 5, 6, 7, 14, 16) THEN 'TruncatedChunk' END AS code, CASE layout WHEN 2 THEN 0 WHEN 3 THEN 0 WHEN 4 THEN 16 WHEN 5 THEN 16 WHEN 6 THEN 2 WHEN 7 THEN 2 WHEN 14 THEN 32 WHEN 16 THEN 8 END::INTEGER AS flags,
+               CASE WHEN layout IN (2, 4, 5, 6, 7, 14, 16) THEN p_size WHEN layout = 3 THEN p_size + 1 END::BIGINT AS canvas_width, CASE WHEN layout IN (2, 3, 4, 5, 6, 7, 14, 16) THEN 1 + p_partkey % 16 END::BIGINT AS canvas_height,
+               layout IN (2, 3, 4, 5, 6, 7, 14, 16) AS encodes_back
+        FROM p""",
     "webp_chunk_walk": f"""
         WITH chunks(layout, ord, depth, pos, name, len) AS (VALUES {_chunk_rows()})
         SELECT p_partkey, ord, depth, pos::BIGINT AS pos, name, len::BIGINT AS len FROM part JOIN chunks ON layout = p_partkey % 17""",
     "webp_verdict": _webp_sql(False),
     "webp_unknown_chunks": _webp_sql(True),
-    "webp_vp8l_header": "SELECT p_partkey, 47 AS signature, p_size AS width, (1 + p_partkey % 16)::INTEGER AS height, false AS alpha, CASE p_partkey % 17 WHEN 10 THEN 1 ELSE 0 END AS version FROM part WHERE p_partkey % 17 IN (1, 10)",
+    "webp_vp8l_header": "WITH p AS (SELECT *, p_partkey % 17 IN (1, 8, 9, 10, 11, 15) AS image FROM part) SELECT p_partkey, CASE WHEN image THEN 47 END AS signature, CASE WHEN image THEN p_size END AS width, CASE WHEN image THEN 1 + p_partkey % 16 END::INTEGER AS height, "
+    "CASE WHEN image THEN false END AS alpha, CASE WHEN image THEN CASE p_partkey % 17 WHEN 10 THEN 1 ELSE 0 END END AS version FROM p",
     "webp_vp8l_codes": "SELECT p_partkey, code IS NULL AS ok, code FROM (SELECT p_partkey, CASE p_partkey % 8 " + " ".join(f"WHEN {k} THEN '{c}'" for k, (_, c) in enumerate(STREAMS) if c) + " END AS code FROM part)",
     "format_dispatch": f"""
         WITH {_ORDERS}, files AS (SELECT 'mp4' AS ext, o_orderkey AS key, layout, {_MP4_CODE} AS code FROM o UNION ALL SELECT 'webp', p_partkey, (p_partkey % 17)::INTEGER, {_WEBP_CODE.format(unknown=_NOT_KNOWN[False][0])} FROM part),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gzip
+import os
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,29 +58,61 @@ def read_corpus(spark: SparkSession, root: str, extension: str, dirs: tuple[str,
     return out.mapInArrow(unpack, "kind string, path string, content binary")
 
 
-def write_files(files: DataFrame, folder: str, path: str = "path", content: str = "content", compress: bool = False) -> int:
-    """Write each row's content to folder (one that all executors share) under its path's last part; returns how many.
+def write_files(files: DataFrame, folder: str, path: str = "path", content: str = "content", compress: bool = False, root: str | None = None) -> int:
+    """Write each row's content to folder, under its path's last part, or its path below root; returns how many.
 
-    A file is written under another name and renamed, so that a task that runs again leaves whole files. compress: gzip,
-    with .gz added to the name.
+    folder: a path or URI that Arrow's file systems know and all executors reach. Files are first written under names of
+    their own, so a task that runs again or is lost leaves no half files. If two rows have one name, nothing is renamed
+    and a ValueError names it. Null paths are left out, null contents are empty. compress: gzip, with .gz added.
     """
-    ship(files.sparkSession)
-    folder = folder.removeprefix("file://").removeprefix("file:")
+    spark = files.sparkSession
+    ship(spark)
+    uri = folder if "://" in folder else os.path.abspath(folder.removeprefix("file:"))
+    hidden = f"{uri.rstrip('/')}/.part-{uuid.uuid4().hex}"
+    plain = lambda p: p.removeprefix("file://").removeprefix("file:")
+    top = plain(root).rstrip("/") + "/" if root else None
 
-    def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-        import uuid
+    def opened():
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(uri)
+
+    def named(p: str) -> str:
+        if top and plain(p).startswith(top):
+            return plain(p)[len(top) :].strip("/")
+        return p.rstrip("/").rsplit("/", 1)[-1]
 
-        os.makedirs(folder, exist_ok=True)
+    def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = opened()
+        system.create_dir(f"{base}/{hidden.rsplit('/', 1)[-1]}", recursive=True)
         for b in it:
+            names, parts = [], []
             for k in range(b.num_rows):
-                to = os.path.join(folder, b["path"][k].as_py().rstrip("/").rsplit("/", 1)[-1] + (".gz" if compress else ""))
+                names.append(named(b["path"][k].as_py()) + (".gz" if compress else ""))
+                parts.append(f"{hidden.rsplit('/', 1)[-1]}/{uuid.uuid4().hex}")
                 data = b["content"][k].as_py() or b""
-                part = f"{to}.{uuid.uuid4().hex}"
-                with open(part, "wb") as f:
+                with system.open_output_stream(f"{base}/{parts[-1]}", compression=None) as f:
                     f.write(gzip.compress(data, mtime=0) if compress else data)
-                os.replace(part, to)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(parts)], ["name", "part"])
+
+    def rename(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = opened()
+        for b in it:
+            for name, part in zip(b["name"].to_pylist(), b["part"].to_pylist(), strict=True):
+                system.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
+                if system.get_file_info(f"{base}/{part}").is_file:  # else an earlier try of this task has done it
+                    system.move(f"{base}/{part}", f"{base}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
 
     rows = files.select(F.col(f"`{path}`").cast("string").alias("path"), F.col(f"`{content}`").alias("content")).where("path is not null")
-    return rows.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+    listed = f"{hidden}/list"
+    rows.mapInArrow(write, "name string, part string").write.parquet(listed if "://" in listed else f"file://{listed}")
+    done = spark.read.schema("name string, part string").parquet(listed if "://" in listed else f"file://{listed}")
+    twice = done.groupBy("name").count().where("count > 1").select("name").first()
+    try:
+        if twice:
+            raise ValueError(f"two files would be written as {twice[0]}")
+        return done.mapInArrow(rename, "n long").agg(F.sum("n")).first()[0] or 0
+    finally:
+        system, base = opened()
+        system.delete_dir(f"{base}/{hidden.rsplit('/', 1)[-1]}")

@@ -1,5 +1,8 @@
 import gzip
+import io
+import sys
 
+import pytest
 from media import VP8, VP8L, box, co, ftyp, moov, riff
 
 from siftreel.operators.dispatch import format_of, sanitize, sanitized
@@ -77,3 +80,55 @@ def test_stream(spark, tmp_path):
     write()
     got = {name(r["path"]): (r["ok"], r["err"] and r["err"]["code"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"a.mp4": (True, None), "c.webp": (True, None), "e.webp": (False, "TruncatedChunk")}
+
+
+def test_repeated_paths(spark):
+    """Each accepted row comes out once, and nothing is shuffled."""
+    df = spark.createDataFrame([("a.mp4", bytearray(MP4))] * 3 + [("c.webp", bytearray(riff(VP8L)))] * 2 + [("x.mp4", bytearray(b"-"))], "path string, content binary")
+    out = sanitized(df)
+    assert sorted(r["path"] for r in out.collect()) == ["a.mp4"] * 3 + ["c.webp"] * 2
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sink_keeps_every_file(spark, tmp_path):
+    """Files of one name stay apart below their root; without a root they are refused, and nothing is overwritten."""
+    for k in "ab":
+        folder(tmp_path / "in" / k, {"f.mp4": MP4 + box("free", k.encode())})
+    files = read_files(spark, str(tmp_path / "in"))
+    with pytest.raises(ValueError, match="f.mp4"):
+        write_files(files, str(tmp_path / "flat"))
+    assert list((tmp_path / "flat").iterdir()) == []
+    assert write_files(files, f"file://{tmp_path}/out", root=str(tmp_path / "in")) == 2
+    assert sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.mp4")) == ["a/f.mp4", "b/f.mp4"]
+    assert [p.name for p in (tmp_path / "out").iterdir() if p.name.startswith(".")] == []
+
+
+def test_long_padding(spark, tmp_path):
+    """A free box of 3 GiB before the media gives a verdict; its zeros are only counted."""
+    size = 3 << 30
+    with (tmp_path / "pad.mp4").open("wb") as f:
+        f.write(ftyp() + size.to_bytes(4, "big") + b"free")
+        f.seek(20 + size)
+        f.write(box("mdat", b"media") + moov(co([40])))
+    spark.dataSource.register(LargeMp4)
+    v = mp4_verdict(spark.read.format("large_mp4").load(str(tmp_path))).first()
+    m = moov(co([40]))
+    assert v["ok"] and v["displacement"] == 0 and v["pad_size"] == size - len(m)
+    assert bytes(v["metadata"]) == ftyp() + m + (size - len(m)).to_bytes(4, "big") + b"free"
+    small = ftyp() + box("free", bytes(2 << 20)) + box("mdat", b"media") + m
+    out = bytes(sanitized(spark.createDataFrame([("a.mp4", bytearray(small))], "path string, content binary")).first()["content"])
+    assert len(out) == len(small) - len(m) and out == ftyp() + m + (len(small) - 2 * len(m) - 20 - 13).to_bytes(4, "big") + b"free" + bytes(len(small) - 2 * len(m) - 20 - 13 - 8) + box("mdat", b"media")
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsysbinary):
+    from siftreel.cli import main
+
+    assert main(["--output", str(tmp_path / "out"), folder(tmp_path / "in", {k: FILES[k] for k in ("a.mp4", "c.webp")})]) == 0
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.mp4", "c.webp"]
+    assert main([str(tmp_path / "in/a.mp4"), "-t", "webp"]) == 1
+    monkeypatch.setattr(sys, "stdin", io.TextIOWrapper(io.BytesIO(MP4)))
+    capsysbinary.readouterr()
+    m = moov(co([28]))
+    monkeypatch.setattr("pyspark.sql.SparkSession.stop", lambda self: None)
+    assert main(["-t", "mp4", "-o", "-", "-"]) == 0
+    assert capsysbinary.readouterr().out == ftyp() + moov(co([28 + len(m)])) + box("mdat", b"media")
