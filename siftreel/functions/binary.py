@@ -32,6 +32,12 @@ def le_uint(data: Column, pos: Column | int, n: int) -> Column:
     return F.conv(F.concat(*[F.hex(_at(data, at + F.lit(k), 1)) for k in reversed(range(n))]), 16, 10).cast("bigint")
 
 
+def le_u64(data: Column, pos: Column | int) -> Column:
+    """Little-endian unsigned 64-bit integer, DECIMAL(20,0)."""
+    at = pos if isinstance(pos, Column) else F.lit(pos)
+    return F.conv(F.concat(*[F.hex(_at(data, at + F.lit(k), 1)) for k in reversed(range(8))]), 16, 10).cast(U64)
+
+
 def fourcc(data: Column, pos: Column | int) -> Column:
     """Four bytes as text, one character a byte."""
     return F.decode(_at(data, pos, 4), "ISO-8859-1")

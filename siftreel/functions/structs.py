@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .binary import be_u64, be_uint, fourcc, le_uint
+from .binary import be_u64, be_uint, fourcc, le_u64, le_uint
 
 Fields = Sequence[tuple[str, str]]
 SIZES = {"u8": 1, "u16": 2, "u24": 3, "u32": 4, "u64": 8, "i8": 1, "i16": 2, "i32": 4, "i64": 8, "fourcc": 4, "one24": 3}
@@ -48,9 +48,7 @@ def _value(data: Column, pos: Column, kind: str, big: bool) -> Column:
         return F.substring(data, pos, F.lit(size_of(kind)))
     n = size_of(kind)
     if n == 8:
-        if not big:
-            raise ValueError("64-bit numbers are big-endian here")
-        v = be_u64(data, pos)
+        v = (be_u64 if big else le_u64)(data, pos)
         return v if kind == "u64" else F.when(v >= F.lit(str(1 << 63)).cast("decimal(20,0)"), v - F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(v).cast("bigint")
     v = (be_uint if big else le_uint)(data, pos, n)
     return v if kind[0] != "i" else F.when(v >= 1 << (8 * n - 1), v - (1 << 8 * n)).otherwise(v)

@@ -100,7 +100,25 @@ def _bits(*fields: tuple[int, int]) -> str:
 
 _ONE = ((1, 1), (0, 1), (0, 1), (0, 1))  # a prefix code with the one symbol 0
 _PREDICTOR = ((1, 1), (0, 2), (0, 3), (0, 1), (1, 1), (0, 1), (1, 1))
-#: Lossless bit streams and what is wrong with them, by p_partkey % 8.
+def _two(symbol: int, alphabet: int) -> tuple[tuple[int, int], ...]:
+    """A normal prefix code in which 0 and a later symbol have one bit each, the later one 1. Its code lengths are spelt
+    with 1 (bit 0) and with 18 (bit 1): a run of 11 to 138 zeros."""
+
+    def zeros(n: int) -> tuple[tuple[int, int], ...]:
+        out: list[tuple[int, int]] = []
+        while n:
+            run = min(n, 138) if n <= 138 or n >= 138 + 11 else n - 11
+            out += [(1, 1), (run - 11, 7)]
+            n -= run
+        return tuple(out)
+
+    return ((0, 1), (0, 4), (0, 3), (1, 3), (0, 3), (1, 3), (0, 1), (0, 1), *zeros(symbol - 1), (0, 1), *zeros(alphabet - symbol - 1))
+
+
+_LEFT = ((1, 1), (0, 1), (0, 1), (1, 1))  # a prefix code with the one symbol 1: as a distance, the pixel to the left
+_THREE = ((1, 1), (3, 2), (2, 8))  # a table of three colours, a sub-image of three pixels
+_REFERS = (*_THREE, (0, 1), *_two(256, 280), *_ONE * 3, *_LEFT)
+#: Lossless bit streams and what is wrong with them, by p_partkey modulo their number.
 STREAMS = (
     (_bits((0, 3), *_ONE * 5), None),
     (_bits(*_PREDICTOR, (13, 8), *_ONE * 4, (0, 3), *_ONE * 5), None),
@@ -110,10 +128,16 @@ STREAMS = (
     (_bits((0, 3), (0, 1), (0, 4), (2, 3), (0, 9)), "InvalidVp8lPrefixCode"),
     (_bits((0, 3), *_ONE * 3), "TruncatedChunk"),
     (_bits((1, 1), (3, 2), (1, 8), (0, 1), *_ONE * 5, (0, 3), *_ONE * 5), None),
+    (_bits((0, 1), (1, 1), (1, 4), (0, 1), *_ONE * 5), None),  # a colour cache of two
+    (_bits((0, 2), (1, 1), (7, 3), (0, 1), *_LEFT, *_ONE * 4, *_ONE * 10), None),  # two groups of codes
+    (_bits(*_REFERS, (0, 1), (1, 1), (1, 1), (0, 3), *_ONE * 5), None),  # a colour, and twice the one before
+    (_bits(*_REFERS, (1, 1), (0, 1), (1, 1), (0, 3), *_ONE * 5), "InvalidInput"),  # one before the first
+    (_bits(*_REFERS, (0, 1), (1, 1), (1, 1), (0, 3)), "TruncatedChunk"),
+    (_bits(*_THREE, (1, 1), (1, 4), *_two(281, 282), *_ONE * 4, (0, 1), (1, 1), (1, 1), (0, 3), *_ONE * 5), None),  # colours from the cache
 )
 
 
 def stream_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, data, width, height)."""
     df = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("width"), (1 + F.col("p_partkey") % 16).alias("height"))
-    return df.withColumn("data", F.coalesce(*[F.when(F.col("id") % 8 == k, F.unhex(F.lit(x))) for k, (x, _) in enumerate(STREAMS)]))
+    return df.withColumn("data", F.coalesce(*[F.when(F.col("id") % len(STREAMS) == k, F.unhex(F.lit(x))) for k, (x, _) in enumerate(STREAMS)]))

@@ -244,7 +244,7 @@ ORACLES: dict[str, str] = {
     "webp_unknown_chunks": _webp_sql(True),
     "webp_vp8l_header": "WITH p AS (SELECT *, p_partkey % 17 IN (1, 8, 9, 10, 11, 15) AS image FROM part) SELECT p_partkey, CASE WHEN image THEN 47 END AS signature, CASE WHEN image THEN p_size END AS width, CASE WHEN image THEN 1 + p_partkey % 16 END::INTEGER AS height, "
     "CASE WHEN image THEN false END AS alpha, CASE WHEN image THEN CASE p_partkey % 17 WHEN 10 THEN 1 ELSE 0 END END AS version FROM p",
-    "webp_vp8l_codes": "SELECT p_partkey, code IS NULL AS ok, code FROM (SELECT p_partkey, CASE p_partkey % 8 " + " ".join(f"WHEN {k} THEN '{c}'" for k, (_, c) in enumerate(STREAMS) if c) + " END AS code FROM part)",
+    "webp_vp8l_codes": "SELECT p_partkey, code IS NULL AS ok, code FROM (SELECT p_partkey, CASE p_partkey % " + str(len(STREAMS)) + " " + " ".join(f"WHEN {k} THEN '{c}'" for k, (_, c) in enumerate(STREAMS) if c) + " END AS code FROM part)",
     "format_dispatch": f"""
         WITH {_ORDERS}, files AS (SELECT 'mp4' AS ext, o_orderkey AS key, layout, {_MP4_CODE} AS code FROM o UNION ALL SELECT 'webp', p_partkey, (p_partkey % 17)::INTEGER, {_WEBP_CODE.format(unknown=_NOT_KNOWN[False][0])} FROM part),
         named AS ({_DISPATCH} FROM files)

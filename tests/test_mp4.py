@@ -138,3 +138,23 @@ def test_boxes_stats_zeroed(spark):
 
 def test_no_rows(spark):
     assert mp4_sanitize(spark.createDataFrame([], "path string, content binary")).collect() == []
+
+
+def test_compare_media(spark):
+    """What offsets point to is the same after rewriting; a wrong offset, a lost chunk and changed media are seen."""
+    from media import box, co, ftyp, moov
+
+    from siftreel.operators.dispatch import sanitized
+    from siftreel.operators.verify import mp4_compare_media
+
+    media = bytes(range(200))
+    old = ftyp() + box("mdat", media) + moov(co([28, 60, 10_000]))
+    new = bytes(sanitized(spark.createDataFrame([("a.mp4", bytearray(old))], "path string, content binary")).first()["content"])
+    n = len(moov(co([28, 60, 10_000])))
+    wrong = ftyp() + moov(co([28 + n, 61 + n, 10_000 + n])) + box("mdat", media)
+    fewer = ftyp() + moov(co([24 + n, 56 + n])) + box("mdat", media)
+    bent = new[:-150] + b"x" + new[-149:]
+    rows = [("fine", old, new), ("wrong", old, wrong), ("fewer", old, fewer), ("bent", old, bent), ("none", old, b""), ("null", None, None), ("same", old, old)]
+    df = spark.createDataFrame([(k, x and bytearray(x), y and bytearray(y)) for k, x, y in rows], "path string, before binary, after binary")
+    got = {r["path"]: (r["chunks"], r["moved"], r["same"]) for r in mp4_compare_media(df).collect()}
+    assert got == {"fine": (3, 3, True), "wrong": (3, 3, False), "fewer": (2, 2, False), "bent": (3, 3, False), "none": (None, None, None), "null": (None, None, None), "same": (3, 0, True)}
