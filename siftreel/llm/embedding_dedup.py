@@ -32,7 +32,7 @@ def bits_for(rows: int, bucket: int = BUCKET) -> int:
 
 def tables_for(least: float, bits: int, missed: float = MISSED) -> int:
     """Tables so that a pair at cosine `least` shares no bucket with probability `missed` at most. One hyperplane agrees
-    with probability 1 - angle / pi; at 0.93 that is 0.880, so 9 tables of 4 hyperplanes do, or 24 of 10, or 49 of 15:
+    with probability 1 - angle / pi; at 0.93 that is 0.880, so 9 tables of 4 hyperplanes do, or 24 of 10, or 50 of 15:
     bytes and time grow as the number of vectors to the power 1.18."""
     agree = (1 - np.arccos(min(1.0, max(-1.0, least))) / np.pi) ** bits
     return max(1, int(np.ceil(np.log(missed) / np.log1p(-agree)))) if agree < 1 else 1
