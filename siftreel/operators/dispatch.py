@@ -33,7 +33,7 @@ def sanitize(
     mp4 = mp4_sanitize(rows.where(F.col("format") == "mp4"), max_metadata_size=max_metadata_size, cumulative_mdat_box_size=cumulative_mdat_box_size)
     webp = webp_sanitize(rows.where(F.col("format") == "webp"), allow_unknown_chunks=allow_unknown_chunks)
     unknown = rows.where(F.col("format").isNull() | ~F.col("format").isin(*FORMATS))
-    err = F.struct(F.lit("Format").alias("kind"), F.lit("UnknownFormat").alias("code"), F.lit(None).cast("string").alias("arg")).cast(ERR)
+    err = F.struct(F.lit("Format").alias("kind"), F.lit("UnknownFormat").alias("code"), *[F.lit(None).alias(c) for c in ("arg", "detail", "stack")]).cast(ERR)
     rest = unknown.select("path", "format", F.lit(False).alias("ok"), err.alias("err"), *[F.lit(None).cast(mp4.schema[c].dataType).alias(c) for c in mp4.columns[4:]])
     return mp4.unionByName(webp).unionByName(rest)
 

@@ -19,12 +19,17 @@ BRAND, PAD_HEADER, MOST_PAD = "69736F6D", 8, 2**32 - 1 - 8
 #: Padding up to this size is part of metadata; of a longer one metadata holds the header only.
 INLINE_PAD = 1 << 20
 
-ERR = "struct<kind:string,code:string,arg:string>"
+#: detail says what was found and what may be; stack names the boxes around the fault as type@offset, the outermost first.
+ERR = "struct<kind:string,code:string,arg:string,detail:string,stack:array<string>>"
 
 
-def _err(code: str, arg: Column | str | None = None, kind: str = "Parse") -> Column:
-    a = F.lit(arg) if arg is None or isinstance(arg, str) else arg
-    return F.struct(F.lit(kind).alias("kind"), F.lit(code).alias("code"), a.cast("string").alias("arg"))
+def _err(code: str, arg: Column | str | None = None, kind: str = "Parse", detail: Column | str | None = None) -> Column:
+    a, d = (F.lit(x) if x is None or isinstance(x, str) else x for x in (arg, detail))
+    return F.struct(F.lit(kind).alias("kind"), F.lit(code).alias("code"), a.cast("string").alias("arg"), d.cast("string").alias("detail"), F.lit(None).cast("array<string>").alias("stack"))
+
+
+def _say(*parts: Column | str) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
 def shown(code: Column, uuid: Column | None = None) -> Column:
@@ -61,33 +66,39 @@ def _rules(b: Column, max_metadata_size: int) -> Column:
     there = F.col("length") - b["pos"] - b["header_len"]
     data_len = F.coalesce(b["size"] - b["header_len"], there)
     over = b["size"].isNotNull() & (b["pos"] + b["size"] > dec(U64_MAX))
-    io, bad = _err("InvalidData", None, "Io"), _err("InvalidInput")
+    io = _err("InvalidData", None, "Io", "the box ends beyond 2^64 - 1")
+    bad = _err("InvalidInput", detail=_say("size ", b["size"], " is less than the header's ", b["header_len"], " bytes"))
+    large = lambda most: _err("InvalidInput", detail=_say("payload of ", data_len, f" bytes, at most {most} are read"))
+    short = _err("TruncatedBox", detail=_say("payload of ", data_len, " bytes, ", there, " are there"))
     brands = F.col("ftyp")
     n_brands = F.floor((F.length(brands) - 8) / 4).cast("int")
     isom = F.exists(F.when(n_brands > 0, F.sequence(F.lit(0), n_brands - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.hex(F.substring(brands, i * 4 + F.lit(9), F.lit(4))) == BRAND)
     inner = F.filter("moovs", lambda m: (m["ord"] == b["ord"]) & m["code"].isNotNull())
     of_ftyp = (
-        F.when(b["ord"] > F.col("ftyp_ord"), _err("InvalidBoxLayout"))
-        .when(small | (data_len > FTYP_LIMIT), bad)
-        .when((data_len > there) | (data_len < 8), _err("TruncatedBox"))
-        .when(~isom, _err("UnsupportedFormat", shown(F.decode(F.substring(brands, 1, 4), "ISO-8859-1"))))
+        F.when(b["ord"] > F.col("ftyp_ord"), _err("InvalidBoxLayout", detail="a second ftyp box"))
+        .when(small, bad)
+        .when(data_len > FTYP_LIMIT, large(FTYP_LIMIT))
+        .when(data_len > there, short)
+        .when(data_len < 8, _err("TruncatedBox", detail=_say("major brand and minor version take 8 bytes, ", data_len, " are there")))
+        .when(~isom, _err("UnsupportedFormat", shown(F.decode(F.substring(brands, 1, 4), "ISO-8859-1")), detail="isom is not among the compatible brands"))
     )
-    of_mdat = F.when(small, bad).when(over, io).when(b["ord"] > F.col("stop_ord"), _err("UnsupportedBoxLayout"))
+    of_mdat = F.when(small, bad).when(over, io).when(b["ord"] > F.col("stop_ord"), _err("UnsupportedBoxLayout", detail="media data on both sides of a moov box"))
     of_moov = (
-        F.when(small | (data_len > dec(max_metadata_size)), bad)
-        .when(data_len > there, _err("TruncatedBox"))
-        .when(F.size(inner) > 0, F.struct(F.lit("Parse").alias("kind"), inner[0]["code"].alias("code"), inner[0]["arg"].alias("arg")))
+        F.when(small, bad)
+        .when(data_len > dec(max_metadata_size), large(max_metadata_size))
+        .when(data_len > there, short)
+        .when(F.size(inner) > 0, F.struct(F.lit("Parse").alias("kind"), inner[0]["code"].alias("code"), *[inner[0][c].alias(c) for c in ("arg", "detail", "stack")]))
     )
     skipped = F.when(small, bad).when(over, io)
     kind = b["type"]
     return (
         F.when(kind.isin("free", "skip"), skipped)
         .when(kind == "ftyp", of_ftyp)
-        .when(F.col("ftyp_ord").isNull() | (b["ord"] < F.col("ftyp_ord")), _err("InvalidBoxLayout"))
+        .when(F.col("ftyp_ord").isNull() | (b["ord"] < F.col("ftyp_ord")), _err("InvalidBoxLayout", detail="a box other than free and skip before ftyp"))
         .when(kind == "mdat", of_mdat)
         .when(kind == "moov", of_moov)
         .when(kind.isin("meta", "meco"), skipped)
-        .otherwise(F.coalesce(skipped, _err("UnsupportedBox", shown(kind, b["uuid"]))))
+        .otherwise(F.coalesce(skipped, _err("UnsupportedBox", shown(kind, b["uuid"]), detail="no such box is known at the top level")))
     )
 
 
@@ -116,16 +127,20 @@ def _entries(t: Column) -> Column:
 def mp4_verdict(walked: DataFrame, max_metadata_size: int = METADATA_LIMIT, keep: tuple[str, ...] = ()) -> DataFrame:
     """(path, format, ok, err, metadata, span, displacement, pad_size) of every walked file.
 
-    err is null for an accepted file. metadata is null where there is nothing to change, else the new ftyp and moov, and
+    err is null for an accepted file; its stack is empty or null where no box is at fault. metadata is null where there is nothing to change, else the new ftyp and moov, and
     padding where it fits; span is where the media data lies. Of several moov boxes the last one counts. The walk must
     have had the same max_metadata_size. Padding may come to 4 GiB: beyond INLINE_PAD bytes metadata ends with the header
     of the free box, and pad_size - 8 zero bytes are to follow it. keep: further columns of walked to pass on.
     """
     df = _spans(walked)
     errors = F.transform("boxes", lambda b: F.struct(b["ord"].alias("ord"), _rules(b, max_metadata_size).alias("err")))
-    found = F.concat(F.filter(errors, lambda e: e["err"].isNotNull()), F.when(F.col("cut"), F.array(F.struct(F.size("boxes").alias("ord"), _err("TruncatedBox").alias("err")))).otherwise(F.array().cast(f"array<struct<ord:int,err:{ERR}>>")))
-    missing = F.coalesce(*[F.when(F.col(f"{n}_ord").isNull(), _err("MissingRequiredBox", n)) for n in ("ftyp", "moov", "mdat")])
-    df = df.withColumn("err", F.coalesce(F.array_min(found)["err"], missing))
+    found = F.concat(F.filter(errors, lambda e: e["err"].isNotNull()), F.when(F.col("cut"), F.array(F.struct(F.size("boxes").alias("ord"), _err("TruncatedBox", detail="the file ends in a box header").alias("err")))).otherwise(F.array().cast(f"array<struct<ord:int,err:{ERR}>>")))
+    missing = F.coalesce(*[F.when(F.col(f"{n}_ord").isNull(), _err("MissingRequiredBox", n, detail=f"the file has no {n} box")) for n in ("ftyp", "moov", "mdat")])
+    df = df.withColumn("first", F.array_min(found)).withColumn("at", F.get("boxes", F.col("first.ord")))
+    outer = F.when(F.col("at").isNotNull(), F.array(F.concat(shown(F.col("at.type"), F.col("at.uuid")), F.lit("@"), F.col("at.pos").cast("string")))).otherwise(F.array().cast("array<string>"))
+    stack = F.concat(outer, F.coalesce(F.col("first.err.stack"), F.array().cast("array<string>")))
+    placed = F.when(F.col("first").isNotNull(), F.struct(*[F.col(f"first.err.{c}").alias(c) for c in ("kind", "code", "arg", "detail")], stack.alias("stack")))
+    df = df.withColumn("err", F.coalesce(placed, missing)).drop("first", "at")
     long = lambda x: x.cast("decimal(30,0)")
     meta_len = F.length("ftyp") + 8 + F.length("moov") + 8
     fine, change = F.col("err").isNull(), F.col("moov_pos") > F.col("offset")
@@ -141,7 +156,7 @@ def mp4_verdict(walked: DataFrame, max_metadata_size: int = METADATA_LIMIT, keep
     top = lambda t: F.when(t["width"] == 4, F.lit(2**32 - 1)).otherwise(F.lit(str(U64_MAX)).cast(U64))
     outside = F.exists("tables", lambda t: F.exists(t["new"], lambda e: (e < 0) | (e > top(t))))
     far = ~F.col("moved").between(-(2**31) + 1, 2**31 - 1)
-    late = F.when(F.col("moved") != 0, F.when(far, _err("UnsupportedBoxLayout")).when(outside, _err("InvalidInput")))
+    late = F.when(F.col("moved") != 0, F.when(far, _err("UnsupportedBoxLayout", detail=_say("chunk offsets would move by ", F.col("moved"), ", which 32 bits do not hold"))).when(outside, _err("InvalidInput", detail=_say("a chunk offset that moves by ", F.col("moved"), " leaves its field"))))
     df = df.withColumn("err", F.coalesce("err", late))
     fine = F.col("err").isNull()
     bytes_of = lambda t: F.unhex(F.array_join(F.transform(t["new"], lambda e: F.when(t["width"] == 4, F.lpad(F.hex(e.cast("bigint")), 8, "0")).otherwise(be64_hex(e))), ""))

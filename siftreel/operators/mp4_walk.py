@@ -37,9 +37,9 @@ class Box(NamedTuple):
 
 
 class Invalid(Exception):
-    def __init__(self, code: str, arg: str | None = None):
-        super().__init__(code, arg)
-        self.code, self.arg = code, arg
+    def __init__(self, code: str, arg: str | None = None, detail: str | None = None):
+        super().__init__(code, arg, detail)
+        self.code, self.arg, self.detail = code, arg, detail
 
 
 def shown(code: bytes) -> str:
@@ -55,7 +55,7 @@ def header(raw: bytes, ord: int = 0, pos: int = 0) -> Box:
 
     def take(a: int, b: int) -> bytes:
         if len(raw) < b:
-            raise Invalid("TruncatedBox")
+            raise Invalid("TruncatedBox", None, f"header of {b} bytes at least, {len(raw)} are there")
         return raw[a:b]
 
     first, code, at = int.from_bytes(take(0, 4)), take(4, 8), 8
@@ -74,9 +74,9 @@ def children(data: memoryview) -> list[tuple[Box, memoryview]]:
         rest = data[pos + box.header_len :]
         if box.size is not None:
             if box.size < box.header_len:
-                raise Invalid("InvalidInput")
+                raise Invalid("InvalidInput", None, f"size {box.size} of {shown(box.type)} is less than its header's {box.header_len} bytes")
             if box.data_len > len(rest):
-                raise Invalid("TruncatedBox")
+                raise Invalid("TruncatedBox", None, f"payload of {shown(box.type)} is {box.data_len} bytes, {len(rest)} are there")
             rest = rest[: box.data_len]
         out.append((box, rest))
         pos += box.header_len + len(rest)
@@ -86,49 +86,60 @@ def children(data: memoryview) -> list[tuple[Box, memoryview]]:
 def _one(boxes: list[tuple[Box, memoryview]], code: bytes) -> memoryview:
     found = [data for box, data in boxes if box.type == code]
     if len(found) > 1:
-        raise Invalid("InvalidBoxLayout")
+        raise Invalid("InvalidBoxLayout", None, f"{len(found)} boxes {shown(code)} where one may be")
     if not found:
-        raise Invalid("MissingRequiredBox", shown(code))
+        raise Invalid("MissingRequiredBox", shown(code), f"no {shown(code)} box")
     return found[0]
 
 
-def _table(stbl: memoryview, base: int) -> tuple[int, int, int]:
+def _table(stbl: memoryview, base: int, trail: list[str], file_at: int) -> tuple[int, int, int]:
     """(offset of the first entry in the moov payload, entries, bytes of an entry) of a sample table's chunk offsets."""
     inside = children(stbl)
     kinds = {box.type for box, _ in inside}
     if {b"stco", b"co64"} <= kinds:
-        raise Invalid("InvalidBoxLayout")
+        raise Invalid("InvalidBoxLayout", None, "stco and co64 in one sample table")
     code, width = (b"stco", 4) if b"stco" in kinds else (b"co64", 8)
     data = _one(inside, code)
-    at = next(box.pos + box.header_len for box, _ in inside if box.type == code)
+    found = next(box for box, _ in inside if box.type == code)
+    at = found.pos + found.header_len
+    trail.append(f"{shown(code)}@{file_at + base + found.pos}")
     for end in (1, 4, 8):  # version, flags, count
         if len(data) < end:
-            raise Invalid("TruncatedBox")
+            raise Invalid("TruncatedBox", None, f"version, flags and count take 8 bytes, {len(data)} are there")
         if end < 8 and any(data[:end]):
-            raise Invalid("InvalidInput")
+            raise Invalid("InvalidInput", None, f"version and flags are {bytes(data[:4]).hex()}, not 00000000")
     n = int.from_bytes(data[4:8])
+    counted = f"{n} entries of {width} bytes, {len(data) - 8} bytes are there"
     if n * width >= 1 << 32:
-        raise Invalid("InvalidInput")
+        raise Invalid("InvalidInput", None, counted)
     if len(data) - 8 < n * width:
-        raise Invalid("TruncatedBox")
+        raise Invalid("TruncatedBox", None, counted)
     if len(data) - 8 > n * width:
-        raise Invalid("InvalidInput")
+        raise Invalid("InvalidInput", None, counted)
     return base + at + 8, n, width
 
 
-def tables(moov: bytes) -> list[tuple[int, int, int]]:
-    """The chunk offset table of each trak, in file order; the first fault in that order is raised."""
+def tables(moov: bytes, trail: list[str] | None = None, file_at: int = 0) -> list[tuple[int, int, int]]:
+    """The chunk offset table of each trak, in file order; the first fault in that order is raised.
+
+    trail: gets the boxes that were gone into last, as type@offset in the file, whose payload of moov is at file_at.
+    """
+    trail = [] if trail is None else trail
     top = children(memoryview(moov))
-    traks = [(box.pos + box.header_len, data) for box, data in top if box.type == PATH[0]]
+    traks = [(box, data) for box, data in top if box.type == PATH[0]]
     if not traks:
-        raise Invalid("MissingRequiredBox", shown(PATH[0]))
+        raise Invalid("MissingRequiredBox", shown(PATH[0]), f"no {shown(PATH[0])} box")
     out = []
-    for base, data in traks:
+    for box, data in traks:
+        base = box.pos + box.header_len
+        trail[:] = [f"{shown(PATH[0])}@{file_at + box.pos}"]
         for code in PATH[1:]:
             inside = children(data)
             data = _one(inside, code)
-            base += next(box.pos + box.header_len for box, _ in inside if box.type == code)
-        out.append(_table(data, base))
+            found = next(box for box, _ in inside if box.type == code)
+            trail.append(f"{shown(code)}@{file_at + base + found.pos}")
+            base += found.pos + found.header_len
+        out.append(_table(data, base, trail, file_at))
     return out
 
 
@@ -158,22 +169,23 @@ def walk(f: BinaryIO, length: int, limit: int = METADATA_LIMIT, mdat_size: int |
             ftyp = f.read(n)
         if box.type == b"moov" and n <= min(there, limit):
             f.seek(pos + box.header_len)
-            moov, fault = f.read(n), None
+            moov, fault, trail = f.read(n), None, []
             try:
-                found = tables(moov)
+                found = tables(moov, trail, pos + box.header_len)
             except Invalid as e:
                 found, fault = [], e
-            moovs.append({"ord": box.ord, "code": fault and fault.code, "arg": fault and fault.arg, "tables": [{"at": a, "n": k, "width": w} for a, k, w in found]})
+            why = {"code": fault and fault.code, "arg": fault and fault.arg, "detail": fault and fault.detail, "stack": fault and trail}
+            moovs.append({"ord": box.ord, **why, "tables": [{"at": a, "n": k, "width": w} for a, k, w in found]})
         pos = end
     return {"length": length, "boxes": boxes, "cut": cut, "ftyp": ftyp, "moov": moov, "moovs": moovs}
 
 
 BOX_SQL = "struct<ord int, pos decimal(20,0), header_len int, size decimal(20,0), kind string, type string, uuid binary>"
 WALK_SQL = (
-    f"length decimal(20,0), boxes array<{BOX_SQL}>, cut boolean, ftyp binary, moov binary, moovs array<struct<ord int, code string, arg string, tables array<struct<at int, n int, width int>>>>"
+    f"length decimal(20,0), boxes array<{BOX_SQL}>, cut boolean, ftyp binary, moov binary, moovs array<struct<ord int, code string, arg string, detail string, stack array<string>, tables array<struct<at int, n int, width int>>>>"
 )
 _BOX = pa.struct([("ord", pa.int32()), ("pos", pa.decimal128(20)), ("header_len", pa.int32()), ("size", pa.decimal128(20)), ("kind", pa.string()), ("type", pa.string()), ("uuid", pa.binary())])
-_MOOV = pa.struct([("ord", pa.int32()), ("code", pa.string()), ("arg", pa.string()), ("tables", pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("width", pa.int32())])))])
+_MOOV = pa.struct([("ord", pa.int32()), ("code", pa.string()), ("arg", pa.string()), ("detail", pa.string()), ("stack", pa.list_(pa.string())), ("tables", pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("width", pa.int32())])))])
 _TYPES = {"length": pa.decimal128(20), "boxes": pa.list_(_BOX), "cut": pa.bool_(), "ftyp": pa.binary(), "moov": pa.binary(), "moovs": pa.list_(_MOOV)}
 
 

@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 
 class Fault(Exception):
-    def __init__(self, code: str, arg: str | None = None):
-        super().__init__(code, arg)
-        self.code, self.arg = code, arg
+    def __init__(self, code: str, arg: str | None = None, detail: str | None = None):
+        super().__init__(code, arg, detail)
+        self.code, self.arg, self.detail = code, arg, detail
 
 
 #: Fixed values of the format. Distances of short back references: (dx, dy) for codes from 1.
@@ -38,7 +38,7 @@ class Bits:
 
     def read(self, n: int) -> int:
         if self.at + n > self.end:
-            raise Fault("TruncatedChunk")
+            raise Fault("TruncatedChunk", None, f"{n} bits are needed at bit {self.at} of {self.end}")
         first, last = self.at >> 3, (self.at + n + 7) >> 3
         out = int.from_bytes(self.data[first:last], "little") >> (self.at & 7) & ((1 << n) - 1)
         self.at += n
@@ -55,7 +55,7 @@ class Code:
             self.longest, self.table = 0, [(used[0][1], 0)]
             return
         if not used or sum(1 << (15 - n) for n, _ in used) != 1 << 15:  # empty, incomplete or oversubscribed
-            raise Fault("InvalidVp8lPrefixCode")
+            raise Fault("InvalidVp8lPrefixCode", None, f"lengths of {len(used)} symbols leave codes over or give some twice")
         self.longest = used[-1][0]
         self.table: list[tuple[int, int]] = [(0, 0)] * (1 << self.longest)
         code = last = 0
@@ -75,7 +75,7 @@ class Code:
         symbol, n = self.table[window]
         bits.at = at + n
         if bits.at > bits.end:
-            raise Fault("TruncatedChunk")
+            raise Fault("TruncatedChunk", None, f"a code of {n} bits at bit {at} of {bits.end}")
         return symbol
 
 
@@ -103,7 +103,7 @@ def prefix_code(bits: Bits, alphabet: int) -> Code:
     if bits.read(1):
         reads = min(2 + bits.read(2 + 2 * bits.read(3)), 2**16 - 1)
     if reads > alphabet:
-        raise Fault("InvalidInput")
+        raise Fault("InvalidInput", None, f"{reads} code lengths for an alphabet of {alphabet}")
     out: list[int] = []
     last = 8
     for _ in range(reads):
@@ -120,7 +120,7 @@ def prefix_code(bits: Bits, alphabet: int) -> Code:
             length, times = 0, 11 + bits.read(7)
         last = length or last
         if len(out) + times > alphabet:
-            raise Fault("InvalidVp8lPrefixCode")
+            raise Fault("InvalidVp8lPrefixCode", None, f"a run of {times} code lengths after {len(out)} of {alphabet}")
         out += [length] * times
     return Code(dict(enumerate(out)))
 
@@ -136,7 +136,7 @@ def color_cache(bits: Bits) -> int:
         return 0
     order = bits.read(4)
     if not 1 <= order <= 11:
-        raise Fault("InvalidInput")
+        raise Fault("InvalidInput", None, f"a colour cache of order {order}, 1 to 11 are allowed")
     return 1 << order
 
 
@@ -144,7 +144,7 @@ def lz77(bits: Bits, symbol: int) -> int:
     if symbol < 4:
         return symbol + 1
     if symbol > 39:
-        raise Fault("InvalidInput")
+        raise Fault("InvalidInput", None, f"length or distance symbol {symbol}, at most 39 are allowed")
     extra = (symbol - 2) >> 1
     return min(U32_MAX, ((2 + (symbol & 1)) << extra) + bits.read(extra) + 1)
 
@@ -172,11 +172,11 @@ def sub_image(bits: Bits, width: int, height: int, seen: Callable[[int, int], No
             else:
                 far -= len(NEAR)
             if far > at or length > n - at:
-                raise Fault("InvalidInput")
+                raise Fault("InvalidInput", None, f"{length} pixels from {far} back at pixel {at} of {n}")
             at += length
         else:
             if symbol - GREEN >= cache:
-                raise Fault("InvalidInput")
+                raise Fault("InvalidInput", None, f"colour {symbol - GREEN} of a cache of {cache}")
             at = n if not green.longest else at + 1
 
 
@@ -186,7 +186,7 @@ def _blocks(n: int, order: int) -> int:
 
 def _predictor(_: int, green: int) -> None:
     if green > 13:
-        raise Fault("InvalidInput")
+        raise Fault("InvalidInput", None, f"predictor {green}, at most 13 are allowed")
 
 
 def check_image(data: bytes, width: int, height: int) -> None:
@@ -202,7 +202,7 @@ def check_image(data: bytes, width: int, height: int) -> None:
             sub_image(bits, colors, 1, lambda *_: None)
             narrow = _blocks(width, 3 if colors <= 2 else 2 if colors <= 4 else 1 if colors <= 16 else 0)
         if kind in done:
-            raise Fault("InvalidInput")
+            raise Fault("InvalidInput", None, f"transform {kind} a second time")
         done.add(kind)
         width = narrow
     cache, groups = color_cache(bits), [0]

@@ -20,18 +20,18 @@ def webp_sanitize(files: DataFrame, path: str = "path", content: str = "content"
 
     keep_content: the files' bytes stay as column content.
     """
-    kept = ["content"] if keep_content else []
+    kept, kinds = ["content"] if keep_content else [], [*[pa.string()] * 3, pa.list_(pa.string())]
     ship(files.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            found = [webp_walk.verdict(b["content"][k].as_py(), allow_unknown_chunks) for k in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b["path"], *[pa.array(x, pa.string()) for x in (zip(*found, strict=True) if found else ([], []))], *[b[c] for c in kept]], ["path", "code", "arg", *kept])
+            found = [webp_walk.report(b["content"][k].as_py(), allow_unknown_chunks) for k in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b["path"], *[pa.array([x[k] for x in found], t) for k, t in enumerate(kinds)], *[b[c] for c in kept]], ["path", "code", "arg", "detail", "stack", *kept])
 
     rows = files.select(F.col(f"`{path}`").cast("string").alias("path"), F.col(f"`{content}`").alias("content"))
-    err = F.when(F.col("code").isNotNull(), F.struct(F.lit("Parse").alias("kind"), "code", "arg")).cast(ERR)
+    err = F.when(F.col("code").isNotNull(), F.struct(F.lit("Parse").alias("kind"), "code", "arg", "detail", "stack")).cast(ERR)
     none = {"metadata": "binary", "span": f"struct<offset:{U64},len:{U64}>", "displacement": "int", "pad_size": "bigint"}
-    return rows.mapInArrow(run, "path string, code string, arg string" + ", content binary" * keep_content).select("path", F.lit("webp").alias("format"), F.col("code").isNull().alias("ok"), err.alias("err"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()], *kept)
+    return rows.mapInArrow(run, "path string, code string, arg string, detail string, stack array<string>" + ", content binary" * keep_content).select("path", F.lit("webp").alias("format"), F.col("code").isNull().alias("ok"), err.alias("err"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()], *kept)
 
 
 def webp_chunks(files: DataFrame, path: str = "path", content: str = "content", allow_unknown_chunks: bool = True) -> DataFrame:

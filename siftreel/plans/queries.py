@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import UUID
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.structs import FTYP, VP8X, decode, encode
+from ..functions.structs import FTYP, VP8X, decode, decode_box, encode, encode_box
 from ..operators import mp4, webp
 from ..operators.dispatch import format_of, sanitize, sanitized
 from .fixtures import MP4, PIECES, STREAMS, UNTIL_END, mp4_fixtures, stream_fixtures, webp_fixtures
 
+#: A box type of a user's own.
+USER_TYPE = UUID("6f9619ff-8b86-d011-b42d-00cf4fc964ff")
+USER_BOX = (("version_and_flags", "const:00000000"), ("brand", "fourcc"), ("items", ("counted", (("key", (("line", "u8"), ("supplier", "u32"))), ("reserved", "zero:1"), ("part", "u32")))))
+
+
 def _key(name: str = "o_orderkey") -> Column:
     return F.col("path").cast("bigint").alias(name)
 
@@ -41,6 +47,29 @@ def mp4_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdicts(spark, sf_dir).select(_key(), "ok", *_error())
 
 
+def _why() -> list[Column]:
+    return [F.col("err.detail").alias("detail"), F.array_join("err.stack", "/").alias("stack")]
+
+
+def mp4_error_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with each file, and in which boxes."""
+    return _verdicts(spark, sf_dir).select(_key(), *_why())
+
+
+def webp_error_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.webp_sanitize(webp_fixtures(spark, sf_dir)).select(_part(), *_why())
+
+
+def mp4_user_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box type of a user's own: each order's line items as an array of structures below a UUID, written and read."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.struct(F.struct(F.col("l_linenumber").cast("long").alias("line"), F.col("l_suppkey").cast("long").alias("supplier")).alias("key"), F.col("l_partkey").cast("long").alias("part")).alias("item"))
+    value = F.struct(F.lit("item").alias("brand"), F.array_sort(F.collect_list("item")).alias("items"))
+    boxes = items.groupBy("l_orderkey").agg(value.alias("value")).select("l_orderkey", encode_box(F.col("value"), USER_TYPE, USER_BOX).alias("data"))
+    back = boxes.select("l_orderkey", F.length("data").cast("bigint").alias("n_bytes"), F.lower(F.hex(F.substring("data", 1, 40))).alias("head"), decode_box(F.col("data"), USER_TYPE, USER_BOX).alias("d"))
+    total = lambda get: F.aggregate("d.value.items", F.lit(0).cast("bigint"), lambda a, i: a + get(i))
+    return back.select("l_orderkey", "n_bytes", "head", F.col("d.code").alias("code"), total(lambda i: i["part"]).alias("parts"), total(lambda i: i["key"]["supplier"]).alias("suppliers"))
+
+
 def mp4_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdicts(spark, sf_dir).where("ok").select(_key(), *_span())
 
@@ -142,7 +171,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mp4_box_walk": mp4_box_walk, "mp4_verdict": mp4_verdict, "mp4_span": mp4_span, "mp4_cumulative_mdat": mp4_cumulative_mdat, "mp4_pad_displacement": mp4_pad_displacement, "mp4_chunk_offsets": mp4_chunk_offsets,
     "mp4_metadata_hash": mp4_metadata_hash, "mp4_sanitized_roundtrip": mp4_sanitized_roundtrip, "mp4_track_stats": mp4_track_stats, "mp4_media_zeroed": mp4_media_zeroed, "mp4_ftyp_fields": mp4_ftyp_fields, "webp_vp8x_fields": webp_vp8x_fields, "webp_chunk_walk": webp_chunk_walk,
     "webp_verdict": _webp(False), "webp_unknown_chunks": _webp(True), "webp_vp8l_header": webp_vp8l_header, "webp_vp8l_codes": webp_vp8l_codes, "format_dispatch": format_dispatch, "format_guess": format_guess,
-    "ext_verdict_rollup": ext_verdict_rollup,
+    "ext_verdict_rollup": ext_verdict_rollup, "mp4_error_stack": mp4_error_stack, "webp_error_stack": webp_error_stack, "mp4_user_boxes": mp4_user_boxes,
 }
 
 # ---- closed-form SQL
@@ -253,4 +282,25 @@ ORACLES: dict[str, str] = {
     "ext_verdict_rollup": f"""
         WITH {_ORDERS}, v AS (SELECT 'mp4' AS format, {_MP4_CODE} AS code FROM o UNION ALL SELECT 'webp', {_WEBP_CODE.format(unknown=_NOT_KNOWN[False][0])} FROM part)
         SELECT format, code, count(*) AS files FROM v GROUP BY format, code""",
+    "mp4_error_stack": f"""
+        WITH {_ORDERS} SELECT o_orderkey,
+               CASE layout WHEN 6 THEN 'a box other than free and skip before ftyp' WHEN 7 THEN 'a second ftyp box' WHEN 8 THEN 'the file has no moov box' WHEN 9 THEN 'the file has no mdat box' WHEN 10 THEN 'isom is not among the compatible brands'
+                           WHEN 11 THEN 'media data on both sides of a moov box' WHEN 13 THEN 'no such box is known at the top level' WHEN 14 THEN 'no trak box' WHEN 16 THEN 'the file has no moov box'
+                           WHEN 17 THEN 'a chunk offset that moves by -4 leaves its field' WHEN 18 THEN 'the file ends in a box header' WHEN 19 THEN 'stco and co64 in one sample table' END AS detail,
+               CASE layout WHEN 6 THEN 'moov@0' WHEN 7 THEN 'ftyp@20' WHEN 10 THEN 'ftyp@0' WHEN 11 THEN 'mdat@' || (20 + d + m) WHEN 13 THEN '00112233-4455-6677-8899-aabbccddeeff@' || (20 + m) WHEN 14 THEN 'moov@' || (20 + d) WHEN 18 THEN ''
+                           WHEN 19 THEN 'moov@' || (20 + d) || '/trak@' || (28 + d) || '/mdia@' || (36 + d) || '/minf@' || (44 + d) || '/stbl@' || (52 + d) END AS stack
+        FROM o""",
+    "webp_error_stack": """
+        WITH p AS (SELECT p_partkey, p_partkey % 17 AS layout, p_size AS w, 1 + p_partkey % 16 AS h FROM part)
+        SELECT p_partkey,
+               CASE layout WHEN 3 THEN 'an image of ' || w || ' x ' || h || ' on a canvas of ' || (w + 1) || ' x ' || h WHEN 5 THEN 'expected VP8, found VP8L' WHEN 7 THEN 'a frame is expected at 44' WHEN 8 THEN 'expected RIFF, found RIFX'
+                           WHEN 9 THEN 'expected WEBP, found WEBX' WHEN 10 THEN 'version 1, only 0 is known' WHEN 11 THEN 'unknown chunks are not allowed' WHEN 12 THEN 'the padding byte at 23 is not zero'
+                           WHEN 13 THEN 'flags 0x01 of 0x3e, reserved bytes 000000, canvas of ' || w || ' x ' || h WHEN 14 THEN 'expected ICCP, found VP8L' WHEN 15 THEN 'bytes after the file''s end at 28' WHEN 16 THEN 'EXIF is expected at 46' END AS detail,
+               CASE layout WHEN 3 THEN 'RIFF@0/VP8L@30' WHEN 5 THEN 'RIFF@0/VP8L@42' WHEN 7 THEN 'RIFF@0/ANIM@30' WHEN 8 THEN 'RIFX@0' WHEN 9 THEN 'RIFF@0' WHEN 10 THEN 'RIFF@0/VP8L@12' WHEN 11 THEN 'RIFF@0/TeSt@28' WHEN 12 THEN 'RIFF@0/VP8@12'
+                           WHEN 13 THEN 'RIFF@0/VP8X@12' WHEN 14 THEN 'RIFF@0/VP8L@30' WHEN 15 THEN '' WHEN 16 THEN 'RIFF@0/VP8L@30' END AS stack
+        FROM p""",
+    "mp4_user_boxes": f"""
+        SELECT l_orderkey, (36 + 10 * count(*))::BIGINT AS n_bytes, printf('%08x', 36 + 10 * count(*)) || '75756964{USER_TYPE.hex}000000006974656d' || printf('%08x', count(*)) || printf('%02x', min(l_linenumber)) || printf('%06x', (min(l_linenumber * 4294967296 + l_suppkey) % 4294967296 // 256)::BIGINT) AS head,
+               NULL::VARCHAR AS code, sum(l_partkey)::BIGINT AS parts, sum(l_suppkey)::BIGINT AS suppliers
+        FROM lineitem GROUP BY l_orderkey""",
 }

@@ -158,3 +158,21 @@ def test_compare_media(spark):
     df = spark.createDataFrame([(k, x and bytearray(x), y and bytearray(y)) for k, x, y in rows], "path string, before binary, after binary")
     got = {r["path"]: (r["chunks"], r["moved"], r["same"]) for r in mp4_compare_media(df).collect()}
     assert got == {"fine": (3, 3, True), "wrong": (3, 3, False), "fewer": (2, 2, False), "bent": (3, 3, False), "none": (None, None, None), "null": (None, None, None), "same": (3, 0, True)}
+
+
+def test_error_details(verdicts):
+    """Limits and sizes, and the boxes around a fault with their offsets in the file."""
+    at = len(F) + len(D)
+    stbl = [f"moov@{at}", f"trak@{at + 20}", f"mdia@{at + 39}", f"minf@{at + 47}", f"stbl@{at + 55}"]
+    want = {
+        "ftyp_too_large": ("payload of 1028 bytes, at most 1024 are read", ["ftyp@0"]),
+        "moov_too_large": (f"payload of {len(M) - 8} bytes, at most {len(M) - 9} are read", [f"moov@{at}"]),
+        "moov_cut": (f"payload of {len(M) - 8} bytes, {len(M) - 9} are there", [f"moov@{at}"]),
+        "size_2": ("size 2 is less than the header's 8 bytes", ["mdat@20"]),
+        "no_stco": ("no co64 box", stbl),
+        "stco_cut": ("1 entries of 4 bytes, 0 bytes are there", [*stbl, f"stco@{at + 72}"]),
+        "child_small": ("size 4 of trak is less than its header's 8 bytes", [f"moov@{at}"]),
+        "null": ("the file has no ftyp box", None),
+    }
+    assert {n: (verdicts[n]["err"]["detail"], verdicts[n]["err"]["stack"]) for n in want} == want
+    assert all(v["ok"] or v["err"]["detail"] for v in verdicts.values())

@@ -1,5 +1,7 @@
+from uuid import UUID
+
 import pytest
-from media import bits
+from media import bits, box
 from pyspark.sql import functions as F
 
 from siftreel.functions import structs as S
@@ -55,3 +57,45 @@ def test_headers_and_sums(spark):
     assert got == [b"\0\0\0\x08moov", b"\xff" * 4 + b"mdat", b"\0\0\0\1mdat" + (2**32 + 8).to_bytes(8), b"\0\0\0\1mdat" + b"\xff" * 8, (29).to_bytes(4) + b"uuid" + bytes(range(16))]
     sums = spark.createDataFrame([(5, -6), (5, -5), (2**32 - 1, 1), (2**32 - 2, 1)], "a long, b long").select(checked_add(F.col("a"), F.col("b"), 32)).collect()
     assert [r[0] and int(r[0]) for r in sums] == [None, 0, None, 2**32 - 1]
+
+
+KIND = UUID("6f9619ff-8b86-d011-b42d-00cf4fc964ff")
+POINT = (("x", "u16"), ("y", "i8"))
+OWN = (("at", POINT), ("mode", "flags:03"), ("points", ("counted", (("p", POINT), ("pad", "zero:1")))))
+GOOD = b"\0\1\xff" + b"\2" + (2).to_bytes(4) + b"\0\5\6\0" + b"\1\0\7\0"
+
+
+@pytest.mark.parametrize("kind", [KIND, "mine", b"m\xffne", 0x6D6F6F76])
+def test_own_boxes(spark, kind):
+    code, uuid = S.box_type(kind)
+    head = code.encode("latin-1"), uuid or b""
+    whole = box(*head[:1], GOOD, uuid=head[1])
+    cases = {
+        "good": (whole, None),
+        "wide": (box(head[0], GOOD, uuid=head[1], wide=True), None),
+        "to the end": (box(head[0], GOOD, uuid=head[1], until_eof=True), None),
+        "flag": (box(head[0], GOOD.replace(b"\xff\2", b"\xff\4"), uuid=head[1]), "InvalidInput"),
+        "inner zero": (box(head[0], GOOD[:-1] + b"\1", uuid=head[1]), "InvalidInput"),
+        "short array": (box(head[0], GOOD[:-1], uuid=head[1]), "TruncatedBox"),
+        "other type": (box("else", GOOD), "InvalidInput"),
+        "cut": (whole[:-1], "TruncatedBox"),
+        "cut header": (whole[:7], "TruncatedBox"),
+        "after": (whole + b"x", "InvalidInput"),
+        "small": (box(head[0], GOOD, uuid=head[1], size=7), "InvalidInput"),
+        "null": (None, "TruncatedBox"),
+    }
+    df = spark.createDataFrame([(n, d and bytearray(d)) for n, (d, _) in cases.items()], "name string, data binary").select("name", S.decode_box(F.col("data"), kind, OWN).alias("d"))
+    for r in df.select("name", "d.code", "d.value", S.encode_box(F.col("d.value"), kind, OWN).alias("back")).collect():
+        assert r["code"] == cases[r["name"]][1], r
+        if r["code"] is None:
+            assert r["value"].asDict(True) == {"at": {"x": 1, "y": -1}, "mode": 2, "points": [{"p": {"x": 5, "y": 6}}, {"p": {"x": 256, "y": 7}}]}
+            assert bytes(r["back"]) == whole
+        else:
+            assert r["value"] is None and r["back"] is None
+
+
+def test_own_box_types():
+    with pytest.raises(ValueError):
+        S.box_type("fives")
+    with pytest.raises(ValueError):
+        S.size_of((("inner", (("a", "rest:u32"),)),))

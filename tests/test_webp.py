@@ -160,3 +160,11 @@ def test_prefix_codes():
     for bad in ({}, {0: 2}, {0: 1, 1: 1, 2: 1}):
         with pytest.raises(Fault):
             Code(bad)
+
+
+def test_error_details(verdicts):
+    """Every fault says what was found; the stack names chunks by offset, the outermost first."""
+    assert all(v["ok"] or v["err"]["detail"] for v in verdicts[0].values())
+    got = verdicts[0]["anmf_beyond_riff"]["err"]
+    assert got["stack"][0] == "RIFF@0" and got["stack"][1].startswith("ANMF@")
+    assert verdicts[0]["predictor_14"]["err"]["detail"] == "predictor 14, at most 13 are allowed"
