@@ -48,11 +48,6 @@ def be32(value: Column) -> Column:
     return F.unhex(F.lpad(F.hex(value.cast("bigint")), 8, "0"))
 
 
-def be64_hex(value: Column) -> Column:
-    """Sixteen hex digits of an unsigned 64-bit DECIMAL."""
-    return F.lpad(F.conv(value.cast(U64).cast("string"), 10, 16), 16, "0")
-
-
 def le_hex(value: Column, n: int) -> Column:
     """Hex digits of n little-endian bytes."""
     full = F.lpad(F.hex(value.cast("bigint")), 2 * n, "0")

@@ -47,7 +47,7 @@ def sanitized(
     """
     own = format_of(F.col(f"`{path}`").cast("string"), F.col(f"`{format}`") if format else None)
     rows = files.select(F.col(f"`{path}`").cast("string").alias("path"), F.col(f"`{content}`").alias("content"), own.alias("format"))
-    walked = mp4_walk(rows.where(F.col("format") == "mp4"), max_metadata_size=max_metadata_size, cumulative_mdat_box_size=cumulative_mdat_box_size, keep_content=True)
+    walked = mp4_walk(rows.where(F.col("format") == "mp4"), max_metadata_size=max_metadata_size, cumulative_mdat_box_size=cumulative_mdat_box_size, keep_content=True, every_box=False)
     mp4 = mp4_verdict(walked, max_metadata_size, keep=("content",)).where("ok")
     a, n = (F.col("span")[k].cast("decimal(20,0)") for k in ("offset", "len"))
     raw, size = F.col("content"), F.length("content")

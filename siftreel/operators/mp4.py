@@ -1,8 +1,8 @@
 """The MP4 sanitiser as columns over the box walk.
 
 Every rule is a condition on a box; the verdict is the error with the least (box, priority), found without a shuffle by
-array functions over a file's boxes. The media span, the padding or displacement and the rewritten chunk offsets are
-expressions as well.
+array functions over a file's boxes. The media span and the padding or displacement are
+expressions as well; chunk offsets are moved by the walk, in place.
 """
 
 from __future__ import annotations
@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.binary import U64, be32, be64_hex, be_u64, be_uint, repeated
-from .mp4_walk import FTYP_LIMIT, METADATA_LIMIT, U64_MAX, WALK_SQL, kernel
+from ..functions.binary import U64, be32, be_u64, be_uint, repeated
+from .mp4_walk import FTYP_LIMIT, METADATA_LIMIT, PAD_HEADER, U64_MAX, WALK_SQL, kernel
 from .session import ship
 
-#: The brand that must be among the compatible ones, and the longest padding.
-BRAND, PAD_HEADER, MOST_PAD = "69736F6D", 8, 2**32 - 1 - 8
+#: Fixed value: the brand that must be among the compatible ones.
+BRAND = "69736F6D"
 #: Padding up to this size is part of metadata; of a longer one metadata holds the header only.
 INLINE_PAD = 1 << 20
 
@@ -42,16 +42,17 @@ def shown(code: Column, uuid: Column | None = None) -> Column:
     return F.when(uuid.isNotNull(), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])).otherwise(name)
 
 
-def mp4_walk(files: DataFrame, path: str = "path", content: str = "content", max_metadata_size: int = METADATA_LIMIT, cumulative_mdat_box_size: int | None = None, keep_content: bool = False) -> DataFrame:
-    """(path, length, boxes, cut, ftyp, moov, moovs): the top-level boxes of every file, and what is needed of ftyp and moov.
+def mp4_walk(files: DataFrame, path: str = "path", content: str = "content", max_metadata_size: int = METADATA_LIMIT, cumulative_mdat_box_size: int | None = None, keep_content: bool = False, every_box: bool = True) -> DataFrame:
+    """(path, length, boxes, cut, ftyp, moov, moovs, gap, moved, outside): the top-level boxes of every file, and what is
+    needed of ftyp and moov. Chunk offsets in moov are moved already where it lies behind the media.
 
-    keep_content: the files' bytes stay as column content.
+    keep_content: the files' bytes stay as column content. every_box: boxes that no verdict needs are listed too.
     """
     ship(files.sparkSession)
     rows = files.select(F.col(f"`{path}`").cast("string").alias("path"), F.col(f"`{content}`").alias("content"))
     kept = {"path": "string"} | ({"content": "binary"} if keep_content else {})
     schema = ", ".join([*[f"{c} {t}" for c, t in kept.items()], WALK_SQL])
-    return rows.mapInArrow(kernel(list(kept), "content", max_metadata_size, cumulative_mdat_box_size), schema)
+    return rows.mapInArrow(kernel(list(kept), "content", max_metadata_size, cumulative_mdat_box_size, every_box), schema)
 
 
 def mp4_boxes(walked: DataFrame) -> DataFrame:
@@ -115,7 +116,7 @@ def _spans(walked: DataFrame) -> DataFrame:
     at = lambda ord: F.get("boxes", ord)["pos"]
     last = F.element_at("boxes", -1)
     end = F.when(F.col("stop_ord").isNotNull(), at(F.col("stop_ord"))).otherwise(F.when(last["size"].isNull(), F.col("length")).otherwise(last["pos"] + last["size"]).cast("decimal(21,0)"))
-    return out.withColumn("offset", at(F.col("mdat_ord"))).withColumn("len", F.when(F.col("mdat_ord").isNotNull(), end - F.col("offset")).cast(U64)).withColumn("moov_pos", at(F.col("moov_ord")))
+    return out.withColumn("offset", at(F.col("mdat_ord"))).withColumn("len", F.when(F.col("mdat_ord").isNotNull(), end - F.col("offset")).cast(U64))
 
 
 def _entries(t: Column) -> Column:
@@ -127,8 +128,8 @@ def _entries(t: Column) -> Column:
 def mp4_verdict(walked: DataFrame, max_metadata_size: int = METADATA_LIMIT, keep: tuple[str, ...] = ()) -> DataFrame:
     """(path, format, ok, err, metadata, span, displacement, pad_size) of every walked file.
 
-    err is null for an accepted file; its stack is empty or null where no box is at fault. metadata is null where there is nothing to change, else the new ftyp and moov, and
-    padding where it fits; span is where the media data lies. Of several moov boxes the last one counts. The walk must
+    err is null for an accepted file; its stack is empty or null where no box is at fault. metadata is null where there is
+    nothing to change, else the new ftyp and moov, and padding where it fits; span is where the media data lies. Of several moov boxes the last one counts. The walk must
     have had the same max_metadata_size. Padding may come to 4 GiB: beyond INLINE_PAD bytes metadata ends with the header
     of the free box, and pad_size - 8 zero bytes are to follow it. keep: further columns of walked to pass on.
     """
@@ -142,28 +143,17 @@ def mp4_verdict(walked: DataFrame, max_metadata_size: int = METADATA_LIMIT, keep
     placed = F.when(F.col("first").isNotNull(), F.struct(*[F.col(f"first.err.{c}").alias(c) for c in ("kind", "code", "arg", "detail")], stack.alias("stack")))
     df = df.withColumn("err", F.coalesce(placed, missing)).drop("first", "at")
     long = lambda x: x.cast("decimal(30,0)")
-    meta_len = F.length("ftyp") + 8 + F.length("moov") + 8
-    fine, change = F.col("err").isNull(), F.col("moov_pos") > F.col("offset")
-    gap = long(F.col("offset")) - long(meta_len)
-    df = df.withColumn("gap", F.when(fine & change, gap))
-    pad = F.when(F.col("gap").between(PAD_HEADER, MOST_PAD), F.col("gap")).otherwise(F.lit(0))
-    moved = F.when((F.col("gap") == 0) | F.col("gap").between(PAD_HEADER, MOST_PAD), F.lit(0)).otherwise(-F.col("gap"))
-    df = df.withColumns({"pad": pad, "moved": F.when(F.col("gap").isNotNull(), moved)})
-    tables = F.element_at("moovs", -1)["tables"]
-    df = df.withColumn("tables", F.when(F.col("gap").isNotNull(), F.transform(tables, lambda t: F.struct(t["at"].alias("at"), t["n"].alias("n"), t["width"].alias("width"), _entries(t).alias("old")))))
-    new = F.transform("tables", lambda t: F.struct(t["at"].alias("at"), t["n"].alias("n"), t["width"].alias("width"), F.transform(t["old"], lambda e: long(e) + F.col("moved")).alias("new")))
-    df = df.withColumn("tables", new)
-    top = lambda t: F.when(t["width"] == 4, F.lit(2**32 - 1)).otherwise(F.lit(str(U64_MAX)).cast(U64))
-    outside = F.exists("tables", lambda t: F.exists(t["new"], lambda e: (e < 0) | (e > top(t))))
+    fine = F.col("err").isNull()
+    # The walk has moved the offsets of every file whose moov lies behind its media; a faulty file's are not used.
+    df = df.withColumns({"gap": F.when(fine, long(F.col("gap"))), "moved": F.when(fine, long(F.col("moved")))})
+    df = df.withColumn("pad", F.when(F.col("moved") == 0, F.col("gap")).otherwise(F.lit(0)))
     far = ~F.col("moved").between(-(2**31) + 1, 2**31 - 1)
-    late = F.when(F.col("moved") != 0, F.when(far, _err("UnsupportedBoxLayout", detail=_say("chunk offsets would move by ", F.col("moved"), ", which 32 bits do not hold"))).when(outside, _err("InvalidInput", detail=_say("a chunk offset that moves by ", F.col("moved"), " leaves its field"))))
+    late = F.when(F.col("moved") != 0, F.when(far, _err("UnsupportedBoxLayout", detail=_say("chunk offsets would move by ", F.col("moved"), ", which 32 bits do not hold"))).when(F.col("outside"), _err("InvalidInput", detail=_say("a chunk offset that moves by ", F.col("moved"), " leaves its field"))))
     df = df.withColumn("err", F.coalesce("err", late))
     fine = F.col("err").isNull()
-    bytes_of = lambda t: F.unhex(F.array_join(F.transform(t["new"], lambda e: F.when(t["width"] == 4, F.lpad(F.hex(e.cast("bigint")), 8, "0")).otherwise(be64_hex(e))), ""))
-    moov = F.when(F.col("moved") == 0, F.col("moov")).otherwise(F.aggregate(F.filter("tables", lambda t: t["n"] > 0), F.col("moov"), lambda m, t: F.overlay(m, bytes_of(t), t["at"] + 1, t["n"] * t["width"])))
     free = F.when(F.col("pad") > 0, F.concat(be32(F.col("pad")), F.encode(F.lit("free"), "ISO-8859-1"), repeated(0, F.when(F.col("pad") <= INLINE_PAD, F.col("pad") - PAD_HEADER).otherwise(F.lit(0))))).otherwise(F.lit(b""))
     box = lambda name, data: F.concat(be32(F.length(data) + 8), F.encode(F.lit(name), "ISO-8859-1"), data)
-    metadata = F.when(fine & F.col("gap").isNotNull(), F.concat(box("ftyp", F.col("ftyp")), box("moov", moov), free))
+    metadata = F.when(fine & F.col("gap").isNotNull(), F.concat(box("ftyp", F.col("ftyp")), box("moov", F.col("moov")), free))
     span = F.when(fine, F.struct(F.col("offset").cast(U64).alias("offset"), F.col("len").alias("len")))
     # A filter over these columns would be pushed down through every step above, each of which is used several times, and
     # grow without bound. What isn't deterministic stays where it is.
@@ -177,7 +167,7 @@ def mp4_verdict(walked: DataFrame, max_metadata_size: int = METADATA_LIMIT, keep
 
 def mp4_sanitize(files: DataFrame, path: str = "path", content: str = "content", max_metadata_size: int = METADATA_LIMIT, cumulative_mdat_box_size: int | None = None) -> DataFrame:
     """mp4_verdict of files given as (path, content)."""
-    return mp4_verdict(mp4_walk(files, path, content, max_metadata_size, cumulative_mdat_box_size), max_metadata_size)
+    return mp4_verdict(mp4_walk(files, path, content, max_metadata_size, cumulative_mdat_box_size, every_box=False), max_metadata_size)
 
 
 def mp4_track_stats(walked: DataFrame) -> DataFrame:

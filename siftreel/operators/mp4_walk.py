@@ -2,7 +2,7 @@
 
 Only headers, the first ftyp's payload and moov payloads are read; everything else is skipped, so a file that is much
 larger than memory can be walked. The walk decides nothing: where it can't go on it stops, and the rules over its result
-(operators.mp4) say why.
+(operators.mp4) say why. Chunk offsets are moved in place in the moov payload, so a moov of any size takes its own bytes.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from decimal import Decimal
 from io import BytesIO
 from typing import BinaryIO, NamedTuple
 
+import numpy as np
 import pyarrow as pa
 
 U64_MAX = 2**64 - 1
@@ -143,10 +144,34 @@ def tables(moov: bytes, trail: list[str] | None = None, file_at: int = 0) -> lis
     return out
 
 
-def walk(f: BinaryIO, length: int, limit: int = METADATA_LIMIT, mdat_size: int | None = None) -> dict:
-    """Boxes of the file's top level, whether a last header is cut, the ftyp's payload, and what each moov holds."""
+#: Bytes of a free box's header, and the longest padding.
+PAD_HEADER, MOST_PAD = 8, 2**32 - 1 - 8
+#: Boxes that are skipped anywhere; the first two even before ftyp.
+SKIPPED = (b"free", b"skip", b"meta", b"meco")
+
+
+def walk(f: BinaryIO, length: int, limit: int = METADATA_LIMIT, mdat_size: int | None = None, every: bool = True) -> dict:
+    """Boxes of the file's top level, whether a last header is cut, the ftyp's payload, and what each moov holds.
+
+    every: list all boxes; else those that break no rule and bound nothing are left out once another follows, and the walk
+    ends with the first that breaks one, so a file of millions of small boxes takes no memory. No verdict changes.
+    """
     boxes: list[Box] = []
     ftyp, moov, moovs, pos, cut = None, None, [], 0, False
+    first_mdat = stop = None
+
+    def silent(last: Box, box: Box) -> bool:
+        if last.type == b"mdat":
+            return last.ord != first_mdat
+        return last.type in SKIPPED or last.type == box.type == b"moov" and last.ord != stop
+
+    def wrong(box: Box) -> bool:
+        if box.type == b"ftyp":
+            return ftyp is None or any(b.type == b"ftyp" for b in boxes[:-1])
+        if ftyp is None and box.type not in SKIPPED[:2] or box.type not in (*SKIPPED, b"mdat", b"moov"):
+            return True
+        return stop is not None if box.type == b"mdat" else box.type == b"moov" and (not moovs or moovs[-1]["ord"] != box.ord or moovs[-1]["code"] is not None)
+
     while pos < length:
         f.seek(pos)
         try:
@@ -154,9 +179,18 @@ def walk(f: BinaryIO, length: int, limit: int = METADATA_LIMIT, mdat_size: int |
         except Invalid:
             cut = True
             break
+        if not every:
+            while boxes and silent(boxes[-1], box):
+                if boxes.pop().type == b"moov":
+                    moovs.pop()
+            box = box._replace(ord=len(boxes))
         if box.type == b"mdat" and box.size is None and mdat_size is not None:
             box = box._replace(size=mdat_size, kind="u32")
         boxes.append(box)
+        if box.type == b"mdat" and first_mdat is None:
+            first_mdat = box.ord
+        if box.type == b"moov" and first_mdat is not None and stop is None:
+            stop = box.ord
         if box.size is not None and box.size < box.header_len:
             break
         end = length if box.size is None else pos + box.size
@@ -176,23 +210,50 @@ def walk(f: BinaryIO, length: int, limit: int = METADATA_LIMIT, mdat_size: int |
                 found, fault = [], e
             why = {"code": fault and fault.code, "arg": fault and fault.arg, "detail": fault and fault.detail, "stack": fault and trail}
             moovs.append({"ord": box.ord, **why, "tables": [{"at": a, "n": k, "width": w} for a, k, w in found]})
+        if not every and wrong(box):
+            break
         pos = end
     return {"length": length, "boxes": boxes, "cut": cut, "ftyp": ftyp, "moov": moov, "moovs": moovs}
 
 
+def moved(w: dict) -> dict:
+    """A walk with what the rewriting of its metadata takes, where moov lies behind the media: gap, the bytes between new
+    metadata and media; moved, by how much chunk offsets change; outside, whether one then leaves its field; and moov with
+    the offsets moved. The first three are null and moov is as it was where nothing is to be rewritten."""
+    out = w | {"gap": None, "moved": None, "outside": None}
+    media = next((b for b in w["boxes"] if b.type == b"mdat"), None)
+    last = next((b for b in reversed(w["boxes"]) if b.type == b"moov"), None)
+    if media is None or last is None or last.pos < media.pos or w["ftyp"] is None or not w["moovs"] or w["moovs"][-1]["ord"] != last.ord or w["moovs"][-1]["code"] is not None:
+        return out
+    gap = media.pos - (len(w["ftyp"]) + 8 + len(w["moov"]) + 8)
+    by = 0 if gap == 0 or PAD_HEADER <= gap <= MOST_PAD else -gap
+    out |= {"gap": gap, "moved": by, "outside": False}
+    if not by or abs(by) >= 1 << 31:
+        return out
+    raw = bytearray(w["moov"])
+    moov = np.frombuffer(raw, np.uint8)
+    for t in w["moovs"][-1]["tables"]:
+        if t["n"]:
+            entries, top = moov[t["at"] : t["at"] + t["n"] * t["width"]].view(f">u{t['width']}"), 2 ** (8 * t["width"]) - 1
+            out["outside"] |= int(entries.min()) + by < 0 or int(entries.max()) + by > top
+            entries += np.array(by & top, entries.dtype)  # modulo the field's size
+    return out | {"moov": raw}
+
+
 BOX_SQL = "struct<ord int, pos decimal(20,0), header_len int, size decimal(20,0), kind string, type string, uuid binary>"
 WALK_SQL = (
-    f"length decimal(20,0), boxes array<{BOX_SQL}>, cut boolean, ftyp binary, moov binary, moovs array<struct<ord int, code string, arg string, detail string, stack array<string>, tables array<struct<at int, n int, width int>>>>"
+    f"length decimal(20,0), boxes array<{BOX_SQL}>, cut boolean, ftyp binary, moov binary, moovs array<struct<ord int, code string, arg string, detail string, stack array<string>, tables array<struct<at int, n int, width int>>>>, gap decimal(20,0), moved decimal(20,0), outside boolean"
 )
 _BOX = pa.struct([("ord", pa.int32()), ("pos", pa.decimal128(20)), ("header_len", pa.int32()), ("size", pa.decimal128(20)), ("kind", pa.string()), ("type", pa.string()), ("uuid", pa.binary())])
 _MOOV = pa.struct([("ord", pa.int32()), ("code", pa.string()), ("arg", pa.string()), ("detail", pa.string()), ("stack", pa.list_(pa.string())), ("tables", pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("width", pa.int32())])))])
-_TYPES = {"length": pa.decimal128(20), "boxes": pa.list_(_BOX), "cut": pa.bool_(), "ftyp": pa.binary(), "moov": pa.binary(), "moovs": pa.list_(_MOOV)}
+_TYPES = {"length": pa.decimal128(20), "boxes": pa.list_(_BOX), "cut": pa.bool_(), "ftyp": pa.binary(), "moov": pa.binary(), "moovs": pa.list_(_MOOV), "gap": pa.decimal128(20), "moved": pa.decimal128(20), "outside": pa.bool_()}
 
 
 def plain(w: dict) -> dict:
     """A walk as nested dictionaries of values that Spark takes for WALK_SQL."""
     boxes = [b._asdict() | {"pos": Decimal(b.pos), "size": None if b.size is None else Decimal(b.size), "type": b.type.decode("latin-1")} for b in w["boxes"]]
-    return w | {"length": Decimal(w["length"]), "boxes": boxes}
+    numbers = {c: None if w[c] is None else Decimal(w[c]) for c in ("length", "gap", "moved") if c in w}
+    return w | numbers | {"boxes": boxes, "moov": None if w["moov"] is None else bytes(w["moov"])}
 
 
 def _decimals(x: list[int | None]) -> pa.Array:
@@ -211,22 +272,23 @@ def columns(walks: list[dict]) -> list[pa.Array]:
     ord, pos, header_len, size, kind, code, uuid = (list(x) for x in zip(*boxes, strict=True)) if boxes else ([] for _ in range(7))
     fields = [pa.array(ord, pa.int32()), _decimals(pos), pa.array(header_len, pa.int32()), _decimals(size), pa.array(kind, pa.string()), pa.array([c.decode("latin-1") for c in code], pa.string()), pa.array(uuid, pa.binary())]
     listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_BOX)))
-    return [_decimals([w["length"] for w in walks]), listed, *[pa.array([w[c] for w in walks], _TYPES[c]) for c in ("cut", "ftyp", "moov", "moovs")]]
+    rest = {c: _decimals([w[c] for w in walks]) if _TYPES[c] == pa.decimal128(20) else pa.array([w[c] for w in walks], _TYPES[c]) for c in _TYPES if c != "boxes"}
+    return [listed if c == "boxes" else rest[c] for c in _TYPES]
 
 
 #: Files and bytes of metadata that go out together.
 FILES, BYTES = 1_000, 16 << 20
 
 
-def kernel(kept: list[str], content: str, limit: int, mdat_size: int | None):
-    """A mapInArrow kernel: the kept columns as they are, and the walk's. A null content is an empty file."""
+def kernel(kept: list[str], content: str, limit: int, mdat_size: int | None, every: bool = True):
+    """A mapInArrow kernel: the kept columns as they are, and those of moved(walk). A null content is an empty file."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             start, walks, held = 0, [], 0
             for k in range(b.num_rows):
                 raw = b[content][k].as_py() or b""
-                walks.append(walk(BytesIO(raw), len(raw), limit, mdat_size))
+                walks.append(moved(walk(BytesIO(raw), len(raw), limit, mdat_size, every)))
                 held += len(walks[-1]["moov"] or b"") + ("content" in kept) * len(raw)
                 if len(walks) == FILES or held > BYTES or k == b.num_rows - 1:
                     part = b.slice(start, len(walks))

@@ -1,7 +1,11 @@
+from io import BytesIO
+
+import numpy as np
 import pytest
 from media import box, co, ftyp, moov
 
-from siftreel.operators.mp4 import mp4_boxes, mp4_chunk_offsets, mp4_sanitize, mp4_track_stats, mp4_walk, mp4_zeroed
+from siftreel.operators.mp4 import mp4_boxes, mp4_chunk_offsets, mp4_sanitize, mp4_track_stats, mp4_verdict, mp4_walk, mp4_zeroed
+from siftreel.operators.mp4_walk import METADATA_LIMIT, moved, walk
 
 F, M, D = ftyp(), moov(co([])), box("mdat", b"\xba\xdc\x0f\xfe\xbe\xef")
 BIG = 2**64 - 1
@@ -176,3 +180,43 @@ def test_error_details(verdicts):
     }
     assert {n: (verdicts[n]["err"]["detail"], verdicts[n]["err"]["stack"]) for n in want} == want
     assert all(v["ok"] or v["err"]["detail"] for v in verdicts.values())
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_left_out_boxes_change_nothing(name):
+    """The walk that leaves out silent boxes keeps what decides: the first fault, first mdat, the ends of the span, the last moov."""
+    content, options, _ = CASES[name]
+    args = BytesIO(content or b""), len(content or b""), options.get("max_metadata_size", METADATA_LIMIT), options.get("cumulative_mdat_box_size")
+    every, few = moved(walk(*args)), moved(walk(*args, every=False))
+    listed = [b._replace(ord=0) for b in every["boxes"]]
+    assert [b for b in listed if b in [x._replace(ord=0) for x in few["boxes"]]] == [b._replace(ord=0) for b in few["boxes"]]
+    assert [b.ord for b in few["boxes"]] == list(range(len(few["boxes"])))
+
+
+def test_verdicts_of_either_walk(spark, verdicts):
+    """Verdicts over all boxes equal those over the boxes that matter."""
+    for options in {tuple(sorted(o.items())) for _, o, _ in CASES.values()}:
+        rows = [(n, bytearray(c) if c is not None else None) for n, (c, o, _) in CASES.items() if tuple(sorted(o.items())) == options]
+        o = dict(options)
+        for r in mp4_verdict(mp4_walk(spark.createDataFrame(rows, "path string, content binary"), **o), o.get("max_metadata_size", METADATA_LIMIT)).collect():
+            assert r == verdicts[r["path"]]
+
+
+def test_millions_of_boxes():
+    """A long run of small boxes of any kind that may repeat stays short, and faults end the walk."""
+    run = (box("free") + box("mdat") + box("meta") + box("skip")) * 20_000
+    w = moved(walk(*(lambda c: (BytesIO(c), len(c)))(F + D + run + M * 1_000), every=False))
+    assert len(w["boxes"]) == 4 and [b.type for b in w["boxes"]] == [b"ftyp", b"mdat", b"moov", b"moov"] and len(w["moovs"]) == 2
+    bad = F + D + M + box("uuid", uuid=bytes(16)) * 1_000
+    assert len(walk(BytesIO(bad), len(bad), every=False)["boxes"]) == 4
+
+
+def test_many_offsets():
+    """Offsets of both widths move in place, as plain integers do."""
+    small, wide = [10**6 + k for k in range(50_000)], [2**40 + k for k in range(50_000)]
+    c = F + D + box("moov", b"".join(box("trak", box("mdia", box("minf", box("stbl", t)))) for t in (co(small), co(wide, 8), co([]))))
+    w = moved(walk(BytesIO(c), len(c)))
+    size = len(w["moov"]) + 8
+    assert (w["gap"], w["moved"], w["outside"]) == (-size, size, False)
+    got = [np.frombuffer(w["moov"], f">u{t['width']}", t["n"], t["at"]).tolist() for t in w["moovs"][-1]["tables"]]
+    assert got == [[e + size for e in x] for x in (small, wide, [])]
