@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binary import U64, be32, be_u64, be_uint, repeated
-from .mp4_walk import FTYP_LIMIT, METADATA_LIMIT, PAD_HEADER, U64_MAX, WALK_SQL, kernel
+from .mp4_walk import FTYP_LIMIT, METADATA_LIMIT, PAD_HEADER, U64_MAX, WALK_SQL, WALK_TYPES, kernel, zero_kernel
 from .session import ship
 
 #: Fixed value: the brand that must be among the compatible ones.
@@ -42,17 +42,18 @@ def shown(code: Column, uuid: Column | None = None) -> Column:
     return F.when(uuid.isNotNull(), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])).otherwise(name)
 
 
-def mp4_walk(files: DataFrame, path: str = "path", content: str = "content", max_metadata_size: int = METADATA_LIMIT, cumulative_mdat_box_size: int | None = None, keep_content: bool = False, every_box: bool = True) -> DataFrame:
+def mp4_walk(files: DataFrame, path: str = "path", content: str = "content", max_metadata_size: int = METADATA_LIMIT, cumulative_mdat_box_size: int | None = None, keep_content: bool = False, every_box: bool = True, only: tuple[str, ...] | None = None) -> DataFrame:
     """(path, length, boxes, cut, ftyp, moov, moovs, gap, moved, outside): the top-level boxes of every file, and what is
     needed of ftyp and moov. Chunk offsets in moov are moved already where it lies behind the media.
 
-    keep_content: the files' bytes stay as column content. every_box: boxes that no verdict needs are listed too.
+    keep_content: the files' bytes stay as column content. every_box: boxes that no verdict needs are listed too. only: the
+    columns after path that are made; moov is gone into only for those that need it.
     """
     ship(files.sparkSession)
     rows = files.select(F.col(f"`{path}`").cast("string").alias("path"), F.col(f"`{content}`").alias("content"))
     kept = {"path": "string"} | ({"content": "binary"} if keep_content else {})
-    schema = ", ".join([*[f"{c} {t}" for c, t in kept.items()], WALK_SQL])
-    return rows.mapInArrow(kernel(list(kept), "content", max_metadata_size, cumulative_mdat_box_size, every_box), schema)
+    schema = ", ".join([*[f"{c} {t}" for c, t in kept.items()], WALK_SQL if only is None else ", ".join(f"{c} {WALK_TYPES[c]}" for c in only)])
+    return rows.mapInArrow(kernel(list(kept), "content", max_metadata_size, cumulative_mdat_box_size, every_box, None if only is None else list(only)), schema)
 
 
 def mp4_boxes(walked: DataFrame) -> DataFrame:
@@ -185,8 +186,6 @@ def mp4_chunk_offsets(verdicts: DataFrame, max_metadata_size: int = METADATA_LIM
 
 def mp4_zeroed(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """(path, content): every box kept, mdat payloads replaced by as many zero bytes."""
-    walked = mp4_walk(files, path, content, keep_content=True)
-    lens = lambda b: F.least(F.coalesce(b["size"], F.col("length") - b["pos"]), F.col("length") - b["pos"]).cast("int")
-    whole = lambda b: F.substring(F.col("content"), b["pos"].cast("int") + 1, lens(b))
-    zero = lambda b: F.concat(F.substring(F.col("content"), b["pos"].cast("int") + 1, b["header_len"]), repeated(0, lens(b) - b["header_len"]))
-    return walked.select("path", F.aggregate(F.transform("boxes", lambda b: F.when(b["type"] == "mdat", zero(b)).otherwise(whole(b))), F.lit(b""), lambda a, x: F.concat(a, x)).alias("content"))
+    ship(files.sparkSession)
+    rows = files.select(F.col(f"`{path}`").cast("string").alias("path"), F.col(f"`{content}`").alias("content"))
+    return rows.mapInArrow(zero_kernel, "path string, content binary")

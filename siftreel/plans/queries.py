@@ -39,7 +39,7 @@ def _verdicts(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 
 
 def mp4_box_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes = mp4.mp4_boxes(mp4.mp4_walk(mp4_fixtures(spark, sf_dir)))
+    boxes = mp4.mp4_boxes(mp4.mp4_walk(mp4_fixtures(spark, sf_dir), only=("boxes",)))
     return boxes.select(_key(), "ord", F.col("pos").cast("bigint").alias("pos"), F.col("size").cast("bigint").alias("size"), "header_len", "kind", "type")
 
 
@@ -103,7 +103,7 @@ def mp4_track_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mp4_media_zeroed(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = mp4.mp4_zeroed(mp4_fixtures(spark, sf_dir))
-    boxes = mp4.mp4_walk(files, keep_content=True)
+    boxes = mp4.mp4_walk(files, keep_content=True, only=("length", "boxes"))
     media = lambda b: F.hex(F.substring(F.col("content"), b["pos"].cast("int") + 9, F.coalesce(b["size"], F.col("length") - b["pos"]).cast("int") - 8))
     none = F.forall(F.filter("boxes", lambda b: b["type"] == "mdat"), lambda b: media(b).rlike("^(00)+$"))
     return boxes.select(_key(), F.length("content").cast("bigint").alias("n_bytes"), none.alias("no_media"))

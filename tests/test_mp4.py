@@ -1,9 +1,11 @@
 from io import BytesIO
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from media import box, co, ftyp, moov
 
+from siftreel.operators import mp4_walk as mp4_walk_module
 from siftreel.operators.mp4 import mp4_boxes, mp4_chunk_offsets, mp4_sanitize, mp4_track_stats, mp4_verdict, mp4_walk, mp4_zeroed
 from siftreel.operators.mp4_walk import METADATA_LIMIT, moved, walk
 
@@ -220,3 +222,40 @@ def test_many_offsets():
     assert (w["gap"], w["moved"], w["outside"]) == (-size, size, False)
     got = [np.frombuffer(w["moov"], f">u{t['width']}", t["n"], t["at"]).tolist() for t in w["moovs"][-1]["tables"]]
     assert got == [[e + size for e in x] for x in (small, wide, [])]
+
+
+def _run(kernel, *contents):
+    return [r for b in kernel(iter([pa.RecordBatch.from_pydict({"path": [str(k) for k in range(len(contents))], "content": list(contents)})])) for r in b.to_pylist()]
+
+
+def test_zeroed_in_one_pass(monkeypatch):
+    """Media is zeroed where the boxes are walked, without going into moov; boxes that are cut or too small stay as they are."""
+    monkeypatch.setattr(mp4_walk_module, "tables", lambda *a: pytest.fail("moov was gone into"))
+    cut, small = box("mdat", b"123456", size=50), box("mdat", b"", size=5)
+    files = (F + D + M + b"\0\0\0", F + M + box("mdat", b"12", until_eof=True), F + cut, F + small, None)
+    want = [F + box("mdat", bytes(6)) + M, F + M + box("mdat", bytes(2), until_eof=True), F + box("mdat", bytes(6), size=50), F + small, b""]
+    assert [r["content"] for r in _run(mp4_walk_module.zero_kernel, *files)] == want
+
+
+def test_only_the_columns_asked_for(monkeypatch):
+    """A walk for some columns makes the same ones, and goes into moov only for those that need it."""
+    files = [c for c, o, _ in CASES.values() if not o]
+    everything = _run(mp4_walk_module.kernel(["path"], "content", METADATA_LIMIT, None), *files)
+    for only in (["moovs"], ["length", "boxes"], ["ftyp"], ["cut", "moov"], ["gap", "outside"]):
+        got = _run(mp4_walk_module.kernel(["path"], "content", METADATA_LIMIT, None, True, only), *files)
+        assert got == [{c: r[c] for c in ("path", *only)} for r in everything]
+    monkeypatch.setattr(mp4_walk_module, "tables", lambda *a: pytest.fail("moov was gone into"))
+    assert len(_run(mp4_walk_module.kernel(["path"], "content", METADATA_LIMIT, None, True, ["ftyp"]), *files)) == len(files)
+
+
+@pytest.mark.parametrize("width", (4, 8))
+def test_few_offsets_move_as_many_do(width, monkeypatch):
+    """One by one or as an array, also where some leave their field."""
+    found = {}
+    for most in (0, 64):
+        monkeypatch.setattr(mp4_walk_module, "SMALL", most)
+        for k, entries in enumerate(([5, 700], [2 ** (8 * width) - 3, 1], [2 ** (8 * width) - 1] * 64)):
+            c = F + D + moov(co(entries, width))
+            w = moved(walk(BytesIO(c), len(c)))
+            assert found.setdefault(k, (bytes(w["moov"]), w["outside"])) == (bytes(w["moov"]), w["outside"])
+    assert [x[1] for x in found.values()] == [False, True, True]
