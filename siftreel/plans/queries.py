@@ -110,7 +110,7 @@ def mp4_media_zeroed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mp4_ftyp_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    walked = mp4.mp4_walk(mp4_fixtures(spark, sf_dir)).where("ftyp is not null").select("path", decode(F.col("ftyp"), FTYP).alias("d"))
+    walked = mp4.mp4_walk(mp4_fixtures(spark, sf_dir), only=("ftyp",)).where("ftyp is not null").select("path", decode(F.col("ftyp"), FTYP).alias("d"))
     v = F.col("d.value")
     return walked.select(_key(), v["major_brand"].alias("major_brand"), v["minor_version"].alias("minor_version"), F.array_join(v["compatible_brands"], ",").alias("brands"), F.lower(F.hex(encode(v, FTYP))).alias("encoded"))
 
