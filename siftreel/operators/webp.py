@@ -15,6 +15,10 @@ from .session import ship
 from .vp8l import Fault, check_image
 
 
+#: Rows of chunks that go out together, with those of the file that reaches the number.
+CHUNKS = 10_000
+
+
 def webp_sanitize(files: DataFrame, path: str = "path", content: str = "content", allow_unknown_chunks: bool = False, keep_content: bool = False) -> DataFrame:
     """(path, format, ok, err, metadata, span, displacement, pad_size): the MP4 verdict's columns, the last four null.
 
@@ -40,11 +44,18 @@ def webp_chunks(files: DataFrame, path: str = "path", content: str = "content",
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
+            log: list[dict] = []
+            of, ords, data = [], [], b["content"]
             for k in range(b.num_rows):
-                log: list[dict] = []
-                webp_walk.verdict(b["content"][k].as_py(), allow_unknown_chunks, log)
-                cols = [pa.array([x[c] for x in log], t) for c, t in (("depth", pa.int32()), ("pos", pa.int64()), ("name", pa.string()), ("len", pa.int64()))]
-                yield pa.RecordBatch.from_arrays([pa.array([b["path"][k].as_py()] * len(log), pa.string()), pa.array(range(len(log)), pa.int32()), *cols], ["path", "ord", "depth", "pos", "name", "len"])
+                before = len(log)
+                webp_walk.verdict(data[k].as_py(), allow_unknown_chunks, log)
+                of += [k] * (len(log) - before)
+                ords += range(len(log) - before)
+                if len(log) >= CHUNKS or k == b.num_rows - 1:
+                    cols = [pa.array([x[c] for x in log], t) for c, t in (("depth", pa.int32()), ("pos", pa.int64()), ("name", pa.string()), ("len", pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([b["path"].take(pa.array(of, pa.int64())), pa.array(ords, pa.int32()), *cols], ["path", "ord", "depth", "pos", "name", "len"])
+                    of, ords = [], []
+                    log.clear()
 
     rows = files.select(F.col(f"`{path}`").cast("string").alias("path"), F.col(f"`{content}`").alias("content"))
     return rows.mapInArrow(run, "path string, ord int, depth int, pos long, name string, len long")

@@ -71,7 +71,8 @@ def mp4_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def webp_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(p_partkey, layout, path, content)."""
-    df = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size").withColumn("layout", (F.col("p_partkey") % 17).cast("int"))
+    # Parts are a few bytes each, so their table has fewer splits than the files made of it need tasks.
+    df = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size").repartition("p_partkey").withColumn("layout", (F.col("p_partkey") % 17).cast("int"))
     w, h = F.col("p_size") - 1, F.col("p_partkey") % 16  # stored minus one
     chunk = lambda name, hexed, n: F.concat(F.lit(_code(name.ljust(4)) + n.to_bytes(4, "little").hex().upper()), hexed)
     image = lambda version=0: chunk("VP8L", F.concat(F.lit("2F"), le_hex(w + h * 16384 + version * 2**29, 4), F.lit("888808")), 8)

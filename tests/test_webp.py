@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -168,3 +169,14 @@ def test_error_details(verdicts):
     got = verdicts[0]["anmf_beyond_riff"]["err"]
     assert got["stack"][0] == "RIFF@0" and got["stack"][1].startswith("ANMF@")
     assert verdicts[0]["predictor_14"]["err"]["detail"] == "predictor 14, at most 13 are allowed"
+
+
+def test_chunks_of_many_files_go_out_together(spark, monkeypatch):
+    """One batch for many files, not one for each; ords start again with each file."""
+    files = spark.createDataFrame([(str(k), bytearray(riff(VP8L))) for k in range(300)] + [("none", None)], "path string, content binary").coalesce(1)
+    assert sorted((r["path"], r["ord"], r["name"]) for r in webp_chunks(files).collect()) == sorted((str(k), *x) for k in range(300) for x in ((0, "RIFF"), (1, "VP8L")))
+    seen = []
+    monkeypatch.setattr(type(files), "mapInArrow", lambda self, run, schema: seen.append(run) or self)
+    webp_chunks(files)
+    got = [b.num_rows for b in seen[0](iter([pa.RecordBatch.from_pydict({"path": ["a", "b", "c", None], "content": [riff(VP8L)] * 2 + [None, riff(VP8)]})]))]
+    assert got == [6]
