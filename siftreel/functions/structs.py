@@ -89,13 +89,22 @@ def _part(data: Column, pos: Column, kind: Kind, big: bool) -> tuple[list[Column
     return [], _value(data, pos, kind, big)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used. What it gives is never computed anew either: as it
+    isn't a plain struct, Spark doesn't copy it to each place that takes a field of it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def decode(data: Column, fields: Fields, big: bool = True, truncated: str = "TruncatedBox") -> Column:
     """Struct(code, value): value is a struct of the fields, or null with the code of the first fault.
 
     A field that is cut by the end gives `truncated`; a constant, reserved byte or flag that doesn't fit, and bytes after
     the last field, give InvalidInput. Null data counts as empty.
     """
-    data = F.coalesce(data, F.lit(b""))
+    return _let(F.coalesce(data, F.lit(b"")), lambda d: _decoded(d, fields, big, truncated))
+
+
+def _decoded(data: Column, fields: Fields, big: bool, truncated: str) -> Column:
     faults, values, at = [], [], 1
     for name, kind in fields:
         n, pos = size_of(kind), F.lit(at)
@@ -119,14 +128,13 @@ def decode(data: Column, fields: Fields, big: bool = True, truncated: str = "Tru
         at += n
     else:
         faults.append(F.when(F.length(data) > at - 1, "InvalidInput"))
-    code = F.coalesce(*faults)
     value = F.struct(*values) if values else F.struct(F.lit(True).alias("ok"))
-    return F.struct(code.alias("code"), F.when(code.isNull(), value).alias("value"))
+    return _let(F.coalesce(*faults), lambda code: F.struct(code.alias("code"), F.when(code.isNull(), value).alias("value")))
 
 
-def _number(v: Column, n: int, big: bool) -> Column:
+def _number(v: Column, n: int, big: bool, signed: bool = False) -> Column:
     """Hex of n bytes of a number; negative ones in two's complement."""
-    digits = F.conv(v.cast("decimal(20,0)").cast("string"), 10, 16)
+    digits = F.conv(v.cast("decimal(20,0)").cast("string"), 10, 16) if n > 7 and not signed else F.hex(v.cast("bigint"))
     full = F.right(F.lpad(digits, 16, "0"), F.lit(2 * n))
     return full if big else F.concat(*[F.substring(full, 2 * k + 1, 2) for k in reversed(range(n))])
 
@@ -143,7 +151,7 @@ def _hex(v: Column, kind: Kind, big: bool) -> Column:
         return F.hex(F.encode(F.rpad(v, 4, " "), "ISO-8859-1"))
     if kind.startswith("bytes:"):
         return F.hex(v)
-    return _number(v - 1 if kind == "one24" else v, size_of(kind), big)
+    return _number(v - 1 if kind == "one24" else v, size_of(kind), big, kind[0] == "i")
 
 
 def _each(kind: Kind, big: bool) -> Callable[[Column], Column]:
@@ -199,7 +207,11 @@ def decode_box(data: Column, kind: int | str | bytes | UUID, fields: Fields) ->
     Cut headers and payloads give TruncatedBox; another type, a size below the header's and bytes after the box give
     InvalidInput. A size of zero reaches to the end.
     """
-    data, (code, uuid) = F.coalesce(data, F.lit(b"")), box_type(kind)
+    return _let(F.coalesce(data, F.lit(b"")), lambda d: _decoded_box(d, kind, fields))
+
+
+def _decoded_box(data: Column, kind: int | str | bytes | UUID, fields: Fields) -> Column:
+    code, uuid = box_type(kind)
     wide = be_uint(data, 1, 4) == 1
     head = F.when(wide, 16).otherwise(8) + F.lit(0 if uuid is None else 16)
     there = F.length(data)
@@ -209,7 +221,8 @@ def decode_box(data: Column, kind: int | str | bytes | UUID, fields: Fields) ->
         same = same & (F.substring(data, head - 15, F.lit(16)) == F.lit(uuid))
     fault = F.when(there < 8, "TruncatedBox").when(fourcc(data, F.lit(5)) != code, "InvalidInput").when(there < head, "TruncatedBox").when(~same | (size < head), "InvalidInput").when(size > there, "TruncatedBox").when(size < there, "InvalidInput")
     inner = decode(F.substring(data, head + 1, F.greatest(there - head, F.lit(0))), fields)
-    return F.struct(F.coalesce(fault, inner["code"]).alias("code"), F.when(fault.isNull(), inner["value"]).alias("value"))
+    both = F.struct(fault.alias("fault"), inner.alias("inner"))
+    return _let(both, lambda b: F.struct(F.coalesce(b["fault"], b["inner"]["code"]).alias("code"), F.when(b["fault"].isNull(), b["inner"]["value"]).alias("value")))
 
 
 def checked_add(value: Column, by: Column, bits: int) -> Column:

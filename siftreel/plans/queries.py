@@ -63,7 +63,7 @@ def webp_error_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mp4_user_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A box type of a user's own: each order's line items as an array of structures below a UUID, written and read."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.struct(F.struct(F.col("l_linenumber").cast("long").alias("line"), F.col("l_suppkey").cast("long").alias("supplier")).alias("key"), F.col("l_partkey").cast("long").alias("part")).alias("item"))
-    value = F.struct(F.lit("item").alias("brand"), F.array_sort(F.collect_list("item")).alias("items"))
+    value = F.struct(F.lit("item").alias("brand"), F.sort_array(F.collect_list("item")).alias("items"))
     boxes = items.groupBy("l_orderkey").agg(value.alias("value")).select("l_orderkey", encode_box(F.col("value"), USER_TYPE, USER_BOX).alias("data"))
     back = boxes.select("l_orderkey", F.length("data").cast("bigint").alias("n_bytes"), F.lower(F.hex(F.substring("data", 1, 40))).alias("head"), decode_box(F.col("data"), USER_TYPE, USER_BOX).alias("d"))
     total = lambda get: F.aggregate("d.value.items", F.lit(0).cast("bigint"), lambda a, i: a + get(i))

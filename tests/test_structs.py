@@ -99,3 +99,22 @@ def test_own_box_types():
         S.box_type("fives")
     with pytest.raises(ValueError):
         S.size_of((("inner", (("a", "rest:u32"),)),))
+
+
+def test_decoded_once_however_often_used(spark):
+    """Several parts of a decoded box are taken from one decoding, in which the payload is cut out once."""
+    fields = (("brand", "fourcc"), ("items", ("counted", (("line", "u8"), ("part", "u32")))))
+    d = spark.range(1).select(F.col("id").cast("string").cast("binary").alias("data")).select(S.decode_box(F.col("data"), "abcd", fields).alias("d"))
+    text = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    whole, parts = text(d), text(d.select("d.code", "d.value.brand", F.size("d.value.items").alias("n"), F.col("d.value.items")[0]["part"].alias("first")))
+    assert 0 < parts.count("conv(") <= whole.count("conv(")
+    assert whole.count("conv(") < 25
+
+
+def test_numbers_encode_in_their_bytes(spark):
+    """Numbers of any sign and size that fit their fields; decimals take the same bytes as integers."""
+    for kind, n, values in (("u8", 1, (0, 255)), ("i8", 1, (-1, -128, 127)), ("i16", 2, (-2, 300)), ("u24", 3, (2**24 - 1,)), ("u32", 4, (0, 2**32 - 1)), ("i32", 4, (-(2**31),)), ("u64", 8, (2**64 - 1, 2**63)), ("i64", 8, (-1, -(2**63)))):
+        for big in (True, False):
+            df = spark.createDataFrame([(str(v),) for v in values], "v string").select(F.col("v").cast("decimal(20,0)").alias("v"))
+            got = [bytes(r[0]) for r in df.select(encode(F.struct("v"), (("v", kind),), big)).collect()]
+            assert got == [(v % 2 ** (8 * n)).to_bytes(n, "big" if big else "little") for v in values]
