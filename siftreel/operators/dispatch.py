@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from io import BytesIO
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binary import repeated
-from .mp4 import ERR, INLINE_PAD, PAD_HEADER, mp4_sanitize, mp4_verdict, mp4_walk
-from .mp4_walk import METADATA_LIMIT
+from .mp4 import ERR, INLINE_PAD, PAD_HEADER, mp4_verdict, mp4_walk
+from .mp4_walk import BYTES, FILES, METADATA_LIMIT, WALK_SQL, WALK_TYPES, columns, moved, walk
+from .session import ship
 from .webp import webp_sanitize
+from .webp_walk import report
 
 FORMATS = ("mp4", "webp")
 
@@ -20,6 +26,31 @@ def format_of(path: Column, explicit: Column | None = None) -> Column:
     return guess if explicit is None else F.coalesce(F.lower(explicit), guess)
 
 
+_FAULT = pa.struct([("code", pa.string()), ("arg", pa.string()), ("detail", pa.string()), ("stack", pa.list_(pa.string()))])
+_NO_WALK = dict.fromkeys(WALK_TYPES) | {"boxes": [], "moovs": []}
+
+
+def _kernel(limit: int, mdat_size: int | None, unknown: bool):
+    """A mapInArrow kernel over (path, content, own): own is the format, webp a WebP file's fault, the other columns an MP4
+    file's walk. Files of other formats aren't looked into."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            start, walks, faults, held, data, own = 0, [], [], 0, b["content"], b["own"].to_pylist()
+            for k, format in enumerate(own):
+                raw = data[k].as_py() or b""
+                walks.append(moved(walk(BytesIO(raw), len(raw), limit, mdat_size, every=False)) if format == "mp4" else _NO_WALK)
+                fault = report(raw, unknown) if format == "webp" else (None,)
+                faults.append(None if fault[0] is None else dict(zip(_FAULT.names, fault, strict=True)))
+                held += len(walks[-1]["moov"] or b"")
+                if len(walks) == FILES or held > BYTES or k == b.num_rows - 1:
+                    part = b.slice(start, len(walks))
+                    yield pa.RecordBatch.from_arrays([part["path"], part["own"], pa.array(faults, _FAULT), *columns(walks, list(WALK_TYPES))], ["path", "own", "webp", *WALK_TYPES])
+                    start, walks, faults, held = k + 1, [], [], 0
+
+    return run
+
+
 def sanitize(
     files: DataFrame, path: str = "path", content: str = "content", format: str | None = None, max_metadata_size: int = METADATA_LIMIT, cumulative_mdat_box_size: int | None = None, allow_unknown_chunks: bool = False
 ) -> DataFrame:
@@ -29,13 +60,17 @@ def sanitize(
     UnknownFormat. Null contents are empty files; repeated paths come out repeatedly; other columns are ignored.
     """
     own = format_of(F.col(f"`{path}`").cast("string"), F.col(f"`{format}`") if format else None)
-    rows = files.select(F.col(f"`{path}`").cast("string").alias("path"), F.col(f"`{content}`").alias("content"), own.alias("format"))
-    mp4 = mp4_sanitize(rows.where(F.col("format") == "mp4"), max_metadata_size=max_metadata_size, cumulative_mdat_box_size=cumulative_mdat_box_size)
-    webp = webp_sanitize(rows.where(F.col("format") == "webp"), allow_unknown_chunks=allow_unknown_chunks)
-    unknown = rows.where(F.col("format").isNull() | ~F.col("format").isin(*FORMATS))
-    err = F.struct(F.lit("Format").alias("kind"), F.lit("UnknownFormat").alias("code"), *[F.lit(None).alias(c) for c in ("arg", "detail", "stack")]).cast(ERR)
-    rest = unknown.select("path", "format", F.lit(False).alias("ok"), err.alias("err"), *[F.lit(None).cast(mp4.schema[c].dataType).alias(c) for c in mp4.columns[4:]])
-    return mp4.unionByName(webp).unionByName(rest)
+    ship(files.sparkSession)
+    # All files go through one kernel: branches by format would each read, or make, every file.
+    rows = files.select(F.col(f"`{path}`").cast("string").alias("path"), F.when(own.isin(*FORMATS), F.col(f"`{content}`")).alias("content"), own.alias("own"))
+    walked = rows.mapInArrow(_kernel(max_metadata_size, cumulative_mdat_box_size, allow_unknown_chunks), f"path string, own string, webp struct<code string, arg string, detail string, stack array<string>>, {WALK_SQL}")
+    out = mp4_verdict(walked, max_metadata_size, keep=("own", "webp"))
+    webp = F.when(F.col("webp").isNotNull(), F.struct(F.lit("Parse").alias("kind"), *[F.col(f"webp.{c}").alias(c) for c in ("code", "arg", "detail", "stack")]))
+    none = F.struct(F.lit("Format").alias("kind"), F.lit("UnknownFormat").alias("code"), *[F.lit(None).alias(c) for c in ("arg", "detail", "stack")])
+    mp4 = F.col("own") == "mp4"
+    err = F.when(mp4, F.col("err")).when(F.col("own") == "webp", webp.cast(ERR)).otherwise(none.cast(ERR))
+    ok = F.when(mp4, F.col("ok")).otherwise(F.coalesce(F.col("own") == "webp", F.lit(False)) & F.col("webp").isNull())
+    return out.select("path", F.col("own").alias("format"), ok.alias("ok"), err.alias("err"), *[F.when(mp4, F.col(c)).alias(c) for c in ("metadata", "span", "displacement", "pad_size")])
 
 
 def sanitized(

@@ -132,3 +132,23 @@ def test_command_line(spark, tmp_path, monkeypatch, capsysbinary):
     monkeypatch.setattr("pyspark.sql.SparkSession.stop", lambda self: None)
     assert main(["-t", "mp4", "-o", "-", "-"]) == 0
     assert capsysbinary.readouterr().out == ftyp() + moov(co([28 + len(m)])) + box("mdat", b"media")
+
+
+def test_files_of_all_formats_in_one_pass(spark):
+    """One read of the files whatever their formats, with the verdicts that each sanitiser gives alone; others aren't read."""
+    from siftreel.operators.mp4 import mp4_sanitize
+    from siftreel.operators.webp import webp_sanitize
+
+    good, bad = ftyp() + box("mdat", b"12") + moov(co([28])), ftyp(brands=(b"mp41",)) + moov(co([]))
+    mp4 = [("a.mp4", bytearray(good)), ("b.MP4", bytearray(bad)), ("c.mp4", None)]
+    webp = [("d.webp", bytearray(riff(VP8))), ("e.webp", bytearray(riff(VP8L, kind=b"WEBX"))), ("f.webp", None)]
+    df = spark.createDataFrame([*mp4, *webp, ("g.png", bytearray(good)), ("h", None)], "path string, content binary")
+    got = sanitize(df)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    rows = {r["path"]: r for r in got.collect()}
+    assert len(rows) == 8
+    for name, alone in (("mp4", mp4_sanitize(df.where("lower(path) like '%.mp4'"))), ("webp", webp_sanitize(df.where("path like '%.webp'")))):
+        want = alone.collect()
+        assert got.dtypes == alone.dtypes and len(want) == 3 and all(rows[r["path"]] == r and r["format"] == name for r in want)
+    for path in ("g.png", "h"):
+        assert rows[path].asDict(True) == {"path": path, "format": None, "ok": False, "err": {"kind": "Format", "code": "UnknownFormat", "arg": None, "detail": None, "stack": None}, "metadata": None, "span": None, "displacement": None, "pad_size": None}
